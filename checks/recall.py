@@ -13,7 +13,7 @@ _PRESERVED = r"/?[A-Za-z0-9_$@.][A-Za-z0-9_$@./:\\-]*"
 
 def _distinct_ci(c: str) -> str:
     """First spelling of every term, in order."""
-    return (f"list_filter({c}, lambda x, i: x != '' AND list_position(list_transform({c}, lambda y: lower(y)), lower(x)) = i)")
+    return (f"list_filter({c}, lambda t_, i_: t_ != '' AND list_position(list_transform({c}, lambda y_: lower(y_)), lower(t_)) = i_)")
 
 
 _TERMS = """
@@ -50,10 +50,12 @@ def matched_memories(spark, sf):
     return found.select("query_id", "memory_id", "score")
 
 
-@query("matched_all_terms", _TOP + """
+@query("matched_all_terms", _TOP.replace("FROM t_query)", "FROM (SELECT query_id, scope_id, left(query, 12) AS query FROM t_query))")
+       .replace("regexp_split_to_array(query,", "regexp_split_to_array(" + trim_sql("query") + ",") + """
   SELECT query_id, memory_id, score FROM f WHERE len(list_filter(lt, lambda t: contains(c, t) OR contains(s, t))) = len(lt)""")
 def matched_all_terms(spark, sf):
-    found = K.matches(td.memories(spark, sf), td.recall_queries(spark, sf), mode="all")
+    asked = td.recall_queries(spark, sf).withColumn("query", F.substring("query", 1, 12))
+    found = K.matches(td.memories(spark, sf), asked, mode="all")
     return found.select("query_id", "memory_id", "score")
 
 
@@ -150,9 +152,11 @@ def _hard_queries(spark, sf):
     return asked.withColumn("query", F.when(F.col("query_id") % 2 == 1, F.concat(F.lit("zqx"), "query_id")).otherwise(F.col("query")))
 
 
-@query("recall_failures", """
+@query("recall_failures", _TOP + """
   SELECT 'fev_' || sha256('recall_no_hit|' || query_id) AS failure_id, 'recall_no_hit' AS event_type, 'no_results_for_query' AS error_reason
-  FROM t_query WHERE query_id % 2 = 1""")
+  FROM t_query WHERE query_id % 2 = 1 OR query_id NOT IN (SELECT query_id FROM k)
+  UNION ALL SELECT 'fev_' || sha256('recall_low_confidence|' || query_id), 'recall_low_confidence', 'all_results_below_confidence_threshold'
+  FROM k WHERE rank = 1 AND query_id % 2 = 0 AND final_score < 0.3""")
 def recall_failures(spark, sf):
     asked = _hard_queries(spark, sf)
     hits = K.search(td.memories(spark, sf), asked, td.NOW)

@@ -2,9 +2,9 @@
 
 A memory matches when it contains any term of the query as a substring. The
 scope alone would be a poor join key (one scope may hold a third of all rows),
-so terms are matched against the vocabulary, by the rarest three-character
-gram of the term, and the matching words lead to the memories. Whatever
-contains the term contains that gram, so no match is lost.
+so candidates come from an equi join on (scope, gram), with the rarest
+three-character gram of every term. Whatever contains the term contains that
+gram, so no match is lost; the containment itself is verified afterwards.
 """
 
 from __future__ import annotations
@@ -152,29 +152,44 @@ def _memory_text(memories: DataFrame) -> DataFrame:
 
 
 def postings(text: DataFrame) -> DataFrame:
-    """Distinct (scope_id, memory_id, word) of lower-cased content and summary."""
-    words = F.array_union(F.split("_content", r"\s+"), F.split("_summary", r"\s+"))
-    return text.select("scope_id", "memory_id", F.explode(words).alias("word"))
+    """Distinct (scope_id, memory_id, gram), grams of one to three characters.
 
+    A term has no white space, so only grams inside words are needed. The
+    look-ahead yields the overlapping grams of a text in one pass per size.
+    """
+    haystack = F.concat("_summary", F.lit("\n"), "_content")
+
+    def sized(t: Column) -> Column:
+        found = [
+            F.regexp_extract_all(t, F.lit(rf"(?=(\S{{{n}}}))"), F.lit(1))
+            for n in range(1, GRAM + 1)
+        ]
+        return F.array_distinct(F.concat(*found))
+
+    return text.select(
+        "scope_id", "memory_id", F.explode(let(haystack, sized)).alias("gram")
+    )
 
-def matching_words(vocabulary: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(scope_id, term, word) for every word that contains a wanted term.
 
-    Both sides are distinct (scope_id, word) and (scope_id, term). They meet
-    on the rarest gram of the term, three characters long or the whole term
-    where it is shorter.
+def candidates(memories: DataFrame, queries: DataFrame) -> DataFrame:
+    """K2: distinct (scope_id, query_id, memory_id) that may match.
+
+    ``memories`` and ``queries`` are prepared by :func:`prepare`. Each term is
+    looked up by the rarest of its grams: three characters long, or the whole
+    term where it is shorter. Whatever contains the term contains that gram;
+    the caller verifies the containment itself.
     """
+    query_terms = _query_terms(queries)
     size = F.least(F.length("term"), F.lit(GRAM))
-    term_grams = wanted.select(
-        "scope_id", "term", F.explode(grams(F.col("term"), size)).alias("gram")
+    term_grams = (
+        query_terms.select("scope_id", "term")
+        .distinct()
+        .select("scope_id", "term", F.explode(grams(F.col("term"), size)).alias("gram"))
     )
-    sizes = [grams(F.col("word"), F.lit(n)) for n in range(1, GRAM + 1)]
     asked_for = term_grams.select("scope_id", "gram").distinct()
-    word_grams = vocabulary.select(
-        "scope_id", "word", F.explode(F.concat(*sizes)).alias("gram")
-    ).join(asked_for, ["scope_id", "gram"], "left_semi")
-    counts = word_grams.groupBy("scope_id", "gram").agg(F.count(F.lit(1)).alias("_n"))
-    # a gram without a count occurs in no word, so its term cannot match
+    known = postings(memories).join(asked_for, ["scope_id", "gram"], "left_semi")
+    counts = known.groupBy("scope_id", "gram").agg(F.count(F.lit(1)).alias("_n"))
+    # a gram without a count occurs in no text, so its term cannot match
     rarest = (
         term_grams.join(counts, ["scope_id", "gram"], "left")
         .groupBy("scope_id", "term")
@@ -182,31 +197,12 @@ def matching_words(vocabulary: DataFrame, wanted: DataFrame) -> DataFrame:
         .filter(F.col("_r.n") > 0)
         .select("scope_id", "term", F.col("_r.gram").alias("gram"))
     )
-    return (
-        word_grams.join(rarest, ["scope_id", "gram"])
-        .filter(F.contains("word", "term"))
-        .select("scope_id", "term", "word")
-    )
-
-
-def candidates(memories: DataFrame, queries: DataFrame) -> DataFrame:
-    """K2: distinct (scope_id, query_id, memory_id) where any term occurs.
-
-    ``memories`` and ``queries`` are prepared by :func:`prepare`. A term has no
-    white space, so it occurs in a text exactly if it occurs in one of the
-    text's words; terms are therefore matched against the vocabulary and only
-    the matching words are looked up in the postings.
-    """
-    words = postings(memories)
-    vocabulary = words.select("scope_id", "word").distinct()
-    query_terms = _query_terms(queries)
-    hits = matching_words(vocabulary, query_terms.select("scope_id", "term").distinct())
     asked = (
-        query_terms.join(hits, ["scope_id", "term"])
-        .select("scope_id", "word", "query_id")
+        query_terms.join(rarest, ["scope_id", "term"])
+        .select("scope_id", "gram", "query_id")
         .distinct()
     )
-    return words.join(asked, ["scope_id", "word"]).select(
+    return known.join(asked, ["scope_id", "gram"]).select(
         "scope_id", "query_id", "memory_id"
     ).distinct()
 
@@ -273,19 +269,11 @@ def prepare(memories: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFra
     return _memory_text(memories), asked
 
 
-def matches(memories: DataFrame, queries: DataFrame, mode: str = "any") -> DataFrame:
-    """K2-K4, K7, K8: every matching (query, memory) with its relevance.
-
-    Scope isolation, type and status filters apply here. ``mode='all'`` wants
-    every term. A memory found by both variants keeps the original's score.
-    """
-    text, asked = prepare(memories, queries)
+def _scored(text: DataFrame, asked: DataFrame, mode: str) -> DataFrame:
+    """K2-K4: matching pairs with relevance and match method, without the texts."""
     every = mode == "all"
     active = F.array(F.lit("active"))
-    query_columns = [
-        "scope_id", "query_id", "query", "types", "statuses", "limit", "_terms",
-        "_expanded_terms", "original_terms", "expanded_terms",
-    ]
+    query_columns = ["scope_id", "query_id", "types", "statuses", "limit", "_terms", "_expanded_terms"]
     pairs = (
         candidates(text, asked)
         .join(asked.select(*query_columns), ["scope_id", "query_id"])
@@ -300,30 +288,53 @@ def matches(memories: DataFrame, queries: DataFrame, mode: str = "any") -> DataF
     )
     used = F.when(F.col("_original"), F.col("_terms")).otherwise(F.col("_expanded_terms"))
     found = found.withColumn("_used", used)
-    score = relevance(F.col("_used"), F.array_join("_used", " "))
     method = (
         F.when(F.col("_original") & F.col("_expanded"), "original+expanded")
         .when(F.col("_original"), "original")
         .otherwise("expanded")
     )
+    return found.select(
+        "scope_id", "query_id", "memory_id", "limit",
+        relevance(F.col("_used"), F.array_join("_used", " ")).alias("score"),
+        method.alias("match_method"),
+        "type", "status", "source_ref", "confidence", "created_at",
+    )
+
+
+def _with_matched_terms(hits: DataFrame, text: DataFrame, asked: DataFrame) -> DataFrame:
+    """K8: the query terms that occur in the hit's summary or content."""
+    words = asked.select(
+        "scope_id", "query_id", "query", "original_terms", "expanded_terms"
+    )
+    texts = text.select(
+        "scope_id", "memory_id", F.concat("_summary", F.lit("\n"), "_content").alias("_haystack")
+    )
     named = (
         F.when(
-            F.col("_original") & F.col("_expanded"), F.concat("original_terms", "expanded_terms")
+            F.col("match_method") == "original+expanded",
+            F.concat("original_terms", "expanded_terms"),
         )
-        .when(F.col("_expanded"), F.col("expanded_terms"))
+        .when(F.col("match_method") == "expanded", F.col("expanded_terms"))
         .when(F.size("original_terms") > 0, F.col("original_terms"))
         .otherwise(terms(F.col("query")))
     )
-    haystack = F.concat("_summary", F.lit("\n"), "_content")
-    present = let(haystack, lambda h: F.filter(named, lambda t: F.contains(h, F.lower(t))))
-    return found.withColumns(
-        {
-            "score": score,
-            "match_method": method,
-            "matched_terms": ordered_distinct(present),
-        }
-    ).drop("_original", "_expanded", "_used", "_terms", "_expanded_terms", "_content", "_summary",
-           "original_terms", "expanded_terms", "types", "statuses")
+    present = F.filter(named, lambda t: F.contains(F.col("_haystack"), F.lower(t)))
+    return (
+        hits.join(words, ["scope_id", "query_id"])
+        .join(texts, ["scope_id", "memory_id"])
+        .withColumn("matched_terms", ordered_distinct(present))
+        .drop("query", "original_terms", "expanded_terms", "_haystack")
+    )
+
+
+def matches(memories: DataFrame, queries: DataFrame, mode: str = "any") -> DataFrame:
+    """K2-K4, K7, K8: every matching (query, memory) with its relevance.
+
+    Scope isolation, type and status filters apply here. ``mode='all'`` wants
+    every term. A memory found by both variants keeps the original's score.
+    """
+    text, asked = prepare(memories, queries)
+    return _with_matched_terms(_scored(text, asked, mode), text, asked).drop("limit")
 
 
 MAX_LIMIT = 50
@@ -344,17 +355,19 @@ def search(
     terms a hit matched and whether it can be expanded (C8) are worked out for
     the ranked rows only.
     """
-    scored = matches(memories, queries, mode)
+    text, asked = prepare(memories, queries)
+    scored = _scored(text, asked, mode)
     parts = final_score(F.col("score"), F.col("confidence"), F.col("created_at"), now, scorer)
     scored = scored.withColumn("_s", parts).select(
         "scope_id", "query_id", "memory_id", "type", "status", "source_ref", "score", "confidence",
-        "_s.*", "match_method", "matched_terms",
+        "_s.*", "match_method",
         F.least(F.coalesce("limit", F.lit(default_limit)), F.lit(MAX_LIMIT)).alias("_limit"),
     )
     order = [F.col("final_score").desc(), F.col("memory_id")]
     top = top_per_key(scored, ["query_id"], order, MAX_LIMIT).filter(
         F.col("rank") <= F.col("_limit")
     ).drop("_limit")
+    top = _with_matched_terms(top, text, asked)
     if compressed is not None:
         top = lookup.with_can_expand(top, compressed)
     return top

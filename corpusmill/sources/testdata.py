@@ -10,15 +10,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.session import spread
 from corpusmill.schemas import CONTENT_TYPES, FAILURE_OPERATIONS, FAILURE_TYPES, MEMORY_TYPES
 
 NOW = "2024-02-01 00:00:00"
 SCOPE_COUNT = 20
+TEXT_TABLES = ("documents", "pages")  # much work per row
 LINKED_DOCS = 200  # ids that every scale factor has, so that references resolve
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    read = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(read) if name in TEXT_TABLES else read
 
 
 def _now() -> Column:
