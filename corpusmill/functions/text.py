@@ -25,8 +25,13 @@ _EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])
 
 
 def ascii_words(pattern: str) -> str:
-    r"""Rewrite ``\b`` in a pattern to an ASCII word boundary for Java."""
-    return pattern.replace(r"\b", _EDGE)
+    r"""Rewrite ``\b`` in a pattern to an ASCII word boundary for Java.
+
+    In front of or behind a group it becomes one cheap look-around; such a
+    group must begin (or end) with a word character in every alternative.
+    """
+    opened = pattern.replace(r"\b(?:", WORD_START + "(?:")
+    return opened.replace(r")\b", ")" + WORD_END).replace(r"\b", _EDGE)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
