@@ -215,10 +215,14 @@ def extract_info(ls: Column) -> Column:
     return let(outline(ls), build)
 
 
-def render(
-    i: Column, imports: int = 30, apis: int = 25, types: int = 10, todos: int = 15, relevant: int = 20
-) -> Column:
-    def block(title: str, items: Column, limit: int, what: str | None) -> Column:
+# Imports, APIs, types, TODOs and relevant lines of ever shorter renderings.
+STEPS = ((30, 25, 10, 15, 20), (10, 15, 10, 15, 0), (5, 8, 5, 6, 0), (3, 5, 2, 4, 0))
+
+
+def render(i: Column, limits: Column) -> Column:
+    relevant = limits["relevant"]
+
+    def block(title: str, items: Column, limit: Column, what: str | None) -> Column:
         n = F.size(items)
         shown = F.when(n > 0, head(items, limit)).otherwise(texts("// (none detected)"))
         more = none() if what is None else when_lines(n > limit, texts(line("// ... ", n - limit, f" more {what}")))
@@ -228,15 +232,15 @@ def render(
     return lines_of(
         texts("## Code Context Summary", "", line("- **File:** `", or_else(i["file"], "(not detected)"), "`"),
               line("- **Total Lines:** ", i["lines"]), ""),
-        block("### Imports", i["imports"], imports, "imports"),
-        block("### Exports", i["exports"], 20, None),
+        block("### Imports", i["imports"], limits["imports"], "imports"),
+        block("### Exports", i["exports"], F.lit(20), None),
         when_lines(F.size(i["todos"]) > 0, F.concat(
-            texts("### TODO / FIXME / HACK", "```"), head(i["todos"], todos), texts("```", ""))),
-        block("### Types / Interfaces", i["types"], types, "type definitions"),
-        block("### Public APIs", i["apis"], apis, "public APIs"),
-        when_lines((n > 0) & F.lit(relevant > 0), F.concat(
+            texts("### TODO / FIXME / HACK", "```"), head(i["todos"], limits["todos"]), texts("```", ""))),
+        block("### Types / Interfaces", i["types"], limits["types"], "type definitions"),
+        block("### Public APIs", i["apis"], limits["apis"], "public APIs"),
+        when_lines((n > 0) & (relevant > 0), F.concat(
             texts("### Relevant Blocks (error handling / auth / queries)", "```ts"),
-            head(i["relevant"], max(relevant, 1)),
+            head(i["relevant"], relevant),
             when_lines(n > relevant, texts(line("// ... ", n - relevant, " more relevant lines"))),
             texts("```", ""))),
         texts(line("- **Functions Folded:** ", i["folded"])),
@@ -245,19 +249,14 @@ def render(
 
 def compress(content: Column, max_tokens: int, goal: Column) -> Column:
     def run(i: Column) -> Column:
-        full = render(i)
-        tries = [full, render(i, 10, 15, 10, 15, 0), render(i, 5, 8, 5, 6, 0), render(i, 3, 5, 2, 4, 0)]
-        return let(
-            F.struct(token_count(full).alias("n"), ladder(tries, max_tokens).alias("text")),
-            lambda r: result(
-                r["text"],
-                F.when(r["n"] <= max_tokens, line(
-                    "Code compressed: ", F.size(i["imports"]), " imports, ", F.size(i["apis"]),
-                    " public APIs, ", i["folded"], " functions folded"))
-                .otherwise("Code compressed and trimmed"),
-                F.when(r["n"] > max_tokens, F.lit("Trimmed code output to fit token budget")),
-            ),
-        )
+        steps = [dict(zip(("imports", "apis", "types", "todos", "relevant"), v)) for v in STEPS]
+        text = ladder(steps, lambda limits: render(i, limits), max_tokens)
+        return let(text, lambda t: result(
+            t,
+            line("Code compressed: ", F.size(i["imports"]), " imports, ", F.size(i["apis"]),
+                 " public APIs, ", i["folded"], " functions folded"),
+            F.when(token_count(t) >= max_tokens, F.lit("Trimmed code output to fit token budget")),
+        ))
 
     body = let(F.split(content, "\n"), lambda ls: let(extract_info(ls), run))
     return budgeted(content, max_tokens, "Code", body)

@@ -48,9 +48,9 @@ def head(items: Column, n: Column | int) -> Column:
     return F.slice(items, F.lit(1), n if isinstance(n, Column) else F.lit(n))
 
 
-def tail(items: Column, n: int) -> Column:
-    size = F.size(items)
-    return F.slice(items, F.greatest(F.lit(1), size - n + 1), F.lit(n))
+def tail(items: Column, n: Column | int) -> Column:
+    n = n if isinstance(n, Column) else F.lit(n)
+    return F.slice(items, F.greatest(F.lit(1), F.size(items) - n + 1), n)
 
 
 def first_of(items: Column) -> Column:
@@ -91,15 +91,32 @@ def budgeted(content: Column, max_tokens: int, what: str, compressed: Column) ->
     )
 
 
-def ladder(renderings: Sequence[Column], max_tokens: int) -> Column:
-    """The first rendering that fits; the last one is cut."""
-    last = truncate_to_tokens(renderings[-1], max_tokens)
+def ladder(
+    steps: Sequence[dict[str, int]], render: Callable[[Column], Column], max_tokens: int
+) -> Column:
+    """Render with ever tighter limits; the first text that fits wins.
 
-    def pick(tries: Column) -> Column:
-        fitting = F.filter(tries, lambda t: token_count(t) <= max_tokens)
-        return F.coalesce(F.get(fitting, F.lit(0)), last)
-
-    return let(F.array(*renderings), pick)
+    ``steps`` are the limits of each rendering, looked up by name in the struct
+    that ``render`` gets. Later ones are only rendered when needed; the last is
+    cut to the budget.
+    """
+    names = list(steps[0])
+    limits = F.array(
+        *[F.struct(*[F.lit(step[n]).alias(n) for n in names]) for step in steps]
+    )
+    chosen = F.aggregate(
+        limits,
+        F.lit(None).cast("string"),
+        lambda found, step: F.when(
+            found.isNotNull() & (token_count(found) <= max_tokens), found
+        ).otherwise(render(step)),
+    )
+    return let(
+        chosen,
+        lambda t: F.when(token_count(t) <= max_tokens, t).otherwise(
+            truncate_to_tokens(t, max_tokens)
+        ),
+    )
 
 
 # Head and tail shares kept by the truncation fallback.

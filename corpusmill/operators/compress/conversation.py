@@ -215,7 +215,11 @@ def extract_info(ms: Column) -> Column:
     )
 
 
-def render(i: Column, messages: int, decisions: int, errors: int) -> Column:
+# Messages, decisions and errors of ever shorter renderings.
+STEPS = ((15, 8, 3), (10, 5, 3), (5, 3, 1), (3, 2, 1))
+
+
+def render(i: Column, limits: Column) -> Column:
     def section(title: str, items: Column, show) -> Column:
         return when_lines(F.size(items) > 0, F.concat(texts(title), F.transform(items, show), texts("")))
 
@@ -227,13 +231,13 @@ def render(i: Column, messages: int, decisions: int, errors: int) -> Column:
         ).otherwise(m["content"])
         return line("**", face, " ", m["role"], "** (score: ", m["score"], "): ", excerpt, "\n")
 
-    shown, found = head(i["messages"], messages), head(i["errors"], errors)
+    shown, found = head(i["messages"], limits["messages"]), head(i["errors"], limits["errors"])
     folded = i["total"] - F.size(i["messages"])
     return lines_of(
         texts("## Conversation Summary", "", "### Current Goal", line("> ", i["goal"]), ""),
         section("### Completed Steps", i["done"], lambda s: F.concat(F.lit("- [x] "), s)),
         section("### Pending Steps", i["todo"], lambda s: F.concat(F.lit("- [ ] "), s)),
-        section("### Key Decisions", head(i["decisions"], decisions), lambda s: F.concat(F.lit("- "), s)),
+        section("### Key Decisions", head(i["decisions"], limits["decisions"]), lambda s: F.concat(F.lit("- "), s)),
         when_lines(F.size(found) > 0, F.concat(texts("### Recent Errors", "```"), found, texts("```", ""))),
         section("### Relevant Files", head(i["files"], 10), lambda s: F.concat(F.lit("- `"), s, F.lit("`"))),
         when_lines(F.size(shown) > 0, F.concat(texts("### Key Messages", ""), F.transform(shown, show_message))),
@@ -243,18 +247,13 @@ def render(i: Column, messages: int, decisions: int, errors: int) -> Column:
 
 def compress(content: Column, max_tokens: int, goal: Column) -> Column:
     def run(i: Column) -> Column:
-        full = render(i, 15, 8, 3)
-        tries = [full, render(i, 10, 5, 3), render(i, 5, 3, 1), render(i, 3, 2, 1)]
-        return let(
-            F.struct(token_count(full).alias("n"), ladder(tries, max_tokens).alias("text")),
-            lambda r: result(
-                r["text"],
-                F.when(r["n"] <= max_tokens, line("Conversation compressed: ", F.size(i["messages"]), "/",
-                                                  i["total"], " messages kept"))
-                .otherwise("Conversation compressed and trimmed"),
-                F.when(r["n"] > max_tokens, F.lit("Trimmed conversation output to fit token budget")),
-            ),
-        )
+        steps = [dict(zip(("messages", "decisions", "errors"), v)) for v in STEPS]
+        text = ladder(steps, lambda limits: render(i, limits), max_tokens)
+        return let(text, lambda t: result(
+            t,
+            line("Conversation compressed: ", F.size(i["messages"]), "/", i["total"], " messages kept"),
+            F.when(token_count(t) >= max_tokens, F.lit("Trimmed conversation output to fit token budget")),
+        ))
 
     body = let(parse(content), lambda ms: let(extract_info(ms), run))
     return budgeted(content, max_tokens, "Conversation", body)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -81,25 +82,53 @@ def strategy_version(content_type: Column) -> Column:
     return F.coalesce(version, F.lit(""))
 
 
+RESULT = "struct<compressed_content:string,summary:string,warnings:array<string>>"
+
+
+def apply_strategy(
+    content: Column, content_type: Column, max_tokens: int, goal: Column,
+    types: Sequence[str] | None = None,
+) -> Column:
+    """The result struct of the strategy a row's type resolves to, else null."""
+    resolved = resolved_type(content_type)
+    chosen = F.lit(None).cast(RESULT)
+    for name, entry in STRATEGIES.items():
+        if types is None or name in types:
+            result = entry.compress(content, max_tokens, goal).cast(RESULT)
+            chosen = F.when(resolved == name, result).otherwise(chosen)
+    return chosen
+
+
+def goal_of(docs: DataFrame) -> Column:
+    return F.col("goal") if "goal" in docs.columns else F.lit(None).cast("string")
+
+
 def compress(
-    docs: DataFrame, max_tokens: int = DEFAULT_MAX_TOKENS, mode: str = "conservative"
+    docs: DataFrame,
+    max_tokens: int = DEFAULT_MAX_TOKENS,
+    mode: str = "conservative",
+    types: Sequence[str] | None = None,
 ) -> DataFrame:
     """Compress every document by its type, failing open per row.
 
     Input: content, content_type and optionally goal. The corpus is read once:
     one projection picks the strategy row by row, and there is no shuffle. A
     row without a strategy, or for which one gives nothing, keeps its text.
+    Where a corpus is known to hold few types, ``types`` plans only those.
     """
-    content, kind = F.col("content"), F.col("content_type")
-    goal = F.col("goal") if "goal" in docs.columns else F.lit(None).cast("string")
-    resolved = resolved_type(kind)
     if mode in MODES:
-        chosen = F.lit(None)
-        for name, entry in STRATEGIES.items():
-            chosen = F.when(resolved == name, entry.compress(content, max_tokens, goal)).otherwise(chosen)
+        chosen = apply_strategy(
+            F.col("content"), F.col("content_type"), max_tokens, goal_of(docs), types
+        )
     else:
-        chosen = F.lit(None).cast("struct<compressed_content:string,summary:string,warnings:array<string>>")
-    staged = docs.withColumns({"_r": chosen, "_type": resolved})
+        chosen = F.lit(None).cast(RESULT)
+    return finish(docs.withColumn("_r", chosen), mode)
+
+
+def finish(staged: DataFrame, mode: str = "conservative") -> DataFrame:
+    """Turn the result struct ``_r`` of every row into result columns."""
+    content, kind = F.col("content"), F.col("content_type")
+    staged = staged.withColumn("_type", resolved_type(kind))
 
     got = F.col("_r.compressed_content")
     lost = got.isNull() & content.isNotNull()

@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import WORD_END as WE
-from corpusmill.functions.text import ascii_words, let, round_half_up, token_count, trim, truncate_to_tokens
+from corpusmill.functions.text import ascii_words, let, round_half_up, token_count, trim
 from corpusmill.functions.values import parse_json
 from corpusmill.operators.compress.common import (
-    budgeted, facts_of, head, line, lines_of, result, texts, when_lines,
+    budgeted, facts_of, head, ladder, line, lines_of, result, texts, when_lines,
 )
 
 # Field aliases and what counts as a factual sentence.
@@ -132,13 +132,24 @@ def key_facts(content: Column) -> Column:
     return head(short, 3)
 
 
-def render(i: Column, count: Column | None, excerpt: int | None, with_facts: bool) -> Column:
+MANY = 1_000_000
+# Chunks (0: half, at least three), excerpt length and key facts
+# of ever shorter renderings.
+STEPS = (
+    (MANY, MANY, 1), (MANY, 250, 1), (MANY, 100, 1), (MANY, 80, 0), (0, 120, 0), (3, 100, 0), (1, 80, 0),
+    (1, MANY, 1),
+)
+
+
+def render(i: Column, limits: Column) -> Column:
+    excerpt = limits["excerpt"]
+    half = F.greatest(F.lit(3), F.ceil(F.size(i["chunks"]) / 2).cast("int"))
+
     def card(c: Column, n: Column) -> Column:
-        body = c["content"]
-        if excerpt is not None:
-            body = F.when(
-                F.length(body) > excerpt, F.concat(F.substring(body, 1, excerpt), F.lit("..."))
-            ).otherwise(body)
+        whole = c["content"]
+        body = F.when(
+            F.length(whole) > excerpt, F.concat(F.substring(whole, F.lit(1), excerpt), F.lit("..."))
+        ).otherwise(whole)
         shown = F.when(
             F.length(body) > 300,
             F.concat(F.regexp_replace(F.substring(body, 1, 300), "\n", " "), F.lit("...")),
@@ -149,12 +160,12 @@ def render(i: Column, count: Column | None, excerpt: int | None, with_facts: boo
                   line("- **Score:** ", F.format_string("%.2f", c["score"])), "- **canExpand:** true", "",
                   line("> ", shown)),
         ]
-        if with_facts:
-            parts.append(let(key_facts(body), lambda f: when_lines(F.size(f) > 0, F.concat(
-                texts("", "**Key Facts:**"), F.transform(f, lambda x: F.concat(F.lit("- "), x))))))
+        facts = let(key_facts(body), lambda f: when_lines(F.size(f) > 0, F.concat(
+            texts("", "**Key Facts:**"), F.transform(f, lambda x: F.concat(F.lit("- "), x)))))
+        parts.append(when_lines(limits["facts"] == 1, facts))
         return F.concat(*parts, texts(""))
 
-    chunks = i["chunks"] if count is None else head(i["chunks"], count)
+    chunks = head(i["chunks"], F.when(limits["chunks"] == 0, half).otherwise(limits["chunks"]))
     return lines_of(
         texts("## RAG Chunks Summary", "", line("- **Total Chunks:** ", i["total"]),
               line("- **Kept:** ", F.size(chunks)),
@@ -170,37 +181,26 @@ def render(i: Column, count: Column | None, excerpt: int | None, with_facts: boo
 def compress(content: Column, max_tokens: int, goal: Column) -> Column:
     def run(i: Column) -> Column:
         n = F.size(i["chunks"])
-        half = F.greatest(F.lit(3), F.ceil(n / 2).cast("int"))
-        one, three = F.lit(1), F.lit(3)
-
-        def finish(full: Column) -> Column:
-            fits = token_count(full) <= max_tokens
-            steps = ((None, 250, True), (None, 100, True), (None, 80, False), (half, 120, False),
-                     (three, 100, False), (one, 80, False))
-            trimmed = truncate_to_tokens(render(i, one, None, True), max_tokens)
-            for count, excerpt, with_facts in reversed(steps):
-                shorter = render(i, count, excerpt, with_facts)
-                rest = trimmed
-                trimmed = let(shorter, _fits_or(rest, max_tokens))
+        steps = [dict(zip(("chunks", "excerpt", "facts"), v)) for v in STEPS]
+        whole = F.exists(i["chunks"], lambda c: F.length(c["content"]) > 250)
+
+        def finish(text: Column) -> Column:
+            kept = F.regexp_count(text, F.lit(r"(?m)^### Chunk \d+: "))
+            full = (kept == n) & ~(whole & (token_count(text) >= max_tokens))
             return result(
-                F.when(fits, full).otherwise(trimmed),
-                F.when(fits, line("RAG compressed: ", n, "/", i["total"], " chunks kept"))
-                .otherwise("RAG compressed and trimmed"),
-                F.when(fits & (i["duplicates"] > 0), line("Folded ", i["duplicates"], " duplicate chunks")),
-                F.when(fits & (i["low_score"] > 0), line("Folded ", i["low_score"], " low-score chunks")),
-                F.when(~fits, F.lit("Trimmed RAG output to fit token budget")),
+                text,
+                line("RAG compressed: ", kept, "/", i["total"], " chunks kept"),
+                F.when(i["duplicates"] > 0, line("Folded ", i["duplicates"], " duplicate chunks")),
+                F.when(i["low_score"] > 0, line("Folded ", i["low_score"], " low-score chunks")),
+                F.when(~full, F.lit("Trimmed RAG output to fit token budget")),
             )
 
-        return let(render(i, None, None, True), finish)
+        return let(ladder(steps, lambda limits: render(i, limits), max_tokens), finish)
 
     body = let(parse(content), lambda c: let(extract_info(c), run))
     return budgeted(content, max_tokens, "RAG chunks", body)
 
 
-def _fits_or(rest: Column, max_tokens: int):
-    return lambda text: F.when(token_count(text) <= max_tokens, text).otherwise(rest)
-
-
 def facts(content: Column) -> Column:
     def rows(i: Column) -> Column:
         return facts_of(

@@ -133,12 +133,18 @@ def _failed_lines(failed: Column) -> Column:
     return F.flatten(F.transform(failed, lines_for))
 
 
-def render(i: Column, state: Column, frames: int | None, last: int, tests: int | None) -> Column:
-    failed = i["failed"] if tests is None else head(i["failed"], tests)
+MANY = 1_000_000
+# Frames, last lines and tests of ever shorter renderings.
+STEPS = ((MANY, 10, MANY), (10, 10, MANY), (5, 5, MANY), (3, 3, MANY), (0, 0, 1))
+
+
+def render(i: Column, state: Column, limits: Column) -> Column:
+    frames, last = limits["frames"], limits["last"]
+    failed = head(i["failed"], limits["tests"])
     first = F.get(i["failed"], F.lit(0))
     get = lambda name: F.coalesce(first[name], F.lit(""))
     stack = F.coalesce(first["stack"], F.array().cast("array<string>"))
-    shown = head(stack, 20 if frames is None else frames)
+    shown = head(stack, F.least(frames, F.lit(20)))
     more = F.size(stack) - 20
     n = F.size(i["failed"])
     listed = F.concat(
@@ -156,12 +162,12 @@ def render(i: Column, state: Column, frames: int | None, last: int, tests: int |
         when_lines(F.size(shown) > 0, F.concat(
             texts("- **Stack Trace:**", "  ```"),
             F.transform(shown, lambda x: F.concat(F.lit("  "), trim(x))),
-            when_lines((more > 0) & F.lit(frames is None), texts(line("  ... (", more, " more frames)"))),
+            when_lines((more > 0) & (frames > 20), texts(line("  ... (", more, " more frames)"))),
             texts("  ```"))),
         texts(line("- **Exit Code:** ", or_else(i["exit_code"], "(not detected)"))),
-        when_lines((F.size(i["last"]) > 0) & F.lit(last > 0), F.concat(
+        when_lines((F.size(i["last"]) > 0) & (last > 0), F.concat(
             texts("- **Last Lines:**", "  ```"),
-            F.transform(tail(i["last"], max(last, 1)), lambda x: F.concat(F.lit("  "), x)),
+            F.transform(tail(i["last"], last), lambda x: F.concat(F.lit("  "), x)),
             texts("  ```"))),
     )
 
@@ -172,7 +178,6 @@ def compress(content: Column, max_tokens: int, goal: Column) -> Column:
             state = status(text, i["exit_code"], F.size(i["failed"]))
 
             def finish(st: Column) -> Column:
-                full = render(i, st, None, 10, None)
                 first = F.get(i["failed"], F.lit(0))
                 summary = F.when(
                     F.size(i["failed"]) == 0,
@@ -181,14 +186,10 @@ def compress(content: Column, max_tokens: int, goal: Column) -> Column:
                     line(first["file"], " > ", first["name"], " failed — ", first["error_type"], ": ",
                          first["error_message"])
                 )
-                # variants from full to bare minimum
-                tries = [full, render(i, st, 10, 10, None), render(i, st, 5, 5, None),
-                         render(i, st, 3, 3, None), render(i, st, 0, 0, 1)]
-                trimmed = token_count(full) > max_tokens
-                return result(
-                    ladder(tries, max_tokens), summary,
-                    F.when(trimmed, line("Trimmed to fit ", F.lit(max_tokens), " token budget")),
-                )
+                steps = [dict(zip(("frames", "last", "tests"), v)) for v in STEPS]
+                text = ladder(steps, lambda limits: render(i, st, limits), max_tokens)
+                return let(text, lambda t: result(t, summary, F.when(
+                    token_count(t) >= max_tokens, line("Trimmed to fit ", F.lit(max_tokens), " token budget"))))
 
             return let(state, finish)
 

@@ -11,6 +11,7 @@ from corpusmill.functions import text as T
 from corpusmill.operators import memory as M
 from corpusmill.operators.route import route
 from corpusmill.plans.safety import compression_failures, safe_compress, with_cache_key
+from corpusmill.session import cut_lineage
 from corpusmill.sources import store
 
 STEP = "struct<status:string,reason:string>"
@@ -59,8 +60,8 @@ def context_flow(
 
     Requests carry request_id, scope_id, content, goal, facts, inferences,
     verification and contradictory. Ids derive from request ids, so a rerun
-    writes the same rows. The caller may cut the lineage of the returned
-    ``compressed`` table (it feeds all other outputs) by writing it first.
+    writes the same rows. The compressed rows feed every output, so they are
+    computed once and checkpointed in the shared checkpoint folder.
     """
     typed = route(requests.withColumn("doc_id", F.col("request_id")))
     keyed = with_cache_key(typed, max_tokens)
@@ -70,7 +71,7 @@ def context_flow(
         "original_ref": F.concat(F.lit("orig_"), F.sha2(F.concat_ws("|", "scope_id", "content"), 256)),
         "content_hash": T.content_hash(F.col("content")),
     }
-    done = done.withColumns(ids)
+    done = cut_lineage(done.withColumns(ids))
     compressed = store.new_compressed(done, now)
     texts = done.select(
         F.col("original_ref").alias("original_id"), "scope_id", "ccr_id", "content_type", "content"

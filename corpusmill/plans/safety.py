@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators.chunk import DEFAULT_MAX_TOKENS as CHUNK_TOKENS
-from corpusmill.operators.chunk import chunk
-from corpusmill.operators.compress.engine import compress, resolved_type, strategy_version
+from corpusmill.operators.chunk import chunk_texts
+from corpusmill.operators.compress.engine import (
+    RESULT, apply_strategy, finish, goal_of, resolved_type, strategy_version,
+)
 from corpusmill.session import as_time
 from corpusmill.sources.store import new_failures
 
@@ -23,81 +25,55 @@ def safe_compress(
     chunk_tokens: int = CHUNK_TOKENS,
     enable_chunking: bool = True,
     fail_open: bool = True,
+    types: Sequence[str] | None = None,
 ) -> DataFrame:
     """Compress; oversized documents in chunks that are merged again.
 
     Adds safety_action: size_ok, size_truncated, size_rejected or chunked. All
-    chunks of a document are kept. Documents carry scope_id, doc_id, content
-    and content_type; only the chunks of oversized documents are shuffled.
+    chunks of a document are kept. Chunks are compressed inside the document's
+    own row, so there is no shuffle and the strategies are planned once.
     """
+    content, kind = F.col("content"), F.col("content_type")
     size = F.octet_length("content")
-    if not enable_chunking:
-        guard = T.size_guard(F.col("content"), max_input_bytes, fail_open)
-        guarded = docs.withColumn("_g", guard).withColumns(
-            {"_whole": F.col("content"), "content": F.col("_g.content"), "safety_action": F.col("_g.code")}
+    if enable_chunking:
+        action = F.when(size > max_input_bytes, "chunked").otherwise("size_ok")
+        pieces = F.when(size > max_input_bytes, chunk_texts(content, kind, chunk_tokens)).otherwise(
+            F.array(content)
         )
-        done = compress(guarded.drop("_g"), max_tokens)
-        rejected = F.col("safety_action") == "size_rejected"
-        return done.withColumns(
-            {
-                "content": F.col("_whole"),
-                "failed": F.col("failed") | rejected,
-                "error_reason": F.when(rejected, "safety_fail_open").otherwise(F.col("error_reason")),
-                "compressed_content": F.when(rejected, F.col("_whole")).otherwise(
-                    F.col("compressed_content")
-                ),
-            }
-        ).drop("_whole")
-
-    fits = docs.filter(size <= max_input_bytes)
-    plain = compress(fits, max_tokens).withColumn("safety_action", F.lit("size_ok"))
-    large = docs.filter(size > max_input_bytes)
-    keys = ["scope_id", "doc_id"]
-    pieces = compress(chunk(large, chunk_tokens), max_tokens)
-    header = F.concat(
-        F.lit("[Chunk "), F.col("chunk_index") + 1, F.lit("/"), F.col("total_chunks"), F.lit("]\n")
-    )
-    merged = pieces.groupBy(*keys).agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    "chunk_index",
-                    F.concat(header, "compressed_content").alias("text"),
-                    "strategy",
-                )
-            )
-        ).alias("_parts")
-    )
-    n = F.size("_parts")
-    joined = F.array_join(F.col("_parts.text"), "\n\n---\n\n")
-    strategy = F.concat(F.lit("chunked("), n, F.lit(")_"), F.get(F.col("_parts"), F.lit(0))["strategy"])
-    whole = large.join(merged, keys).withColumns(
-        {
-            "failed": F.lit(False),
-            "error_reason": F.lit(None).cast("string"),
-            "compressed_content": joined,
-            "tokens_before": T.token_count(F.col("content")),
-            "strategy": strategy,
-            "strategy_version": F.lit(""),
-            "summary": F.concat(F.lit("[Chunked] "), n, F.lit(" chunks compressed and merged.")),
-        }
-    ).withColumn("tokens_after", T.token_count(F.col("compressed_content")))
-    whole = whole.withColumn(
-        "tokens_saved", T.tokens_saved(F.col("tokens_before"), F.col("tokens_after"))
+    else:
+        guard = T.size_guard(content, max_input_bytes, fail_open)
+        action = guard["code"]
+        pieces = F.when(action == "size_rejected", F.array().cast("array<string>")).otherwise(
+            F.array(guard["content"])
+        )
+    staged = docs.withColumns({"safety_action": action, "_pieces": pieces})
+    results = F.transform(
+        "_pieces", lambda p: apply_strategy(p, kind, max_tokens, goal_of(docs), types)
     )
-    ratio = T.compression_ratio(F.col("tokens_before"), F.col("tokens_saved"))
-    whole = whole.withColumns(
+    staged = staged.withColumn("_results", results)
+    n = F.size("_pieces")
+
+    def one(r: Column, i: Column) -> Column:
+        text = F.coalesce(F.nullif(r["compressed_content"], F.lit("")), F.get("_pieces", i))
+        return F.concat(F.lit("[Chunk "), (i + 1).cast("string"), F.lit("/"), n.cast("string"), F.lit("]\n"), text)
+
+    merged = F.struct(
+        F.array_join(F.transform("_results", one), "\n\n---\n\n").alias("compressed_content"),
+        F.concat(F.lit("[Chunked] "), n, F.lit(" chunks compressed and merged.")).alias("summary"),
+        F.array(F.concat(F.lit("Merged "), n, F.lit(" chunks"))).alias("warnings"),
+    ).cast(RESULT)
+    chunked = F.col("safety_action") == "chunked"
+    whole = F.when(chunked, merged).otherwise(F.get("_results", F.lit(0)))
+    done = finish(staged.withColumn("_r", whole))
+    rejected = F.col("safety_action") == "size_rejected"
+    return done.withColumns(
         {
-            "compression_ratio": ratio,
-            "compressed": F.col("tokens_saved") > 0,
-            "warnings": F.array(
-                F.concat(F.lit("Merged "), n, F.lit(" chunks: "), F.col("tokens_before"), F.lit(" → "),
-                         F.col("tokens_after"), F.lit(" tokens"))
+            "strategy": F.when(chunked, F.concat(F.lit("chunked("), n, F.lit(")_"), "strategy")).otherwise(
+                F.col("strategy")
             ),
-            "safety_action": F.lit("chunked"),
+            "error_reason": F.when(rejected, "safety_fail_open").otherwise(F.col("error_reason")),
         }
-    ).drop("_parts")
-    return plain.unionByName(whole)
+    ).drop("_pieces", "_results")
 
 
 POOR_RATIO = 0.05

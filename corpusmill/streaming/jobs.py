@@ -29,11 +29,17 @@ def recent_failures(
     failures: DataFrame, late_by: str = "1 hour", length: str = "24 hours", slide: str = "1 hour"
 ) -> DataFrame:
     """S3: failures per scope in sliding 24-hour windows; later than ``late_by`` is dropped."""
+    timed = failures.withColumn("created_at", F.col("created_at").cast("timestamp"))
     return (
-        failures.withWatermark("created_at", late_by)
+        timed.withWatermark("created_at", late_by)
         .groupBy(F.window("created_at", length, slide).alias("w"), "scope_id")
         .agg(F.count(F.lit(1)).alias("failures"))
-        .select("scope_id", F.col("w.start").alias("from_time"), F.col("w.end").alias("to_time"), "failures")
+        .select(
+            "scope_id",
+            F.col("w.start").cast("timestamp_ntz").alias("from_time"),
+            F.col("w.end").cast("timestamp_ntz").alias("to_time"),
+            "failures",
+        )
     )
 
 
