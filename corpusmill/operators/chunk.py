@@ -154,7 +154,8 @@ def chunk_code(content: Column, max_tokens: int = DEFAULT_MAX_TOKENS) -> Column:
 
         def with_header(header: Column) -> Column:
             body = F.array_join(F.slice(ls, body_at + 1, F.size(ls)), "\n")
-            room = F.lit(size) - F.octet_length(header)
+            # the newline that joins header and body counts too
+            room = F.lit(size) - F.octet_length(header) - F.when(F.length(header) > 0, 1).otherwise(0)
             packed = pack(F.split(body, before(CODE_SEPARATOR)), room)
             whole = F.transform(
                 packed,

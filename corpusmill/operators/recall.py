@@ -212,8 +212,9 @@ def relevance(query_terms: Column, phrase: Column) -> Column:
     content, summary = F.col("_content"), F.col("_summary")
 
     def hits(text: Column, term: Column) -> Column:
-        without = F.length(F.replace(text, term, F.lit("")))
-        return (F.length(text) - without) / F.length(term)
+        # byte lengths are stored with the string, character counts are not
+        without = F.octet_length(F.replace(text, term, F.lit("")))
+        return (F.octet_length(text) - without) / F.octet_length(term)
 
     def add(total: Column, term: Column) -> Column:
         weight = F.when(F.length(term) < 3, 0.5).otherwise(1.0)

@@ -16,14 +16,14 @@ TEST = "\n".join(
      "    at src/a.ts:3:4"] + [f"   ✓ case {i} passes" for i in range(60)] + ["Exit code: 1"]
 )
 MARKDOWN = "\n".join(
-    [f"## Component {i}\n\nSome words about the part.\n- timeout: {i} ms\n" for i in range(12)]
+    [f"## Component {i}\n\nSome words about the part.\n- timeout: {i} ms\n" for i in range(40)]
     + ["## Rollback\n\nrollback with `git revert` when POST /api/v1/pay fails\n"]
 )
 TYPED = {"log": LOG, "test_output": TEST, "markdown": MARKDOWN}
 KEEPS = {
     "log": ["PaymentError", "r1", "src/pay.ts", "(middle frames folded)"],
     "test_output": ["FAILED", "off by one", "src/a.test.ts", "`1`", "`2`"],
-    "markdown": ["Rollback", "/api/v1/pay", "×12"],
+    "markdown": ["Rollback", "/api/v1/pay", "×40"],
 }
 
 
