@@ -139,6 +139,23 @@ def _chunk_sql(table: str, patterns: list[str], size: int, fallback: str, where:
       FROM w JOIN r ON r.doc_id = w.doc_id AND r.i BETWEEN w.start AND w.stop GROUP BY ALL"""
 
 
+def _slices_sql(size: int, content: str = "content") -> str:
+    """Slices of ``size`` bytes, every cut moved back to the start of a character."""
+    h = f"hex(encode({content}))"
+    n = f"octet_length(encode({content}))"
+
+    def inside(p: str) -> str:
+        return f"substr({h}, 2 * ({p}) + 1, 2) BETWEEN '80' AND 'BF'"
+
+    def cut(p: str) -> str:
+        return (f"(CASE WHEN {p} >= {n} THEN {n} WHEN NOT {inside(p)} THEN {p} WHEN NOT {inside(p + ' - 1')} THEN {p} - 1"
+                f" WHEN NOT {inside(p + ' - 2')} THEN {p} - 2 ELSE {p} - 3 END)")
+
+    a, b = cut(f"(i * {size})"), cut(f"((i + 1) * {size})")
+    count = f"CAST(ceil({n} / {size}) AS BIGINT)"
+    return f"list_transform(range({count}), lambda i: decode(unhex(substr({h}, 2 * {a} + 1, 2 * ({b} - {a})))))"
+
+
 def _chunks(docs, max_tokens, kind):
     rows = C.chunk(docs, max_tokens, F.lit(kind))
     return rows.select("doc_id", "chunk_index", F.col("byte_offset").cast("bigint").alias("byte_offset"),
@@ -146,21 +163,14 @@ def _chunks(docs, max_tokens, kind):
                        F.sha2("content", 256).alias("content_hash"))
 
 
-@query("chunk_plain", _chunk_sql("t_corpus", [r"(\n\n)", r"(\n)"], 8000, "[content]",
-       "octet_length(encode(content)) <= 8000 OR len(list_filter(string_split(content, chr(10)), lambda x: octet_length(encode(x)) >= 8000)) = 0"))
+@query("chunk_plain", _chunk_sql("t_corpus", [r"(\n\n)", r"(\n)"], 8000, _slices_sql(8000)))
 def chunk_plain(spark, sf):
-    docs = td.corpus(spark, sf)
-    # a document with a line over the limit is cut by bytes: see chunk_bytes
-    long_line = F.exists(F.split("content", "\n"), lambda x: F.octet_length(x) >= 8000)
-    return _chunks(docs.filter((F.octet_length("content") <= 8000) | ~long_line), 2000, "unknown")
+    return _chunks(td.corpus(spark, sf), 2000, "unknown")
 
 
-@query("chunk_markdown", _chunk_sql("t_mddoc", [r"(\n## )", r"(\n# )", r"(\n### )", r"(\n\n)", r"(\n)"], 4000, "[content]",
-       "len(list_filter(string_split(content, chr(10)), lambda x: octet_length(encode(x)) >= 4000)) = 0"))
+@query("chunk_markdown", _chunk_sql("t_mddoc", [r"(\n## )", r"(\n# )", r"(\n### )", r"(\n\n)", r"(\n)"], 4000, _slices_sql(4000)))
 def chunk_markdown(spark, sf):
-    docs = td.markdown_documents(spark, sf)
-    long_line = F.exists(F.split("content", "\n"), lambda x: F.octet_length(x) >= 4000)
-    return _chunks(docs.filter(~long_line), 1000, "markdown")
+    return _chunks(td.markdown_documents(spark, sf), 1000, "markdown")
 
 
 _LOGDOC = "(SELECT scope_id, doc_id, string_agg(line, chr(10) ORDER BY line_no) AS content FROM t_logline GROUP BY ALL)"
@@ -171,7 +181,13 @@ def chunk_log(spark, sf):
     return _chunks(td.as_documents(td.log_lines(spark, sf)), 150, "log")
 
 
-@query("chunk_bytes")
+@query("chunk_bytes", f"""
+  WITH d AS (SELECT doc_id, replace(content, chr(10), ' ') AS content FROM t_corpus),
+  p AS (SELECT doc_id, CASE WHEN octet_length(encode(content)) <= 1000 THEN [content] ELSE {_slices_sql(1000)} END AS parts FROM d),
+  u AS (SELECT doc_id, unnest(parts) AS part, unnest(generate_series(0, len(parts) - 1)) AS i FROM p)
+  SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, octet_length(encode(part)) AS byte_length, sha256(part) AS content_hash,
+    CAST(coalesce(sum(octet_length(encode(part))) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset
+  FROM u""")
 def chunk_bytes(spark, sf):
     """Every document without its newlines, so that only byte slices fit."""
     docs = td.corpus(spark, sf).withColumn("content", F.regexp_replace("content", "\n", " "))

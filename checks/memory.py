@@ -217,7 +217,7 @@ def expire_memories(spark, sf):
 
 def _updates(spark, sf):
     d = F.col("doc_id")
-    return td.table(spark, sf, "documents").filter(d % 2 == 0).select(
+    return td.table(spark, sf, "documents").select(
         F.col("source").alias("scope_id"), F.concat(F.lit("mem_"), d + (d % 10 == 4).cast("int") * 10_000_000).alias("memory_id"),
         F.when(d % 3 == 0, "forgotten").otherwise("active").alias("new_status"),
         F.when(d % 4 == 0, F.concat(F.lit("sum "), d)).alias("summary"),
@@ -228,7 +228,7 @@ _UPDATES = """
   WITH u AS (SELECT doc_id, source AS scope_id, 'mem_' || (doc_id + CASE WHEN doc_id % 10 = 4 THEN 10000000 ELSE 0 END) AS memory_id,
       CASE WHEN doc_id % 3 = 0 THEN 'forgotten' ELSE 'active' END AS new_status,
       CASE WHEN doc_id % 4 = 0 THEN 'sum ' || doc_id END AS new_summary, CASE WHEN doc_id % 6 = 0 THEN 0.25::DOUBLE END AS new_confidence
-    FROM documents WHERE doc_id % 2 = 0),
+    FROM documents),
   j AS (SELECT u.*, m.status, CASE WHEN m.status IS NULL THEN 'memory_not_found'
       WHEN (m.status = 'active') = (new_status = 'active') THEN 'invalid_transition' END AS reason
     FROM u LEFT JOIN t_mem m ON u.scope_id = m.scope_id AND u.memory_id = m.memory_id)
