@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusmill.llm import op6_substring_dedup, op7_suffix_dedup
+from corpusmill.llm import op1_token_blocks, op6_substring_dedup, op7_suffix_dedup, op10_fast_sketch_dedup
+from corpusmill.llm.common import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_token_blocks_pfor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    op1_token_blocks.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    found = op1_token_blocks.read_tokens(spark, path)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
+
+
 @query
 def op6_substring_dedup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op6_substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
@@ -32,3 +44,8 @@ def op6_substring_dedup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffix_dedup_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op7_suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op10_fast_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_fast_sketch_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
