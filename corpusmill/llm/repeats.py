@@ -149,15 +149,15 @@ def find(docs: DataFrame, ids: Ids, length: int, gram: int, later_only: bool, bl
         (F.col("repeated") & ((F.col("m") != F.col("first")) | F.lit(not later_only))).alias("settled"),
         (F.col("kinds") & (F.col("m") == F.col("first"))).alias("open"),
     ).filter("settled OR open")
+    # one list of whole facts: both uses below then read the same shuffle
     by_doc = (
         facts.repartition(parts, "_id")
         .groupBy("_id", "_copy")
-        .agg(
-            F.collect_set(F.when(F.col("open"), F.struct("anchor", "lo", "n", "d"))).alias("open"),
-            F.collect_set(F.when(F.col("settled"), F.struct("lo", "n"))).alias("spans"),
-        )
+        .agg(F.collect_set(F.struct("anchor", "lo", "n", "d", "settled", "open")).alias("facts"))
     )
-    asked = of_documents(docs, by_doc.filter(F.size("open") > 0).select("_id", "_copy", "open"), "inner")
+    opened = F.transform(F.filter("facts", lambda f: f["open"]), lambda f: F.struct(*(f[c].alias(c) for c in ("anchor", "lo", "n", "d"))))
+    settled_runs = F.transform(F.filter("facts", lambda f: f["settled"]), lambda f: F.struct(f["lo"].alias("lo"), f["n"].alias("n")))
+    asked = of_documents(docs, by_doc.select("_id", "_copy", opened.alias("open")).filter(F.size("open") > 0), "inner")
     strings = asked.dropDuplicates(["_id", "_copy"]).mapInArrow(_string_rows(ids, length), STRINGS).repartition(parts, "anchor")
     key = ["anchor", "_id", "_copy", "lo"]
     found = []
@@ -190,7 +190,7 @@ def find(docs: DataFrame, ids: Ids, length: int, gram: int, later_only: bool, bl
         .agg(F.collect_list(F.struct((F.col("lo") + F.col("off")).alias("lo"), F.lit(1).alias("n"))).alias("spans"))
         .select("_id", "_copy", "spans")
     )
-    found.append(by_doc.filter(F.size("spans") > 0).select("_id", "_copy", "spans"))
+    found.append(by_doc.select("_id", "_copy", settled_runs.alias("spans")).filter(F.size("spans") > 0))
     union = found[0]
     for other in found[1:]:
         union = union.unionByName(other)
