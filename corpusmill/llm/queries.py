@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import op1_token_blocks, op6_substring_dedup, op7_suffix_dedup, op10_fast_sketch_dedup
+from corpusmill.llm import op1_token_blocks, op2_quality_llr as op2_quality_llr_, op6_substring_dedup, op7_suffix_dedup, op10_fast_sketch_dedup
 from corpusmill.llm.common import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,3 +49,10 @@ def op7_suffix_dedup_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_fast_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_fast_sketch_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
+@query
+def op2_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
+    rated = op2_quality_llr_.rate(table(spark, sf_dir, "documents"), trusted)
+    return rated.select("doc_id", "quality.*")
