@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import op1_token_blocks, op2_quality_llr as op2_quality_llr_, op6_substring_dedup, op7_suffix_dedup, op10_fast_sketch_dedup
+from corpusmill.llm import op1_token_blocks, op2_quality_llr as op2_quality_llr_, op5_url_rules as op5_url_rules_, op6_substring_dedup, op7_suffix_dedup, op10_fast_sketch_dedup
 from corpusmill.llm.common import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,30 @@ def op1_token_blocks_pfor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
 
 
+#: Host, path and verdict of each rule.
+URL_RULES = [
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+]
+
+
+@query
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    judged = op5_url_rules_.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return judged.select("row.page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op5_url_rules"] = f"""
+WITH rules(h, p, v) AS (VALUES {", ".join(map(str, URL_RULES))}),
+cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+named AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM cut),
+urls AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM named),
+fits AS (SELECT page_id, arg_max(h || p, (length(h || p), length(h))) AS rule, arg_max(v, (length(h || p), length(h))) AS verdict
+  FROM urls JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM urls LEFT JOIN fits USING (page_id)"""
+
+
 @query
 def op6_substring_dedup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op6_substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
