@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import op1_token_blocks, op2_quality_llr as op2_quality_llr_, op5_url_rules as op5_url_rules_, op6_substring_dedup, op7_suffix_dedup, op10_fast_sketch_dedup
+from corpusmill.llm import op1_token_blocks, op8_template_decontamination as op8_, op2_quality_llr as op2_quality_llr_, op5_url_rules as op5_url_rules_, op6_substring_dedup, op7_suffix_dedup, op10_fast_sketch_dedup
 from corpusmill.llm.common import shared_dir
+from corpusmill.llm.op2_quality_llr import SPACE
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,3 +81,32 @@ def op2_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
     rated = op2_quality_llr_.rate(table(spark, sf_dir, "documents"), trusted)
     return rated.select("doc_id", "quality.*")
+
+
+@query
+def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = op8_.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return judged.select("doc_id", "leak.contaminated", F.array_join("leak.items", ",").alias("items"))
+
+
+_units = "|".join(op8_.UNITS)
+_valued = f"""string_split_regex(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(coalesce(text, ''),
+  '{op8_.NAME_RULE}', '\\1' || chr(2) || '\\2', 'g')), '{op8_.NUMBER_RULE}', ' ' || chr(1) || '\\0 ', 'g'),
+  '{op8_.UNIT_RULE}', '\\1' || chr(3) || '\\2\\3', 'g'), '{op8_.DROP_RULE}', '', 'g'), '[{SPACE}]+')"""
+_grams = """SELECT key, words, w.i - 1 AS at, list_aggregate(list_transform(words[w.i : w.i + 7],
+  lambda x: CASE WHEN x < chr(4) THEN x[1] ELSE x END), 'string_agg', ' ') AS gram,
+  len(list_filter(words[w.i : w.i + 7], lambda x: x < chr(4))) AS slots, len(words) - 7 AS n"""
+ORACLES["op8_template_decontamination"] = f"""
+WITH d AS (SELECT doc_id AS key, list_filter({_valued}, lambda x: x <> '') AS words FROM documents),
+b AS (SELECT item_id AS key, list_filter({_valued}, lambda x: x <> '') AS words FROM benchmark),
+dg AS ({_grams} FROM d, unnest(range(1, len(words) - 6)) AS w(i)),
+bg AS ({_grams} FROM b, unnest(range(1, len(words) - 6)) AS w(i)),
+runs AS (SELECT dg.key AS doc, bg.key AS item, dg.at - bg.at AS shift, min(bg.at) AS a, max(bg.at) AS z, count(*) AS c, any_value(bg.n) AS n,
+  any_value(dg.words) AS dw, any_value(bg.words) AS bw
+  FROM dg JOIN bg ON dg.gram = bg.gram AND bg.slots <= 4 GROUP BY ALL),
+long AS (SELECT doc, item, list_filter(list_zip(bw[a + 1 : z + 8], dw[a + shift + 1 : z + shift + 8]),
+  lambda x: x[1] < chr(4) AND x[2] < chr(4)) AS slots FROM runs WHERE c >= ceil(n * 0.4::DOUBLE)),
+hits AS (SELECT DISTINCT doc, item FROM long
+  WHERE len(list_distinct(slots)) = len(list_distinct(list_transform(slots, lambda x: x[1])))),
+per AS (SELECT doc, string_agg(item, ',' ORDER BY item) AS items FROM hits GROUP BY doc)
+SELECT doc_id, doc IS NOT NULL AS contaminated, coalesce(items, '') AS items FROM documents LEFT JOIN per ON doc = doc_id"""
