@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import list_column, mix, saved, signed, slices, word_ids
 from corpusmill.llm.components import components
 
-BINS, BANDS = 128, 32
+#: Bands of six values: sets that overlap by 80 % agree in none of them with a chance of 5e-6.
+BANDS, ROWS = 40, 6
+BINS = BANDS * ROWS
 NONE = np.uint64(2**64 - 1)
 
 
@@ -56,7 +58,6 @@ def shingle_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
 
 def sketches(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """A row of BINS values for each set; empty sets keep NONE."""
-    shift = np.uint64(64 - BINS.bit_length() + 1)
     low = (np.uint64(1) << np.uint64(55)) - np.uint64(1)
     out = np.full((len(counts), BINS), NONE, dtype=np.uint64)
     owner = np.repeat(np.arange(len(counts)), counts)
@@ -65,7 +66,7 @@ def sketches(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
             break
         ball = mix(ids, turn * 2 + 1)
         value = (np.uint64(turn) << np.uint64(55)) | (mix(ball, 7) & low)
-        into = (ball >> shift).astype(np.int64) if turn < BINS else turn - BINS
+        into = ((ball >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64) if turn < BINS else turn - BINS
         np.minimum.at(out.reshape(-1), owner * BINS + into, value)
         if turn in (0, 1, 3) or turn % 8 == 7:
             part = np.zeros(len(counts), dtype=bool)
@@ -84,7 +85,7 @@ def _describe(words: int):
             nodes = np.zeros((batch.num_rows, 2), dtype=np.uint64)
             for k in (0, 1):
                 np.add.at(nodes[:, k], owner, mix(ids, k + 11))
-            bands = sketches(ids, counts).reshape(-1, BANDS, BINS // BANDS)
+            bands = sketches(ids, counts).reshape(-1, BANDS, ROWS)
             keys = mix(np.broadcast_to(np.arange(BANDS, dtype=np.uint64), bands.shape[:2]), 3)
             for k in range(bands.shape[2]):
                 keys = mix(keys, bands[:, :, k])

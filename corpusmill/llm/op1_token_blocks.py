@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import back_id, slices, width
 
 BLOCK = 1024
-HEAD = struct.Struct("<4sHHIQI")
+HEAD = "<4sHHIQI"
 BLOCK_HEAD = np.dtype([("least", "<u4"), ("width", "u1"), ("n", "<u2")])
 CHUNK_IDS = 1 << 20
 CACHE = 500_000
@@ -144,15 +144,15 @@ def write_chunk(doc_ids: list[int], sizes: list[int], ids: np.ndarray, percentil
         head = np.array([(least[k], bits[k], n_odd[k])], dtype=BLOCK_HEAD).tobytes()
         parts.append(head + packed[k] + where[a:b].tobytes() + value[a:b].tobytes())
     starts = np.cumsum([0, *map(len, parts)])[:-1].astype("<u8")
-    head = HEAD.pack(b"PFOR", 1, BLOCK, len(doc_ids), len(ids), count)
+    head = struct.pack(HEAD, b"PFOR", 1, BLOCK, len(doc_ids), len(ids), count)
     return b"".join([head, np.array(doc_ids, "<i8").tobytes(), np.array(sizes, "<u4").tobytes(), starts.tobytes(), *parts])
 
 
 def _layout(payload: bytes):
-    magic, version, size, docs, n, count = HEAD.unpack_from(payload)
+    magic, version, size, docs, n, count = struct.unpack_from(HEAD, payload)
     if magic != b"PFOR" or version != 1 or size != BLOCK:
         raise ValueError("not a chunk of token blocks")
-    at = HEAD.size
+    at = struct.calcsize(HEAD)
     doc_ids = np.frombuffer(payload, "<i8", docs, at)
     sizes = np.frombuffer(payload, "<u4", docs, at + 8 * docs)
     starts = np.frombuffer(payload, "<u8", count, at + 12 * docs).astype(np.int64) + at + 12 * docs + 8 * count

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import op1_token_blocks, op8_template_decontamination as op8_, op2_quality_llr as op2_quality_llr_, op5_url_rules as op5_url_rules_, op6_substring_dedup, op7_suffix_dedup, op10_fast_sketch_dedup
+from corpusmill.llm import op1_token_blocks, op8_template_decontamination as op8_, op9_pii_crf, op2_quality_llr as op2_quality_llr_, op5_url_rules as op5_url_rules_, op6_substring_dedup, op7_suffix_dedup, op10_fast_sketch_dedup
 from corpusmill.llm.common import shared_dir
 from corpusmill.llm.op2_quality_llr import SPACE
 
@@ -110,3 +110,9 @@ hits AS (SELECT DISTINCT doc, item FROM long
   WHERE len(list_distinct(slots)) = len(list_distinct(list_transform(slots, lambda x: x[1])))),
 per AS (SELECT doc, string_agg(item, ',' ORDER BY item) AS items FROM hits GROUP BY doc)
 SELECT doc_id, doc IS NOT NULL AS contaminated, coalesce(items, '') AS items FROM documents LEFT JOIN per ON doc = doc_id"""
+
+
+@query
+def op9_pii_crf_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op9_pii_crf.with_personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *op9_pii_crf.digest("pii"))
