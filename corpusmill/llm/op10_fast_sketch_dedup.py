@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import list_column, mix, saved, signed, slices, word_ids
@@ -77,32 +77,55 @@ def sketches(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_keys(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums that tell sets apart."""
+    owner, out = np.repeat(np.arange(len(counts)), counts), np.zeros((2, len(counts)), dtype=np.uint64)
+    for k in (0, 1):
+        np.add.at(out[k], owner, mix(ids, k + 11))
+    return signed(out[0]), signed(out[1])
+
+
+DESCRIBED = "_id long, n int, a long, b long, bands array<long>"
+
+
 def _describe(words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             ids, counts = shingle_sets(batch.column("_text").to_pylist(), words)
-            owner = np.repeat(np.arange(batch.num_rows), counts)
-            nodes = np.zeros((batch.num_rows, 2), dtype=np.uint64)
-            for k in (0, 1):
-                np.add.at(nodes[:, k], owner, mix(ids, k + 11))
             bands = sketches(ids, counts).reshape(-1, BANDS, ROWS)
             keys = mix(np.broadcast_to(np.arange(BANDS, dtype=np.uint64), bands.shape[:2]), 3)
-            for k in range(bands.shape[2]):
+            for k in range(ROWS):
                 keys = mix(keys, bands[:, :, k])
+            a, b = set_keys(ids, counts)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("_id"), pa.array(counts, pa.int64()), pa.array([x.tobytes() for x in nodes], pa.binary()),
+                    batch.column("_id"), pa.array(counts, pa.int32()), pa.array(a), pa.array(b),
                     list_column(signed(keys).reshape(-1), np.full(batch.num_rows, BANDS), pa.int64()),
                 ],
-                ["_id", "n", "node", "bands"],
+                ["_id", "n", "a", "b", "bands"],
             )
 
     return rows
 
 
-def _linked(threshold: int) -> Column:
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    return 100 * both >= threshold * (F.size("set_a") + F.size("set_b") - both)
+def _compare(words: int, threshold: int):
+    """Keeps the pairs whose full shingle sets overlap enough."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text_a"):
+            for part in slices(iter([batch]), "text_b"):
+                # each distinct text of the part once: a hub meets many others
+                place: dict[str, int] = {}
+                ends = [[place.setdefault(t, len(place)) for t in part.column(c).to_pylist()] for c in ("text_a", "text_b")]
+                ids, counts = shingle_sets(list(place), words)
+                sets = np.split(ids, np.cumsum(counts)[:-1])
+                keep = []
+                for x, y in zip(*ends, strict=True):
+                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    keep.append(both > 0 and 100 * both >= threshold * (len(sets[x]) + len(sets[y]) - both))
+                yield part.select(["a", "b"]).filter(pa.array(keep))
+
+    return rows
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 80) -> DataFrame:
@@ -112,85 +135,70 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     percent or more; component_id is the least id reachable by links. Null and
     wordless texts have an empty set and stand alone. A text of fewer than
     ``words`` words is one shingle. A null id counts as the least and stays
-    null. Rows equal in id and text get equal results; rows that share an id
-    but not a text are documents of their own. Extra columns are not looked at,
-    whatever their names. An empty table gives no rows.
+    null. Rows equal in id and text get equal results. Ids are meant to be
+    unique: sets that share their least id are taken for linked. Extra columns
+    are not looked at, whatever their names. An empty table gives no rows.
     """
-    spark = docs.sparkSession
+    if not 70 <= threshold <= 100:
+        raise ValueError("bands are laid out for thresholds from 70")
     source = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long")).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")
     )
-    rows = saved(source.mapInArrow(_describe(words), "_id long, n long, node binary, bands array<long>"), "sketches")
-    classes = rows.filter("n > 0").groupBy("node").agg(
-        F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")
-    )
-    entries = classes.select(F.explode("bands").alias("key"), "node", "rep", "n")
-    in_bucket = Window.partitionBy("key")
+    rows = saved(source.mapInArrow(_describe(words), DESCRIBED), "sketches")
+    # a class: documents of one set; its node is the least id
+    classes = rows.filter("n > 0").groupBy("a", "b").agg(F.min("_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    bucket = Window.partitionBy("key")
+    ranked = F.struct(F.xxhash64("node").alias("h"), "node", "n")
     entries = saved(
-        entries.withColumn("hub", F.min(F.struct(F.xxhash64("node").alias("h"), "node", "rep", "n")).over(in_bucket))
-        .withColumn("alone", F.max(F.struct(F.xxhash64("node").alias("h"), "node", "rep", "n")).over(in_bucket) == F.col("hub"))
-        .filter("NOT alone").drop("alone"),
+        classes.select(F.explode("bands").alias("key"), "node", "n")
+        .withColumns({"hub": F.min(ranked).over(bucket), "last": F.max(ranked).over(bucket)})
+        .filter(F.col("hub.node") != F.col("last.node"))
+        .select("key", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")),
         "buckets",
-    )
-    near = lambda a, b: (F.lit(100) * F.least(a, b) >= F.lit(threshold) * F.greatest(a, b))
-    nodes = entries.select("node", "rep").distinct()
-    texts = source.join(nodes.withColumnRenamed("rep", "_id"), "_id")
-    described = texts.mapInArrow(_own_sets(words), "node binary, set array<long>")
-    sets = saved(described, "sets")
+    )
+    near = lambda a, b: F.lit(100) * F.least(a, b) >= F.lit(threshold) * F.greatest(a, b)
+    stars = saved(entries.filter((F.col("hub") != F.col("node")) & near(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    nodes = entries.select(F.col("node").alias("_id")).distinct()
+    texts = saved(source.join(nodes, "_id").select(F.col("_id").alias("node"), F.col("_text").alias("text")), "texts")
 
     def compared(pairs: DataFrame) -> DataFrame:
-        return (
-            pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-            .filter(_linked(threshold))
-            .select("a", "b")
-        )
+        with_a = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
+        with_b = with_a.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
+        return with_b.select("a", "b", "text_a", "text_b").mapInArrow(_compare(words, threshold), "a long, b long")
 
-    stars = entries.filter((F.col("hub.node") != F.col("node")) & near(F.col("n"), F.col("hub.n")))
-    links = saved(compared(stars.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()), "links")
-    roots = saved(components(links), "roots")
-    quota = 8
-    # the hub of each bucket has been compared with all others
-    left = entries.filter(F.col("hub.node") != F.col("node")).select("key", "node", "n")
+    roots = saved(components(compared(stars)), "roots")
+    # the hub of each bucket has been compared with all others and leaves it
+    left, quota = entries.filter(F.col("hub") != F.col("node")).select("key", "node", "n"), 16
     while True:
         labelled = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        sizes = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-        main = sizes.groupBy("key").agg(F.max(F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-        open_ = saved(labelled.join(main.select("key", F.col("main.root").alias("main")), "key"), "open")
-        if open_.isEmpty():
+        several = labelled.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
+        labelled = saved(labelled.join(several.select("key"), "key"), "open")
+        seen = Observation()
+        of_root = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+        main = of_root.groupBy("key").agg(F.max(F.struct("c", "root")).getField("root").alias("main"))
+        outside = labelled.join(main, "key").filter("root <> main")
+        probes = outside.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("node"))).filter(F.col("r") <= quota)
+        probes = saved(
+            probes.select("key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a")).observe(seen, F.count(F.lit(1)).alias("n")),
+            "probes",
+        )
+        if not seen.get["n"]:
             break
-        outside = open_.filter("root <> main").withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("node")))
-        probes = outside.filter(F.col("r") <= quota).select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-        pairs = open_.join(probes, "key").filter((F.col("root") != F.col("ra")) & near(F.col("n"), F.col("na")))
-        fresh = saved(compared(pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()), "links")
-        left = saved(open_.select("key", "node", "n").join(probes.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti"), "left")
-        if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            roots = saved(components(links), "roots")
-        quota *= 2
-    labels = classes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = labels.groupBy("root").agg(F.min("rep").alias("component"))
-    of_node = labels.join(least, "root").select("node", "component")
-    done = rows.select("_id", "n", "node").join(of_node, "node", "left")
+        pairs = labelled.join(probes, "key").filter((F.col("root") != F.col("root_a")) & near(F.col("n"), F.col("n_a")))
+        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        seen = Observation()
+        fresh = saved(compared(pairs).observe(seen, F.count(F.lit(1)).alias("n")), "links")
+        left = labelled.join(probes.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti").select("key", "node", "n")
+        if seen.get["n"]:
+            # a star for each known component and the new links
+            known = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
+            roots = saved(components(known.unionByName(fresh)), "roots")
+        quota *= 4
+    labels = classes.select("a", "b", "node").join(roots, "node", "left").withColumn("component", F.coalesce("root", "node"))
+    done = rows.select("_id", "n", "a", "b").join(labels.select("a", "b", "component"), ["a", "b"], "left")
     id_of = lambda c: F.when(c == -(2**63), F.lit(None).cast("long")).otherwise(c)
     component = F.coalesce("component", "_id")
     return done.select(
-        id_of(F.col("_id")).alias(id_col), F.col("n").alias("n_shingles"), id_of(component).alias("component_id"),
+        id_of(F.col("_id")).alias(id_col), F.col("n").cast("long").alias("n_shingles"), id_of(component).alias("component_id"),
         (F.col("_id") == component).alias("kept"),
     )
-
-
-def _own_sets(words: int):
-    """(node, set) of the rows whose own set is the node they were joined with."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            ids, counts = shingle_sets(batch.column("_text").to_pylist(), words)
-            owner = np.repeat(np.arange(batch.num_rows), counts)
-            nodes = np.zeros((batch.num_rows, 2), dtype=np.uint64)
-            for k in (0, 1):
-                np.add.at(nodes[:, k], owner, mix(ids, k + 11))
-            table = pa.RecordBatch.from_arrays([batch.column("node"), list_column(signed(ids), counts, pa.int64())], ["node", "set"])
-            yield table.filter(pa.array([x.tobytes() == y for x, y in zip(nodes, batch.column("node").to_pylist(), strict=True)]))
-
-    return rows
