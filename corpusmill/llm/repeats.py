@@ -159,8 +159,7 @@ def find(docs: DataFrame, ids: Ids, length: int, gram: int, later_only: bool, bl
     settled_runs = F.transform(F.filter("facts", lambda f: f["settled"]), lambda f: F.struct(f["lo"].alias("lo"), f["n"].alias("n")))
     asked = of_documents(docs, by_doc.select("_id", "_copy", opened.alias("open")).filter(F.size("open") > 0), "inner")
     strings = asked.dropDuplicates(["_id", "_copy"]).mapInArrow(_string_rows(ids, length), STRINGS).repartition(parts, "anchor")
-    key = ["anchor", "_id", "_copy", "lo"]
-    found = []
+    kept = F.transform("ids", lambda h, k: F.struct(h.alias("string"), (F.col("lo") + k).alias("lo"), F.lit(1).alias("n")))
     if blocks:
         # blocks end where the distance to the seed is a multiple of BLOCK, alike in all runs of a seed
         cut = F.expr(
@@ -173,27 +172,23 @@ def find(docs: DataFrame, ids: Ids, length: int, gram: int, later_only: bool, bl
             F.xxhash64(F.element_at("b.ids", 1), F.element_at("b.ids", -1), F.size("b.ids")).alias("ext"),
         )
         of_piece = Window.partitionBy("anchor", "ext")
-        pieces = pieces.withColumn("first", F.min(_where()).over(of_piece)).withColumn(
-            "repeated", F.max(_where()).over(of_piece) != F.col("first")
-        )
-        settled = F.col("repeated") & ((F.col("first") != _where()) | F.lit(not later_only))
-        found.append(pieces.filter(settled).select("_id", "_copy", F.array(F.struct("lo", F.size("ids").alias("n"))).alias("spans")))
-        strings = pieces.filter(F.col("first") == _where())
-    single = strings.select(*key, F.posexplode("ids").alias("off", "string"))
-    at = F.struct("_id", "_copy", (F.col("lo") + F.col("off")).alias("lo"))
+        strings = pieces.withColumn("first", F.min(_where()).over(of_piece)).withColumn("last", F.max(_where()).over(of_piece))
+        settled = (F.col("first") != F.col("last")) & ((F.col("first") != _where()) | F.lit(not later_only))
+        # a settled block gives one row without a string, the first block of its kind one for each string
+        whole = F.array(F.struct(F.lit(None).cast("long").alias("string"), F.col("lo"), F.size("ids").alias("n")))
+        none = F.array().cast("array<struct<string: long, lo: int, n: int>>")
+        kept = F.concat(F.when(settled, whole).otherwise(none), F.when(F.col("first") == _where(), kept).otherwise(none))
+    single = strings.select("anchor", "_id", "_copy", F.explode(kept).alias("s")).select("anchor", "_id", "_copy", "s.*")
     of_string = Window.partitionBy("anchor", "string")
-    repeat = (F.max(at).over(of_string) != F.min(at).over(of_string)) if not later_only else (F.min(at).over(of_string) != at)
-    found.append(
+    repeat = F.min(_where()).over(of_string) != (_where() if later_only else F.max(_where()).over(of_string))
+    found = (
         single.withColumn("repeat", repeat)
-        .filter("repeat")
-        .groupBy(*key)
-        .agg(F.collect_list(F.struct((F.col("lo") + F.col("off")).alias("lo"), F.lit(1).alias("n"))).alias("spans"))
+        .filter("repeat OR string IS NULL")
+        .groupBy("anchor", "_id", "_copy")
+        .agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
         .select("_id", "_copy", "spans")
     )
-    found.append(by_doc.select("_id", "_copy", settled_runs.alias("spans")).filter(F.size("spans") > 0))
-    union = found[0]
-    for other in found[1:]:
-        union = union.unionByName(other)
+    union = found.unionByName(by_doc.select("_id", "_copy", settled_runs.alias("spans")).filter(F.size("spans") > 0))
     return union.repartition(parts, "_id").groupBy("_id", "_copy").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
