@@ -10,11 +10,11 @@ compared exactly, on their full shingle sets.
 
 Documents of equal sets form one class and only classes are compared. In a
 bucket, the class of least hash is compared with all others. Buckets whose
-classes are then still in several components go on in rounds: a few classes
-from outside the bucket's largest component are compared with all classes of
-other components and leave the bucket, twice as many in each round, until each
-bucket is one component. No pair in a bucket stays both unlinked and uncompared
-and no bucket is capped.
+classes are then still in several components go on: each class outside the
+bucket's largest component is compared with all classes of other components,
+in the first bucket that both stand in. So no two classes of a bucket stay both
+unlinked and uncompared, no bucket is capped, and a large group of copies, being
+one component by then, costs no pairs.
 """
 
 from __future__ import annotations
@@ -167,33 +167,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return with_b.select("a", "b", "text_a", "text_b").mapInArrow(_compare(words, threshold), "a long, b long")
 
     roots = saved(components(compared(stars)), "roots")
-    # the hub of each bucket has been compared with all others and leaves it
-    left, quota = entries.filter(F.col("hub") != F.col("node")).select("key", "node", "n"), 16
-    while True:
-        labelled = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = labelled.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
-        labelled = saved(labelled.join(several.select("key"), "key"), "open")
-        seen = Observation()
-        of_root = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-        main = of_root.groupBy("key").agg(F.max(F.struct("c", "root")).getField("root").alias("main"))
-        outside = labelled.join(main, "key").filter("root <> main")
-        probes = outside.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("node"))).filter(F.col("r") <= quota)
-        probes = saved(
-            probes.select("key", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a")).observe(seen, F.count(F.lit(1)).alias("n")),
-            "probes",
-        )
-        if not seen.get["n"]:
-            break
-        pairs = labelled.join(probes, "key").filter((F.col("root") != F.col("root_a")) & near(F.col("n"), F.col("n_a")))
-        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        seen = Observation()
-        fresh = saved(compared(pairs).observe(seen, F.count(F.lit(1)).alias("n")), "links")
-        left = labelled.join(probes.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti").select("key", "node", "n")
-        if seen.get["n"]:
-            # a star for each known component and the new links
-            known = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
-            roots = saved(components(known.unionByName(fresh)), "roots")
-        quota *= 4
+    # what buckets still hold apart; their hubs have been compared with all others
+    rest = entries.filter(F.col("hub") != F.col("node")).select("key", "node", "n")
+    labelled = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = labelled.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
+    labelled = saved(labelled.join(several.select("key"), "key"), "open")
+    of_root = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = of_root.groupBy("key").agg(F.max(F.struct("c", "root")).getField("root").alias("main"))
+    keys = labelled.groupBy("node").agg(F.collect_list("key").alias("keys"))  # at most one for each band
+    placed = saved(labelled.join(main, "key").withColumn("main", F.col("root") == F.col("main")).join(keys, "node"), "placed")
+    probes = placed.filter("NOT main").select("key", *(F.col(c).alias(f"p_{c}") for c in ("node", "n", "root", "keys")))
+    # a pair is taken in the least bucket that both stand in, and once where both are outside
+    pairs = placed.join(probes, "key").filter(
+        (F.col("root") != F.col("p_root")) & near(F.col("n"), F.col("p_n")) & (F.col("main") | (F.col("node") < F.col("p_node")))
+        & (F.array_min(F.array_intersect("keys", "p_keys")) == F.col("key"))
+    )
+    seen = Observation()
+    fresh = compared(pairs.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")))
+    fresh = saved(fresh.observe(seen, F.count(F.lit(1)).alias("n")), "links")
+    if seen.get["n"]:
+        # a star for each known component and the new links
+        roots = saved(components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(fresh)), "roots")
     labels = classes.select("a", "b", "node").join(roots, "node", "left").withColumn("component", F.coalesce("root", "node"))
     done = rows.select("_id", "n", "a", "b").join(labels.select("a", "b", "component"), ["a", "b"], "left")
     id_of = lambda c: F.when(c == -(2**63), F.lit(None).cast("long")).otherwise(c)
@@ -202,3 +196,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         id_of(F.col("_id")).alias(id_col), F.col("n").cast("long").alias("n_shingles"), id_of(component).alias("component_id"),
         (F.col("_id") == component).alias("kept"),
     )
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 80) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, all columns; of rows equal in id and text one stays."""
+    kept = near_duplicates(docs, id_col, text_col, words, threshold).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
+    joined = docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
+    return joined.dropDuplicates([id_col, text_col])

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import op1_token_blocks, op8_template_decontamination as op8_, op9_pii_crf, op2_quality_llr as op2_quality_llr_, op5_url_rules as op5_url_rules_, op6_substring_dedup, op7_suffix_dedup, op10_fast_sketch_dedup
+from corpusmill.llm import op1_token_blocks, op4_gumbel_pieces as op4_, op8_template_decontamination as op8_, op9_pii_crf, op2_quality_llr as op2_quality_llr_, op5_url_rules as op5_url_rules_, op6_substring_dedup, op7_suffix_dedup, op10_fast_sketch_dedup
 from corpusmill.llm.common import shared_dir
 from corpusmill.llm.op2_quality_llr import SPACE
 
@@ -35,6 +35,13 @@ def op1_token_blocks_pfor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
 
 
+@query
+def op4_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op4_.with_samples(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), k=2)
+    part = lambda name: F.transform("samples", lambda s: s[name])
+    return found.select("doc_id", part("ids").alias("ids"), part("log_prob").alias("log_probs"), part("log_inclusion").alias("log_inclusions"))
+
+
 #: Host, path and verdict of each rule.
 URL_RULES = [
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"),
