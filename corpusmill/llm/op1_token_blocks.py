@@ -24,8 +24,6 @@ import re
 import struct
 from array import array
 from collections.abc import Iterator
-from itertools import compress, repeat
-from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import back_id, slices, width
+from corpusmill.llm.common import back_id, mix, slices, width
 
 BLOCK = 1024
 HEAD = "<4sHHIQI"
@@ -47,50 +45,92 @@ class Encoder:
 
     Byte-level pre-tokenizing always starts a token at a single space that is
     followed by something else than white space, so a text may be cut there.
-    Texts where a space is followed by white space are cut with more care.
-    Words are kept in two generations, so frequent ones stay when memory is full.
+    Words are found and hashed as spans of one byte buffer; only those not seen
+    before become strings. Texts where a space is followed by white space are
+    cut with more care. Words are kept in two generations, so frequent ones
+    stay when memory is full.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.end = np.array([end_id], dtype="<u4").tobytes()
+        self.known: dict[int, bytes] = {}
+        self.older: dict[int, bytes] = {}
         self.careful = re.compile(r"(?= \S)")
+        self.letters = mix(np.arange(1, 257), 1)
+        self.powers = self.inverse = np.ones(1, dtype=np.uint64)
 
     def _plain(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
-    def _learn(self, pieces: set[str]) -> None:
-        again = [p for p in pieces if p in self.older]
-        self.known.update((p, self.older[p]) for p in again)
-        pieces.difference_update(again)
-        # no ids: the piece does not stand alone
-        odd = [p for p in pieces if not p or p[0].isspace()]
-        self.known.update((p, b"") for p in odd)
-        pieces.difference_update(odd)
-        new = list(pieces)
-        self.known.update(zip(new, self._plain([" " + p for p in new]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as unsigned 32-bit numbers."""
+    def _hashes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash of each span: sums of letters times powers of an odd number, moved to the same power."""
+        base = 0x9E3779B97F4A7C15
+        while len(self.powers) <= len(data):
+            n = 2 * max(len(data), 1 << 16)
+            self.powers = np.cumprod(np.append(np.uint64(1), np.full(n, np.uint64(base))), dtype=np.uint64)
+            self.inverse = np.cumprod(np.append(np.uint64(1), np.full(n, np.uint64(pow(base, -1, 2**64)))), dtype=np.uint64)
+        sums = np.append(np.uint64(0), np.cumsum(self.letters[data] * self.powers[: len(data)], dtype=np.uint64))
+        return mix((sums[end] - sums[start]) * self.inverse[start], (end - start).astype(np.uint64))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids with the end id after each text, and their number for each text."""
         if len(self.known) > CACHE:
             self.older, self.known = self.known, {}
-        cut = [text.split(" ") for text in texts]
-        heads = self._plain([pieces[0] for pieces in cut])
-        pieces = [p for doc in cut for p in doc[1:]]
-        found = list(map(self.known.get, pieces))
-        if None in found:
-            self._learn(set(compress(pieces, map(is_, found, repeat(None)))))
-            found = list(map(self.known.get, pieces))
-        out, at = [], 0
-        for text, head, doc in zip(texts, heads, cut, strict=True):
-            ids = found[at : at + len(doc) - 1]
-            at += len(doc) - 1
-            out.append(b"".join(self._plain(self.careful.split(text))) if b"" in ids else head + b"".join(ids))
-        return out
+        raw = [text.encode() for text in texts]
+        buffer = b" ".join(raw) + b" "
+        data = np.frombuffer(buffer, dtype=np.uint8)
+        end = np.nonzero(data == 32)[0]
+        start = np.append(0, end[:-1] + 1)
+        sizes = np.array([len(x) + 1 for x in raw])
+        doc_end = np.searchsorted(end, np.cumsum(sizes) - 1) + 1  # words up to the end of each text
+        first = np.append(0, doc_end[:-1])
+        hashes = self._hashes(data, start, end)
+        hashes[first] ^= np.uint64(0x5555555555555555)  # the first word of a text has no space before it
+        distinct, sample, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        names = distinct.tolist()
+        found = list(map(self.known.get, names))
+        missing = [k for k, f in enumerate(found) if f is None]
+        if missing:
+            heads = np.zeros(len(start), dtype=bool)
+            heads[first] = True
+            new = []
+            for k in missing:
+                again = self.older.get(names[k])
+                if again is None:
+                    at = sample[k]
+                    word = buffer[start[at] : end[at]].decode()
+                    # no ids: the word does not stand alone
+                    again = b"" if not heads[at] and (not word or word[0].isspace()) else None
+                    if again is None:
+                        new.append((k, word if heads[at] else " " + word))
+                        continue
+                found[k] = self.known[names[k]] = again
+            for (k, _), ids in zip(new, self._plain([w for _, w in new]), strict=True):
+                found[k] = self.known[names[k]] = ids or EMPTY
+        odd = np.array([not f for f in found])
+        found = [b"" if f is EMPTY else f for f in found] + [self.end]
+        counts = np.array(list(map(len, found))) // 4
+        words = np.insert(inverse, doc_end, len(found) - 1)
+        ids = np.frombuffer(b"".join(map(found.__getitem__, words.tolist())), dtype="<u4")
+        total = np.cumsum(counts[words])
+        n_docs = np.diff(np.append(0, total[doc_end + np.arange(len(texts))]))
+        if odd.any():
+            strange = np.zeros(len(start) + 1, dtype=np.int64)
+            np.cumsum(odd[inverse], out=strange[1:])
+            parts = np.split(ids, np.cumsum(n_docs)[:-1])
+            for d in np.nonzero(strange[doc_end] > strange[first])[0].tolist():
+                again = b"".join(self._plain(self.careful.split(texts[d]))) + self.end
+                parts[d] = np.frombuffer(again, dtype="<u4")
+            ids, n_docs = np.concatenate(parts), np.array(list(map(len, parts)))
+        return ids, n_docs
+
+
+#: What an empty first word stands for: no ids, and nothing strange about it.
+EMPTY = b"\x00"
 
 
 def pack(blocks: np.ndarray, bits: int) -> np.ndarray:
@@ -195,28 +235,29 @@ CHUNKS = "shard int, chunk int, start long, n_ids long, payload binary"
 
 def _encode(path: str, end_id: int, percentile: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, end = Encoder(path), TaskContext.get().partitionId(), struct.pack("<I", end_id)
-        doc_ids, parts, held, start, chunk = [], [], 0, 0, 0
+        encoder, shard = Encoder(path, end_id), TaskContext.get().partitionId()
+        doc_ids, sizes, parts, held, start, chunk = [], [], [], 0, 0, 0
 
         def flush():
-            nonlocal doc_ids, parts, held, start, chunk
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            payload = write_chunk(doc_ids, [len(p) // 4 for p in parts], ids, percentile)
+            nonlocal doc_ids, sizes, parts, held, start, chunk
+            ids = np.concatenate(parts)
+            payload = write_chunk(doc_ids, sizes, ids, percentile)
             row = pa.RecordBatch.from_arrays(
                 [pa.array([x], t) for x, t in ((shard, pa.int32()), (chunk, pa.int32()), (start, pa.int64()), (len(ids), pa.int64()), (payload, pa.binary()))],
                 ["shard", "chunk", "start", "n_ids", "payload"],
             )
             start, chunk = start + len(ids), chunk + 1
-            doc_ids, parts, held = [], [], 0
+            doc_ids, sizes, parts, held = [], [], [], 0
             return row
 
         for batch in slices(batches, "_text"):
-            for key, ids in zip(batch.column("_id").to_pylist(), encoder.encode(batch.column("_text").to_pylist()), strict=True):
-                doc_ids.append(key)
-                parts.append(ids + end)
-                held += len(ids) // 4 + 1
-                if held >= CHUNK_IDS:
-                    yield flush()
+            ids, n = encoder.encode(batch.column("_text").to_pylist())
+            doc_ids += batch.column("_id").to_pylist()
+            sizes += n.tolist()
+            parts.append(ids)
+            held += len(ids)
+            if held >= CHUNK_IDS:
+                yield flush()
         if doc_ids:
             yield flush()
 
@@ -261,14 +302,15 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
     """(id, start, n_tokens, tokens): tokens are little-endian unsigned 32-bit ids with the end id.
 
     ``start`` counts the ids of all documents before. Shards are few (one per
-    task that wrote); only their totals are summed in one task.
+    task that wrote); only their totals are summed in one task and
+    sent to all.
     """
     chunks = spark.read.schema(CHUNKS).parquet(path)
     totals = chunks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     shards = totals.select("shard", F.coalesce(before, F.lit(0)).alias("before"))
     rows = chunks.select("shard", "start", "payload").mapInArrow(_decode, "shard int, _id long, begin long, tokens binary")
-    return rows.join(shards, "shard").select(
+    return rows.join(F.broadcast(shards), "shard").select(
         back_id().alias(id_col), (F.col("before") + F.col("begin")).alias("start"),
         (F.octet_length("tokens") / 4).cast("long").alias("n_tokens"), "tokens",
     )
