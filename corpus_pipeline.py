@@ -20,7 +20,8 @@ from corpusmill.llm.common import saved
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the rules or the log-likelihood ratio reject; trusted are labelled good and not toxic."""
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1 AND toxic = 0").select("doc_id")
-    rated = op2_quality_llr.rate(docs, trusted, result="_quality")
+    # written first: a filter on the rating is otherwise planned into the expressions that make it
+    rated = saved(op2_quality_llr.rate(docs, trusted, result="_quality"), "rated")
     return rated.filter("_quality.kept").drop("_quality")
 
 
@@ -32,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item, also with other numbers, names or units."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    judged = op8_template_decontamination.decontaminate(docs, benchmark, result="_leak")
+    judged = saved(op8_template_decontamination.decontaminate(docs, benchmark, result="_leak"), "judged")
     return judged.filter("NOT _leak.contaminated").drop("_leak")
 
 

@@ -23,6 +23,7 @@ SPACE = "\\x20\\x09-\\x0D"
 #: Trusted documents whose n-grams are counted, those of least hashed id first.
 TRUSTED = 20_000
 BUCKETS = 1 << 16
+PER_BUCKET = 64
 
 
 def words_of(text: Column) -> Column:
@@ -77,11 +78,19 @@ def count_buckets(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: st
 
 
 def model(counts: list[tuple[int, int, int]], buckets: int) -> tuple[list[float], float, float]:
-    """Log ratio of each bucket, and its mean and deviation among trusted n-grams; each bucket counts one more."""
-    raw, trusted = [1] * buckets, [1] * buckets
+    """Log ratio of each bucket, and its mean and deviation among trusted n-grams; each bucket counts one more.
+
+    Buckets are folded by their upper bits until they hold ``PER_BUCKET``
+    trusted n-grams on average, so that a small trusted set is not learned by
+    heart.
+    """
+    fold, n = 0, sum(c[2] for c in counts)
+    while (buckets >> fold) > 256 and (buckets >> fold) * PER_BUCKET > n:
+        fold += 1
+    raw, trusted = [1] * (buckets >> fold), [1] * (buckets >> fold)
     for bucket, n_raw, n_trusted in counts:
-        raw[bucket] += n_raw
-        trusted[bucket] += n_trusted
+        raw[bucket >> fold] += n_raw
+        trusted[bucket >> fold] += n_trusted
     all_raw, all_trusted = sum(raw), sum(trusted)
     ratio = [round(math.log(t / all_trusted) - math.log(r / all_raw), 6) for t, r in zip(trusted, raw, strict=True)]
     mean = math.fsum(t * w for t, w in zip(trusted, ratio, strict=True)) / all_trusted
@@ -112,7 +121,7 @@ def rate(
     rows = _repeats(_hashed(docs, text_col))
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(f"[^{SPACE}]"))
     n, grams = F.size("words"), F.size("h1") + F.size("h2")
-    bucket = _bucket(buckets)
+    bucket = _bucket(len(ratio))
     rows = rows.withColumn("lines", lines).withColumn(
         "sum", F.aggregate(F.concat("h1", "h2"), F.lit(0.0), lambda s, h: s + F.get(weights, bucket(h)))
     )
