@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import op1_token_blocks, op4_gumbel_pieces as op4_, op8_template_decontamination as op8_, op9_pii_crf, op2_quality_llr as op2_quality_llr_, op5_url_rules as op5_url_rules_, op6_substring_dedup, op7_suffix_dedup, op10_fast_sketch_dedup
+from corpusmill.llm import op1_token_blocks, op3_attention_lm as op3_, op4_gumbel_pieces as op4_, op8_template_decontamination as op8_, op9_pii_crf, op2_quality_llr as op2_quality_llr_, op5_url_rules as op5_url_rules_, op6_substring_dedup, op7_suffix_dedup, op10_fast_sketch_dedup
 from corpusmill.llm.common import shared_dir
 from corpusmill.llm.op2_quality_llr import SPACE
 
@@ -123,3 +123,8 @@ SELECT doc_id, doc IS NOT NULL AS contaminated, coalesce(items, '') AS items FRO
 def op9_pii_crf_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op9_pii_crf.with_personal_data(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *op9_pii_crf.digest("pii"))
+
+
+@query
+def op3_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_.score_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
