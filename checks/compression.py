@@ -186,10 +186,10 @@ def plain_text_selection(spark, sf):
 @query("rag_chunk_facts", f"""
   WITH c AS (SELECT doc_id, unnest(ls) AS line, unnest(generate_series(0, len(ls) - 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
   x AS (SELECT doc_id, i, 'file_' || (i % 4) AS src, ('0.' || ((i * 37 + doc_id) % 90 + 10))::DOUBLE AS score,
-    {trim_sql("left('source: file_' || (i % 4) || chr(10) || 'title: Title ' || doc_id || chr(10) || 'chunk_id: c_' || i || chr(10) || 'score: 0.' || ((i * 37 + doc_id) % 90 + 10) || chr(10) || line, 100)")} AS head FROM c),
+    {trim_sql("('source: file_' || (i % 4) || chr(10) || 'title: Title ' || doc_id || chr(10) || 'chunk_id: c_' || i || chr(10) || 'score: 0.' || ((i * 37 + doc_id) % 90 + 10) || chr(10) || line)")} AS head FROM c),
   d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, src, head ORDER BY score DESC, i) AS r, min(i) OVER (PARTITION BY doc_id, src, head) AS place FROM x)
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) - 1 AS ord, src || '|Title ' || doc_id || '|c_' || i || '|' || score AS value
-  FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM d WHERE r = 1) WHERE n <= 20 OR score >= 0.2""")
+  FROM d WHERE r = 1""")
 def rag_chunk_facts(spark, sf):
     # a text line that opens with one of the labels would start a passage of its own
     rows = _facts(td.rag_documents(spark, sf), "rag_chunk")

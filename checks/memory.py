@@ -375,7 +375,7 @@ def count_retrievals(spark, sf):
       doc_id % 11 != 0 AS ok, doc_id % 13 != 0 AS saved, doc_id % 9 != 0 AS orig, text FROM documents),
   s AS (SELECT *, CASE WHEN c OR v = 'conflicting' THEN 'CONTRADICTORY' WHEN upper(trim(v)) IN ('VERIFIED','UNVERIFIED')
       THEN upper(trim(v)) ELSE 'UNKNOWN' END AS st,
-      t = 'test_output' OR regexp_matches(goal || chr(10) || left(text, 4000), '(?i)\\b(build|security[ -]?scan|vulnerability|sast|dast|dependency[ -]?audit)\\b') AS sens FROM q)
+      t = 'test_output' OR regexp_matches(goal || chr(10) || text, '(?i)\\b(build|security[ -]?scan|vulnerability|sast|dast|dependency[ -]?audit)\\b') AS sens FROM q)
   SELECT id, CASE WHEN NOT saved THEN 'compressed row was not saved' WHEN NOT ok THEN 'compression failed'
     WHEN t = 'unknown' THEN 'content type is unknown' WHEN st = 'CONTRADICTORY' THEN 'summary is contradictory'
     WHEN st = 'UNKNOWN' THEN 'verification status is unknown'

@@ -304,10 +304,6 @@ def should_retrieve_original(query: Column, content: Column, content_type: Colum
     )
 
 
-# The largest inputs an analysis takes, in characters.
-MAX_CONTENT_CHARS = 500_000
-MAX_QUERY_CHARS = 2_000
-
 ACTIONS = {
     "compress": "compress", "recall": "recall", "save_memory": "remember",
     "retrieve_original": "retrieve",

@@ -65,7 +65,7 @@ def parse(content: Column) -> Column:
                 F.regexp_extract(s, r"(?i)(?:score|relevance)[: ]\s*([\d.]+)", 1).try_cast("double"),
                 F.lit(0.5),
             ),
-            F.substring(s, 1, 500),
+            s,
         ),
     )
     opens = F.substring(trim(content), 1, 1).isin("[", "{")
@@ -78,7 +78,7 @@ def parse(content: Column) -> Column:
 def extract_info(chunks: Column) -> Column:
     scores = F.transform(chunks, lambda c: c["score"])
     keys = F.transform(
-        chunks, lambda c: F.concat(c["source"], F.lit("::"), trim(F.substring(c["content"], 1, 100)))
+        chunks, lambda c: F.sha2(F.concat(c["source"], F.lit("::"), trim(c["content"])), 256)
     )
 
     def rank(k: Column) -> Column:
@@ -101,9 +101,7 @@ def extract_info(chunks: Column) -> Column:
         return let(ordered, first_per_place)
 
     def finish(unique: Column) -> Column:
-        many = F.size(unique) > 20
-        strong = F.filter(unique, lambda c: c["score"] >= 0.2)
-        kept = F.when(many, strong).otherwise(unique)
+        kept = unique
         total = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x)
         return F.struct(
             kept.alias("chunks"),

@@ -26,11 +26,6 @@ def _where(df: DataFrame, **allowed: Sequence[str] | None) -> DataFrame:
 MEMORY_SORTS = ("created_at", "updated_at", "type", "status", "confidence")
 
 
-def clamp_page_limit(limit: int | None, default: int = 50, maximum: int = 100) -> int:
-    """B2: the listing limit, 1 to 100 with a default of 50."""
-    return default if limit is None else max(1, min(int(limit), maximum))
-
-
 def list_memories(
     memories: DataFrame,
     types: Sequence[str] | None = None,

@@ -459,7 +459,7 @@ SENSITIVE = (
 
 
 def verification_sensitive(content_type: Column, content: Column, goal: Column) -> Column:
-    text = F.concat(F.coalesce(goal, F.lit("")), F.lit("\n"), F.substring(content, 1, 4000))
+    text = F.concat(F.coalesce(goal, F.lit("")), F.lit("\n"), content)
     return content_type.isin("test_output", "command_output") | text.rlike(SENSITIVE)
 
 

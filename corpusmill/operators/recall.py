@@ -12,13 +12,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import is_blank, let, ordered_distinct, round_half_up, trim
 from corpusmill.operators import lookup
 from corpusmill.operators.listing import live_facts
-from corpusmill.operators.ranking import top_per_key
 from corpusmill.session import as_time
 from corpusmill.sources.store import new_failures, new_receipts
 
@@ -338,9 +337,6 @@ def matches(memories: DataFrame, queries: DataFrame, mode: str = "any") -> DataF
     return _with_matched_terms(_scored(text, asked, mode), text, asked).drop("limit")
 
 
-MAX_LIMIT = 50
-
-
 def search(
     memories: DataFrame,
     queries: DataFrame,
@@ -350,9 +346,9 @@ def search(
     mode: str = "any",
     default_limit: int = 10,
 ) -> DataFrame:
-    """K9: ranked hits per query, at most the query's limit (50 at the most).
+    """K9: ranked hits per query, as many as the query's limit; ``validate_recall`` warns of large ones.
 
-    The rank window sees at most 50 rows per query and input partition. The
+    The
     terms a hit matched and whether it can be expanded (C8) are worked out for
     the ranked rows only.
     """
@@ -362,12 +358,11 @@ def search(
     scored = scored.withColumn("_s", parts).select(
         "scope_id", "query_id", "memory_id", "type", "status", "source_ref", "score", "confidence",
         "_s.*", "match_method",
-        F.least(F.coalesce("limit", F.lit(default_limit)), F.lit(MAX_LIMIT)).alias("_limit"),
+        F.coalesce("limit", F.lit(default_limit)).alias("_limit"),
     )
     order = [F.col("final_score").desc(), F.col("memory_id")]
-    top = top_per_key(scored, ["query_id"], order, MAX_LIMIT).filter(
-        F.col("rank") <= F.col("_limit")
-    ).drop("_limit")
+    window = Window.partitionBy("query_id").orderBy(*order)
+    top = scored.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= F.col("_limit")).drop("_limit")
     top = _with_matched_terms(top, text, asked)
     if compressed is not None:
         top = lookup.with_can_expand(top, compressed)

@@ -49,18 +49,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def as_time(now: Column | str) -> Column:
     """``now`` is always an explicit argument, a Column or 'yyyy-MM-dd HH:mm:ss'."""
     return now if isinstance(now, Column) else F.lit(now).cast("timestamp_ntz")
-
-
-SPLIT_BYTES = 128 * 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for a small input that sits in few files.
-
-    A parquet file of one row group is read by one task, however much work
-    follows. Inputs too small to give every core a full split are dealt out
-    once; larger inputs, where that shuffle would cost, are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SPLIT_BYTES else df

@@ -151,7 +151,7 @@ def new_failures(
     now: Column | str,
     id_from: Sequence[str],
 ) -> DataFrame:
-    """Failure rows. A row that cannot be built is dropped, not raised."""
+    """Failure rows. Rows that cannot be placed are what ``rejected_failures`` returns."""
     event = event_type if isinstance(event_type, Column) else F.lit(event_type)
     key = F.concat_ws("|", event, *[F.col(c).cast("string") for c in id_from])
     shaped = rows.withColumns(
@@ -166,6 +166,14 @@ def new_failures(
     )
 
 
+def rejected_failures(rows: DataFrame, event_type: Column | str) -> DataFrame:
+    """The rows that ``new_failures`` cannot place, with the reason."""
+    event = event_type if isinstance(event_type, Column) else F.lit(event_type)
+    unknown = ~F.coalesce(event.isin(*schemas.FAILURE_TYPES), F.lit(False))
+    reason = F.when(F.col("scope_id").isNull(), "scope_missing").when(unknown, "event_type_unknown")
+    return rows.withColumn("reject_reason", reason).filter("reject_reason IS NOT NULL")
+
+
 def new_profile_facts(remembered: DataFrame, now: Column | str) -> DataFrame:
     """A fact per remembered row that names a profile layer."""
     at = as_time(now)
