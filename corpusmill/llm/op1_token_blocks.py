@@ -37,7 +37,7 @@ BLOCK = 1024
 HEAD = "<4sHHIQI"
 BLOCK_HEAD = np.dtype([("least", "<u4"), ("width", "u1"), ("n", "<u2")])
 CHUNK_IDS = 1 << 20
-CACHE = 500_000
+CACHE = 200_000
 
 
 class Encoder:
@@ -250,7 +250,7 @@ def _encode(path: str, end_id: int, percentile: float):
             doc_ids, sizes, parts, held = [], [], [], 0
             return row
 
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", 1 << 20):
             ids, n = encoder.encode(batch.column("_text").to_pylist())
             doc_ids += batch.column("_id").to_pylist()
             sizes += n.tolist()
