@@ -37,7 +37,7 @@ BLOCK = 1024
 HEAD = "<4sHHIQI"
 BLOCK_HEAD = np.dtype([("least", "<u4"), ("width", "u1"), ("n", "<u2")])
 CHUNK_IDS = 1 << 20
-CACHE = 200_000
+CACHE = 2_000_000
 
 
 class Encoder:
@@ -47,8 +47,8 @@ class Encoder:
     followed by something else than white space, so a text may be cut there.
     Words are found and hashed as spans of one byte buffer; only those not seen
     before become strings. Texts where a space is followed by white space are
-    cut with more care. Words are kept in two generations, so frequent ones
-    stay when memory is full.
+    cut with more care. Known words are sorted arrays of hash, place and number
+    of ids, about 20 bytes a word; beyond CACHE words they are learned anew.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -56,12 +56,15 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end_id], dtype="<u4").tobytes()
-        self.known: dict[int, bytes] = {}
-        self.older: dict[int, bytes] = {}
+        self._forget()
         self.careful = re.compile(r"(?= \S)")
         self.letters = mix(np.arange(1, 257), 1)
         self.powers = self.inverse = np.ones(1, dtype=np.uint64)
 
+    def _forget(self) -> None:
+        self.keys, self.ids = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype="<u4")
+        self.places, self.sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+
     def _plain(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
@@ -76,10 +79,31 @@ class Encoder:
         sums = np.append(np.uint64(0), np.cumsum(self.letters[data] * self.powers[: len(data)], dtype=np.uint64))
         return mix((sums[end] - sums[start]) * self.inverse[start], (end - start).astype(np.uint64))
 
+    def _learn(self, hashes: np.ndarray, buffer: bytes, start: np.ndarray, end: np.ndarray, head: np.ndarray) -> None:
+        """Add the words whose hashes (sorted) are not known; size -1 marks words that do not stand alone."""
+        at = np.searchsorted(self.keys, hashes)
+        new = np.ones(len(hashes), dtype=bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != hashes[inside]
+        new = np.nonzero(new)[0]
+        words, sizes = [], np.zeros(len(new), dtype=np.int32)
+        for k, (a, b, h) in enumerate(zip(start[new].tolist(), end[new].tolist(), head[new].tolist(), strict=True)):
+            word = buffer[a:b].decode()
+            if not h and (not word or word[0].isspace()):
+                sizes[k] = -1
+            words.append(word if h else "" if sizes[k] else " " + word)
+        ids = self._plain(words)
+        counts = np.array(list(map(len, ids)), dtype=np.int32) // 4
+        sizes = np.where(sizes < 0, sizes, counts)
+        places = len(self.ids) + np.cumsum(counts, dtype=np.int64) - counts
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), dtype="<u4")])
+        self.keys = np.insert(self.keys, at[new], hashes[new])
+        self.places, self.sizes = np.insert(self.places, at[new], places), np.insert(self.sizes, at[new], sizes)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end id after each text, and their number for each text."""
-        if len(self.known) > CACHE:
-            self.older, self.known = self.known, {}
+        if len(self.keys) > CACHE:
+            self._forget()
         raw = [text.encode() for text in texts]
         buffer = b" ".join(raw) + b" "
         data = np.frombuffer(buffer, dtype=np.uint8)
@@ -91,29 +115,15 @@ class Encoder:
         hashes = self._hashes(data, start, end)
         hashes[first] ^= np.uint64(0x5555555555555555)  # the first word of a text has no space before it
         distinct, sample, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        names = distinct.tolist()
-        found = list(map(self.known.get, names))
-        missing = [k for k, f in enumerate(found) if f is None]
-        if missing:
-            heads = np.zeros(len(start), dtype=bool)
-            heads[first] = True
-            new = []
-            for k in missing:
-                again = self.older.get(names[k])
-                if again is None:
-                    at = sample[k]
-                    word = buffer[start[at] : end[at]].decode()
-                    # no ids: the word does not stand alone
-                    again = b"" if not heads[at] and (not word or word[0].isspace()) else None
-                    if again is None:
-                        new.append((k, word if heads[at] else " " + word))
-                        continue
-                found[k] = self.known[names[k]] = again
-            for (k, _), ids in zip(new, self._plain([w for _, w in new]), strict=True):
-                found[k] = self.known[names[k]] = ids or EMPTY
-        odd = np.array([not f for f in found])
-        found = [b"" if f is EMPTY else f for f in found] + [self.end]
-        counts = np.array(list(map(len, found))) // 4
+        heads = np.zeros(len(start), dtype=bool)
+        heads[first] = True
+        self._learn(distinct, buffer, start[sample], end[sample], heads[sample])
+        at = np.searchsorted(self.keys, distinct)
+        odd, counts, places = self.sizes[at] < 0, np.maximum(self.sizes[at], 0), self.places[at]
+        shift = np.cumsum(counts) - counts
+        flat = self.ids[np.repeat(places - shift, counts) + np.arange(counts.sum())].tobytes()
+        found = [flat[a:b] for a, b in zip((4 * shift).tolist(), (4 * (shift + counts)).tolist(), strict=True)] + [self.end]
+        counts = np.append(counts, 1)
         words = np.insert(inverse, doc_end, len(found) - 1)
         ids = np.frombuffer(b"".join(map(found.__getitem__, words.tolist())), dtype="<u4")
         total = np.cumsum(counts[words])
@@ -129,10 +139,6 @@ class Encoder:
         return ids, n_docs
 
 
-#: What an empty first word stands for: no ids, and nothing strange about it.
-EMPTY = b"\x00"
-
-
 def pack(blocks: np.ndarray, bits: int) -> np.ndarray:
     """Rows of BLOCK values as rows of bits * BLOCK / 64 words."""
     lanes = np.ascontiguousarray(blocks.reshape(len(blocks), -1, 64).transpose(2, 0, 1)).astype(np.uint64)
