@@ -72,9 +72,10 @@ def count_buckets(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: st
     sample = sample.orderBy(F.xxhash64("_trusted"), "_trusted").limit(limit)  # at most ``limit`` ids: small enough to send everywhere
     rows = _hashed(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "text")
     rows = rows.join(F.broadcast(sample), F.col("row.id") == F.col("_trusted"), "left")
-    grams = F.explode(F.transform(F.concat("h1", "h2"), _bucket(buckets))).alias("bucket")
+    # outer: a plain explode would be planned with a filter that makes the hashes once more
+    grams = F.explode_outer(F.transform(F.concat("h1", "h2"), _bucket(buckets))).alias("bucket")
     grams = rows.select(grams, F.col("_trusted").isNotNull().cast("long").alias("t"))
-    return grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_raw"), F.sum("t").alias("n_trusted"))
+    return grams.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.count(F.lit(1)).alias("n_raw"), F.sum("t").alias("n_trusted"))
 
 
 def model(counts: list[tuple[int, int, int]], buckets: int) -> tuple[list[float], float, float]:

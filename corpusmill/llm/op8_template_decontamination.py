@@ -60,7 +60,8 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str) -> Dat
     """window, item, item_at, n (windows of the item), words: windows that are at least half words."""
     items = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).distinct()
     rows = _with_windows(items.select("item", valued_words(F.col("t")).alias("words"))).withColumn("n", F.size("windows"))
-    rows = rows.select("item", "n", "words", F.posexplode("windows").alias("item_at", "window"))
+    # outer: a plain explode would be planned with a filter that makes the windows once more
+    rows = rows.select("item", "n", "words", F.posexplode_outer("windows").alias("item_at", "window")).filter("window IS NOT NULL")
     slots = F.size(F.filter(F.slice("words", F.col("item_at") + 1, F.lit(WINDOW)), _is_slot))
     return rows.filter(slots * 2 <= WINDOW)
 
@@ -76,7 +77,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, coverage: float) -> DataFram
     if windows.count() <= SEND_ROWS:
         windows = F.broadcast(windows)
     rows = _with_windows(docs.select("id", "hash", valued_words(F.col("text")).alias("words")))
-    found = rows.select("id", "hash", F.posexplode("windows").alias("doc_at", "window")).join(windows, "window")
+    found = rows.select("id", "hash", F.posexplode_outer("windows").alias("doc_at", "window")).join(windows, "window")
     diagonal = found.groupBy("id", "hash", "item", "n", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(
         F.count(F.lit(1)).alias("matched"), F.min("item_at").alias("first"), F.max("item_at").alias("last")
     )
