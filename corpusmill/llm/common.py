@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +78,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             start = stop
 
 
+def per_process(name: str, make: Callable):
+    """One object for each Python worker process, kept for its next tasks: vocabularies and known words."""
+    held = sys.modules.setdefault("_corpusmill_worker", types.ModuleType("_corpusmill_worker")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
 def mix(a: np.ndarray, b: np.ndarray | int = 0) -> np.ndarray:
     """64-bit identifiers of pairs of 64-bit identifiers."""
     with np.errstate(over="ignore"):

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import back_id, mix, slices, width
+from corpusmill.llm.common import back_id, mix, per_process, slices, width
 
 BLOCK = 1024
 HEAD = "<4sHHIQI"
@@ -241,7 +241,7 @@ CHUNKS = "shard int, chunk int, start long, n_ids long, payload binary"
 
 def _encode(path: str, end_id: int, percentile: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = Encoder(path, end_id), TaskContext.get().partitionId()
+        encoder, shard = per_process(f"encoder {path} {end_id}", lambda: Encoder(path, end_id)), TaskContext.get().partitionId()
         doc_ids, sizes, parts, held, start, chunk = [], [], [], 0, 0, 0
 
         def flush():

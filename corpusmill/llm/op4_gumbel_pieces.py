@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import mix, slices
+from corpusmill.llm.common import mix, per_process, slices
 
 SPACE_MARK = "▁"
 SHIFT = 100.0
@@ -363,16 +363,13 @@ SCHEMA = "array<struct<ids: array<int>, log_prob: double, log_inclusion: double>
 
 
 def _sampler(path: str, k: int, seed: int):
-    loaded: list[Vocabulary] = []
-
     def encode(keys: pa.Array, texts: pa.Array) -> pa.Array:
-        if not loaded:
-            loaded.append(Vocabulary(path))
+        vocabulary = per_process(f"vocabulary {path}", lambda: Vocabulary(path))
         batch = pa.RecordBatch.from_arrays([keys.fill_null(-(2**63)), texts.fill_null("")], ["key", "text"])
         pieces = []
         for rows in slices(iter([batch]), "text", 2 << 20):
             hashed = mix(rows.column("key").to_numpy(zero_copy_only=False).view(np.uint64), seed)
-            found = sample(loaded[0], rows.column("text").to_pylist(), hashed, k)
+            found = sample(vocabulary, rows.column("text").to_pylist(), hashed, k)
             flat = [x for doc in found for x in doc]
             counts = np.array([len(x[0]) for x in flat])
             ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(np.concatenate([x[0] for x in flat]), pa.int32()))
@@ -396,12 +393,9 @@ def encode(key: Column, text: Column, vocabulary: str, k: int = 2, seed: int = 0
 
 
 def _decoder(path: str):
-    loaded: list[Vocabulary] = []
-
     def texts(ids: pa.Array) -> pa.Array:
-        if not loaded:
-            loaded.append(Vocabulary(path))
-        return pa.array([None if x is None else loaded[0].decode(x) for x in ids.to_pylist()], pa.string())
+        vocabulary = per_process(f"vocabulary {path}", lambda: Vocabulary(path))
+        return pa.array([None if x is None else vocabulary.decode(x) for x in ids.to_pylist()], pa.string())
 
     return texts
 
