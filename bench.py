@@ -61,7 +61,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     # the tables are dealt over the cores once, untimed: a small file is one row group, and so one task
     dealt = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    for name in ("documents", "events", "benchmark", "labels", "conversations", "pages"):
+    for name in ("documents", "events", "benchmark", "labels", "conversations", "pages", "part"):
         spark.read.parquet(f"{sf}/{name}.parquet").repartition(int(cpus)).write.parquet(f"{dealt}/{name}.parquet")
     source, sf = sf, dealt
     next(iter(headline(spark, sf).values()))().write.format("noop").mode("overwrite").save()  # warm up
