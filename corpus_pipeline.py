@@ -18,10 +18,11 @@ from corpusmill.llm.common import saved
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the rules or the log-likelihood ratio reject; trusted are labelled good and not toxic."""
-    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1 AND toxic = 0").select("doc_id")
+    """Drops documents that the rules, the log-likelihood ratio or toxic terms reject; trusted are labelled good and not toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    trusted = labels.filter("quality = 1 AND toxic = 0").select("doc_id")
     # written first: a filter on the rating is otherwise planned into the expressions that make it
-    rated = saved(op2_quality_llr.rate(docs, trusted, result="_quality"), "rated")
+    rated = saved(op2_quality_llr.rate(docs, trusted, result="_quality", labels=labels.select("doc_id", "toxic")), "rated")
     return rated.filter("_quality.kept").drop("_quality")
 
 

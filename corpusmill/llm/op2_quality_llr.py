@@ -7,6 +7,11 @@ if that lies no further below the trusted mean than ``slack`` standard
 deviations (of one n-gram's log ratio among trusted n-grams), plus
 ``sampling / sqrt(n)`` deviations for what n n-grams vary by chance.
 
+A few words of abuse vanish in that mean. So a second ratio judges by terms
+(words and word pairs without case and punctuation): those that significantly
+more toxic than other labelled documents hold add their log odds, as in a
+naive Bayes model of the terms present, and a text that is more likely toxic is not kept.
+
 Everything that touches documents is built from DataFrame functions. Only the
 counts of the buckets, whose number is a parameter, come to the driver; they go
 back as one folded array literal.
@@ -19,6 +24,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import saved
+
 SPACE = "\\x20\\x09-\\x0D"
 #: Trusted documents whose n-grams are counted, those of least hashed id first.
 TRUSTED = 20_000
@@ -99,17 +106,69 @@ def model(counts: list[tuple[int, int, int]], buckets: int) -> tuple[list[float]
     return ratio, mean, spread
 
 
+def _with_terms(rows: DataFrame) -> DataFrame:
+    """Adds t1 (words without case and punctuation) and t2 (their pairs), hashed, to rows with ``text``."""
+    words = F.filter(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
+    rows = rows.withColumn("t1", F.transform(words, lambda w: F.xxhash64(w)))
+    return rows.withColumn("t2", _pairs("t1", 1))
+
+
+def toxic_terms(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, limit: int = TRUSTED) -> tuple[list[tuple[int, float]], float]:
+    """(hash, log odds) of the terms that tell toxic documents, and the log odds of a text without any.
+
+    ``labels``: ids and 1 (toxic) or 0; at most ``limit`` of either are read,
+    those of least hashed id first. A term counts once a document. It is taken
+    if its log-likelihood statistic would be a chance of 5 % over all terms of
+    toxic documents together (Bonferroni).
+    """
+    ids = labels.select(F.col(labels.columns[0]).cast("long").alias("_label"), F.col(labels.columns[1]).cast("int").alias("toxic"))
+    ids = ids.filter("_label IS NOT NULL AND toxic IN (0, 1)").groupBy("_label").agg(F.max("toxic").alias("toxic"))
+    prior = {r["toxic"]: r["count"] for r in ids.groupBy("toxic").count().collect()}
+    first = [ids.filter(F.col("toxic") == t).orderBy(F.xxhash64("_label"), "_label").limit(limit) for t in (0, 1)]
+    rows = docs.select(F.col(id_col).cast("long").alias("_label"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.join(F.broadcast(first[0].union(first[1])), "_label")
+    size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if len(size) < 2:
+        return [], -math.inf
+    a, b = size[1], size[0]
+
+    def terms(toxic: int) -> DataFrame:
+        # outer: as in count_buckets
+        return _with_terms(rows.filter(F.col("toxic") == toxic)).select(F.explode_outer(F.array_distinct(F.concat("t1", "t2"))).alias("h")).filter("h IS NOT NULL")
+
+    def statistic(x: Column, y: Column) -> Column:
+        total = F.lit(0.0)
+        for seen, of in ((x, a), (y, b), (a - x, a), (b - y, b)):
+            share = (x + y) / (a + b) if seen is x or seen is y else 1 - (x + y) / (a + b)
+            total += F.when(seen > 0, 2 * seen * F.log(seen / (of * share))).otherwise(0.0)
+        return total
+
+    x, y = F.col("x").cast("double"), F.coalesce("y", F.lit(0)).cast("double")
+    toxic = saved(terms(1).groupBy("h").agg(F.count(F.lit(1)).alias("x")), "toxic-terms")
+    least = 2 * math.log(20 * max(toxic.count(), 1))
+    # no other term can become significant, however few other documents hold it
+    some = toxic.filter(statistic(x, F.lit(0.0)) > least)
+    other = terms(0).join(some.select("h"), "h").groupBy("h").agg(F.count(F.lit(1)).alias("y"))
+    found = some.join(other, "h", "left").filter((x * b > y * a) & (statistic(x, y) > least)).select("h", x.alias("x"), y.alias("y")).collect()
+    # terms that a text lacks say nothing: one word of abuse is enough, and few texts hold several
+    odds = [(r["h"], round(math.log((r["x"] + 0.5) / (a + 1)) - math.log((r["y"] + 0.5) / (b + 1)), 6)) for r in sorted(found)]
+    return odds, min(math.log(prior[1] / prior[0]), 0.0)
+
+
 def rate(
     docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", result: str = "quality",
     buckets: int = BUCKETS, limit: int = TRUSTED, slack: float = 0.7, sampling: float = 2.0,
+    labels: DataFrame | None = None,
 ) -> DataFrame:
     """All columns of ``docs`` and a struct ``result``, a row for each input row in no new order.
 
     result: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long),
-    base_failed, llr (double, null without words), kept. ``trusted``: a table
-    whose first column holds ids of trusted documents. Null and wordless texts
-    count zeros and fail the rules. Without any trusted document only the rules
-    decide. A column named ``result`` is replaced, all others may have any
+    base_failed, llr (double, null without words), toxic_odds (log odds, null
+    if no term tells toxic documents), kept. ``trusted``: a table
+    whose first column holds ids of trusted documents. ``labels``: a table whose
+    first two columns hold ids and 1 for toxic, 0 for other documents. Null and
+    wordless texts count zeros and fail the rules. Without any trusted document
+    only the rules and toxic terms decide. A column named ``result`` is replaced, all others may have any
     name. Repeated rows are rated alike. An empty table gives no rows.
     """
     if buckets & (buckets - 1) or buckets < 2:
@@ -129,13 +188,23 @@ def rate(
     failed = (n < 20) | (100 * F.col("n_repeat_words") > 30 * n)
     llr = F.when(grams > 0, F.col("sum") / grams)
     enough = llr >= mean - spread * (slack + sampling / F.sqrt(grams)) if known else F.lit(True)
+    odds, none = toxic_terms(docs, labels, id_col, text_col, limit) if labels is not None else ([], -math.inf)
+    toxic_odds = F.lit(None).cast("double")
+    if odds:
+        rows = _with_terms(rows)
+        # IN is a look-up in a set; only the few hits are looked up in the map, whose keys it goes through
+        listed = ",".join(f"{h}L" if h > -(2**63) else "CAST('-9223372036854775808' AS BIGINT)" for h, _ in odds)
+        rows = rows.withColumn("hits", F.array_distinct(F.expr(f"filter(concat(t1, t2), x -> x IN ({listed}))")))
+        weight = F.map_from_arrays(*[F.split(F.lit(",".join(str(o[k]) for o in odds)), ",").cast(f"array<{kind}>") for k, kind in ((0, "long"), (1, "double"))])
+        toxic_odds = F.aggregate("hits", F.lit(none), lambda s, h: s + F.element_at(weight, h))
     rating = F.struct(
         n.cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.col("n_repeat_words"), failed.alias("base_failed"), llr.alias("llr"),
-        (~failed & F.coalesce(enough, F.lit(False))).alias("kept"),
+        toxic_odds.alias("toxic_odds"),
+        (~failed & F.coalesce(enough, F.lit(False)) & F.coalesce(toxic_odds <= 0, F.lit(True))).alias("kept"),
     )
     columns = [F.col("row").getField(c).alias(c) for c in docs.columns if c != result]
     return rows.select(*columns, rating.alias(result))

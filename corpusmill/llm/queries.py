@@ -86,7 +86,8 @@ def op10_fast_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
-    rated = op2_quality_llr_.rate(table(spark, sf_dir, "documents"), trusted)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    rated = op2_quality_llr_.rate(table(spark, sf_dir, "documents"), trusted, labels=labels)
     return rated.select("doc_id", "quality.*")
 
 

@@ -107,6 +107,22 @@ def test_quality_model_is_the_log_ratio():
     assert spread > 0
 
 
+def test_quality_finds_abuse_that_the_mean_hides(spark, docs):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(400)]
+    text = lambda *more: " ".join(rng.sample(rng.choices(words, k=300) + list(more), k=300 + len(more)))
+    rows = [(k, text()) for k in range(200)] + [(k, text("Idiot!")) for k in range(200, 240)]
+    labels = spark.createDataFrame([(k, int(k >= 200)) for k in range(240) if k % 2], "doc_id long, toxic int")
+    trusted = labels.filter("toxic = 0")
+    # not one of the rows asked for is labelled
+    unseen = lambda df: {r.doc_id for r in df.filter("words.kept AND doc_id % 2 = 0").collect()}
+    table = docs(rows)
+    assert unseen(quality.rate(table, trusted, result="words", labels=labels)) == set(range(0, 200, 2))
+    rated = quality.rate(table, trusted, result="words", labels=labels.filter("toxic = 0"))
+    assert rated.filter("words.toxic_odds IS NOT NULL").count() == 0
+    assert len(unseen(rated)) > 110
+
+
 def test_attention_lm(spark, docs):
     rows = ROWS + [(k, "the cat sat on the mat and the dog sat on the log " * 4) for k in range(100, 160)]
     got = lm.score_texts(docs(rows), PIECES).collect()
