@@ -9,6 +9,10 @@ windows and its slots are consistent: one value of the item always stands for
 one value of the document. So a question is found again after its numbers,
 names and units were changed, but not where the words only happen to agree.
 
+Copies are also looked for by their plain words, without case and punctuation
+and with all values: windows of eight words, and whole items of fewer. This
+finds copies in other case and items that are mostly slots.
+
 Only DataFrame functions are used.
 """
 
@@ -42,6 +46,11 @@ def valued_words(text: Column) -> Column:
     return words_of(F.regexp_replace(text, DROP_RULE, ""))
 
 
+def plain_words(text: Column) -> Column:
+    """Lower-case words without punctuation, values as they stand."""
+    return words_of(F.regexp_replace(F.lower(text), f"[^\\p{{L}}\\p{{N}}{SPACE}]+", ""))
+
+
 def _is_slot(word: Column) -> Column:
     return word < F.lit("\x04")
 
@@ -59,11 +68,46 @@ def _with_windows(rows: DataFrame) -> DataFrame:
 def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
     """window, item, item_at, n (windows of the item), words: windows that are at least half words."""
     items = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).distinct()
-    rows = _with_windows(items.select("item", valued_words(F.col("t")).alias("words"))).withColumn("n", F.size("windows"))
+    rows = _with_windows(items.select("item", valued_words(F.col("t")).alias("words")))
     # outer: a plain explode would be planned with a filter that makes the windows once more
-    rows = rows.select("item", "n", "words", F.posexplode_outer("windows").alias("item_at", "window")).filter("window IS NOT NULL")
+    rows = rows.select("item", "words", F.posexplode_outer("windows").alias("item_at", "window")).filter("window IS NOT NULL")
     slots = F.size(F.filter(F.slice("words", F.col("item_at") + 1, F.lit(WINDOW)), _is_slot))
-    return rows.filter(slots * 2 <= WINDOW)
+    rows = rows.filter(slots * 2 <= WINDOW)
+    # item and text together: an id may come with several texts
+    return rows.join(rows.groupBy("item", "words").agg(F.count(F.lit(1)).alias("n")), ["item", "words"])
+
+
+def _runs(words: Column, size: int) -> Column:
+    """Hashes of all runs of ``size`` plain words; those of other sizes differ."""
+    at = F.sequence(F.lit(1), F.size(words) - size + 1)
+    return F.when(F.size(words) >= size, F.transform(at, lambda i: F.xxhash64(F.lit(size), F.array_join(F.slice(words, i, F.lit(size)), " "))))
+
+
+def plain_copies(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, coverage: float) -> DataFrame:
+    """(id, hash, items): items of which a diagonal of plain windows covers enough; short ones are found whole."""
+    items = benchmark.select(F.col(item_col).alias("item"), plain_words(F.coalesce(F.col(text_col), F.lit(""))).alias("words")).distinct()
+    items = items.withColumn("size", F.least(F.size("words"), F.lit(WINDOW))).filter("size > 0")
+    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # eight at most
+    if not sizes:
+        return docs.select("id", "hash", F.array().cast(f"array<{benchmark.schema[item_col].dataType.simpleString()}>").alias("items")).limit(0)
+    # plain words are never slots, so windows of templates are those of the words as they stand
+    runs = lambda size: F.col("windows") if size == WINDOW else _runs(F.col("words"), size)
+    items, grams = _with_windows(items), None
+    for size in sizes:
+        own = items.filter(F.col("size") == size).select("item", (F.size("words") - size + 1).alias("n"), F.posexplode(runs(size)).alias("item_at", "window"))
+        grams = own if grams is None else grams.union(own)
+    if grams.count() <= SEND_ROWS:
+        grams = F.broadcast(grams)
+    rows = _with_windows(docs.select("id", "hash", plain_words(F.col("text")).alias("words")))
+    at = F.flatten(F.array(*[
+        F.coalesce(F.transform(runs(size), lambda w, i: F.struct(i.alias("doc_at"), w.alias("window"))), F.array().cast("array<struct<doc_at:int,window:bigint>>"))
+        for size in sizes
+    ]))
+    found = rows.select("id", "hash", F.explode_outer(at).alias("w")).select("id", "hash", "w.doc_at", "w.window").join(grams, "window")
+    # rows equal in id and text match at the same places: they are counted once
+    diagonal = found.groupBy("id", "hash", "item", "n", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(F.count_distinct("item_at").alias("matched"))
+    enough = diagonal.filter(F.col("matched") >= F.ceil(F.col("n") * coverage))
+    return enough.groupBy("id", "hash").agg(F.collect_set("item").alias("items"))
 
 
 def passages(docs: DataFrame, benchmark: DataFrame, coverage: float) -> DataFrame:
@@ -109,7 +153,7 @@ def decontaminate(
     result: contaminated, items (sorted distinct ids of the items found).
     ``coverage``: the share of an item's windows that a passage must match.
     Null and empty texts and items hold nothing; items of fewer than eight
-    words have no window and are not looked for. Rows equal in id and text are
+    words are looked for whole, by their plain words. Rows equal in id and text are
     judged alike, also with a null id. A column named ``result`` is replaced,
     others may have any name. An empty benchmark finds nothing; an empty table
     gives no rows.
@@ -120,11 +164,15 @@ def decontaminate(
     items = benchmark_windows(benchmark, item_col, item_text_col)
     found = passages(rows.select("id", "hash", "text"), items, coverage)
     found = found.groupBy("id", "hash").agg(F.collect_list("passage").alias("passages"))
+    copies = plain_copies(rows.select("id", "hash", "text"), benchmark, item_col, item_text_col, coverage)
+    found = found.join(copies.withColumnRenamed("items", "copies"), ["id", "hash"], "full")
     joined = rows.join(found, ["id", "hash"], "left")
     # the words of the few documents with a passage are made again
     joined = joined.withColumn("words", F.when(F.col("passages").isNotNull(), valued_words(F.col("text"))))
     kept = F.filter("passages", lambda p: _consistent(p, "words"))
-    hits = F.coalesce(F.array_sort(F.array_distinct(F.transform(kept, lambda p: p["item"]))), F.array().cast(f"array<{benchmark.schema[item_col].dataType.simpleString()}>"))
+    none = F.array().cast(f"array<{benchmark.schema[item_col].dataType.simpleString()}>")
+    hits = F.concat(F.coalesce(F.transform(kept, lambda p: p["item"]), none), F.coalesce("copies", none))
+    hits = F.array_sort(F.array_distinct(hits))
     columns = [F.col("row").getField(c).alias(c) for c in docs.columns if c != result]
     joined = joined.withColumn("items", hits)
     return joined.select(*columns, F.struct((F.size("items") > 0).alias("contaminated"), "items").alias(result))

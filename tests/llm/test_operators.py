@@ -263,6 +263,15 @@ def test_template_decontamination(spark, docs):
     assert leaks.decontaminate(docs(rows).limit(0), benchmark).count() == 0
 
 
+def test_decontamination_finds_copies_in_any_case_and_dense_or_short_items(spark, docs):
+    question = "A train leaves Boston at 40 km per hour and meets another train from Paris after 3 hours on the same long track"
+    primes = "Find the sum of 3, 5, 7, 11, 13, 17, 19, 23, 29, 31 and 37"
+    benchmark = spark.createDataFrame([(1, question), (2, primes), (3, "Name the longest river")], "item_id long, text string")
+    rows = [(1, question.lower()), (2, question.upper()), (3, f"Then. {primes}. So."), (4, "we say: NAME the longest river, now"), (5, "name the river"), (6, None)]
+    got = leaks.decontaminate(docs(rows), benchmark).select("doc_id", "leak.*").collect()
+    assert {r.doc_id: tuple(r["items"]) for r in got} == {1: (1,), 2: (1,), 3: (2,), 4: (3,), 5: (), 6: ()}
+
+
 def test_personal_data(spark, docs):
     rows = ROWS + [(50, "mail a.b@c.de, or +1 (348) 555-0123 é 10.0.0.1! 4111 1111 1111 1111"), (51, "x@y a@b.c@d.e 999.1.1.1 1.2.3.4.5 " + "9 " * 4000)]
     table = pii.with_personal_data(docs(rows), result="kept")
