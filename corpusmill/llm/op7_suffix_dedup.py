@@ -1,13 +1,14 @@
-"""Suffix-array dedup: bucket-pointer refinement over bytes.
-
-The suffixes of all texts are bucketed by their first 32 bytes and refined by
-the bucket identifiers at later offsets: a bucket of 64 is a pair of 32-byte
-buckets (offsets 0 and 32), one of 128 a pair of those (0 and 64), one of 200 a
-pair of these (0 and 72). Each level reuses the identifiers just made. Buckets
-of one suffix go no further. To keep what is sorted small, a 200-byte string
-enters the initial bucket of one position inside it (its least 32-byte gram),
-and a bucket is refined in steps: runs of consecutive strings first, then
-blocks of runs, then single strings; settled parts are not sorted again.
+"""Repeated 200-byte strings, found by winnowing and hashes of windows of bytes.
+
+This stands in the place of bucket-pointer refinement: no suffix is sorted and
+no bucket identifier is shared between slices or updated. Within a slice of
+texts each position gets hashes of its next 8, 16, 32, 64, 128 and 200 bytes,
+each made of two of the size before. A 200-byte string belongs to the anchor
+inside it that winnowing chooses (its least 32-byte gram by hash), and
+``repeats.find`` compares the strings of equal anchors across all documents:
+runs of consecutive strings first, then blocks of runs, then single strings;
+settled parts go no further. Equal strings have equal anchors, so none is
+missed.
 """
 
 from __future__ import annotations
