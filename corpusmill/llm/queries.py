@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import op1_token_blocks, op3_attention_lm as op3_, op4_gumbel_pieces as op4_, op8_template_decontamination as op8_, op9_pii_crf, op2_quality_llr as op2_quality_llr_, op5_url_rules as op5_url_rules_, op6_substring_dedup, op7_suffix_dedup, op10_fast_sketch_dedup
+from corpusmill.llm import op1_token_blocks, op3_attention_lm as op3_, op4_gumbel_pieces as op4_, op8_template_decontamination as op8_, op9_pii_crf, op2_quality_llr as op2_quality_llr_, op5_url_rules as op5_url_rules_, op6_substring_dedup, op7_suffix_dedup, op10_fast_sketch_dedup, op11_line_dedup, op12_periodic_runs as op12_periodic_runs_, op13_merkle_manifest as op13_merkle_manifest_
 from corpusmill.llm.common import shared_dir
 from corpusmill.llm.op2_quality_llr import SPACE
 
@@ -129,3 +129,42 @@ def op9_pii_crf_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_.score_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op11_line_dedup_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op11_line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    long = lambda name: F.col(f"lines.{name}").cast("long").alias(name)
+    return found.select("doc_id", long("n_lines"), long("n_dropped"), F.sha2("lines.text", 256).alias("kept_sha256"))
+
+
+_UPPER, _LOWER = op11_line_dedup.UPPER, op11_line_dedup.LOWER
+ORACLES["op11_line_dedup_bitmaps"] = f"""
+WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM cut),
+k AS (SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') AS key FROM l),
+common AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+j AS (SELECT doc_id, pos, line, keeper IS NOT NULL AND doc_id < keeper AS gone FROM k LEFT JOIN common USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id"""
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = op12_periodic_runs_.with_planted_period(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = op12_periodic_runs_.with_runs(planted)
+    return found.select("doc_id", *op12_periodic_runs_.digest("periodic"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    hit = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    lowered = op13_merkle_manifest_.leaf_digest([op11_line_dedup.lower_ascii(F.col(c)) if c == "text" else F.col(c) for c in columns])
+    manifest = op13_merkle_manifest_.build(docs, columns, carry={"tampered": F.when(hit, lowered)})
+    proved = op13_merkle_manifest_.prove(manifest, "tampered")
+    return proved.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
