@@ -101,6 +101,25 @@ def signed(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(values, dtype=np.uint64).view(np.int64)
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: sums of letters times a random number of their place in the span.
+
+    Spans ascend, and one byte or more lies between two. Places have numbers of
+    their own, not powers of one: those would make some words equal whatever
+    the base is.
+    """
+    if not len(start):
+        return np.zeros(0, dtype=np.uint64)
+    sizes = end - start
+    factors = mix(np.arange(1, int(sizes.max()) + 2, dtype=np.uint64), 0xC0FFEE)
+    place = np.arange(start[0], end[-1] + 1) - np.repeat(start, np.append(np.diff(start), sizes[-1] + 1))
+    # the bytes after a span count nothing
+    term = data[start[0] : end[-1] + 1].astype(np.uint64) + np.uint64(1)
+    inside = place < np.repeat(sizes, np.append(np.diff(start), sizes[-1] + 1))
+    term = np.where(inside, term * factors[np.minimum(place, len(factors) - 1)], np.uint64(0))
+    return mix(np.add.reduceat(term, start - start[0]), sizes.astype(np.uint64))
+
+
 def word_ids(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each word, the same on every executor."""
     import pandas as pd

@@ -201,5 +201,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 80) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, all columns; of rows equal in id and text one stays."""
     kept = near_duplicates(docs, id_col, text_col, words, threshold).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    joined = docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
+    joined = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
     return joined.dropDuplicates([id_col, text_col])

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import back_id, mix, per_process, slices, width
+from corpusmill.llm.common import back_id, per_process, slices, span_hashes, width
 
 BLOCK = 1024
 HEAD = "<4sHHIQI"
@@ -55,30 +55,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.end_id = end_id
         self.end = np.array([end_id], dtype="<u4").tobytes()
         self._forget()
         self.careful = re.compile(r"(?= \S)")
-        self.letters = mix(np.arange(1, 257), 1)
-        self.powers = self.inverse = np.ones(1, dtype=np.uint64)
 
     def _forget(self) -> None:
-        self.keys, self.ids = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype="<u4")
+        self.keys, self.ids = np.zeros(0, dtype=np.uint64), np.array([self.end_id], dtype="<u4")  # place 0: the end id
         self.places, self.sizes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
 
     def _plain(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
-    def _hashes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """A hash of each span: sums of letters times powers of an odd number, moved to the same power."""
-        base = 0x9E3779B97F4A7C15
-        while len(self.powers) <= len(data):
-            n = 2 * max(len(data), 1 << 16)
-            self.powers = np.cumprod(np.append(np.uint64(1), np.full(n, np.uint64(base))), dtype=np.uint64)
-            self.inverse = np.cumprod(np.append(np.uint64(1), np.full(n, np.uint64(pow(base, -1, 2**64)))), dtype=np.uint64)
-        sums = np.append(np.uint64(0), np.cumsum(self.letters[data] * self.powers[: len(data)], dtype=np.uint64))
-        return mix((sums[end] - sums[start]) * self.inverse[start], (end - start).astype(np.uint64))
-
     def _learn(self, hashes: np.ndarray, buffer: bytes, start: np.ndarray, end: np.ndarray, head: np.ndarray) -> None:
         """Add the words whose hashes (sorted) are not known; size -1 marks words that do not stand alone."""
         at = np.searchsorted(self.keys, hashes)
@@ -112,7 +101,7 @@ class Encoder:
         sizes = np.array([len(x) + 1 for x in raw])
         doc_end = np.searchsorted(end, np.cumsum(sizes) - 1) + 1  # words up to the end of each text
         first = np.append(0, doc_end[:-1])
-        hashes = self._hashes(data, start, end)
+        hashes = span_hashes(data, start, end)
         hashes[first] ^= np.uint64(0x5555555555555555)  # the first word of a text has no space before it
         distinct, sample, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         heads = np.zeros(len(start), dtype=bool)
@@ -120,13 +109,11 @@ class Encoder:
         self._learn(distinct, buffer, start[sample], end[sample], heads[sample])
         at = np.searchsorted(self.keys, distinct)
         odd, counts, places = self.sizes[at] < 0, np.maximum(self.sizes[at], 0), self.places[at]
-        shift = np.cumsum(counts) - counts
-        flat = self.ids[np.repeat(places - shift, counts) + np.arange(counts.sum())].tobytes()
-        found = [flat[a:b] for a, b in zip((4 * shift).tolist(), (4 * (shift + counts)).tolist(), strict=True)] + [self.end]
-        counts = np.append(counts, 1)
-        words = np.insert(inverse, doc_end, len(found) - 1)
-        ids = np.frombuffer(b"".join(map(found.__getitem__, words.tolist())), dtype="<u4")
-        total = np.cumsum(counts[words])
+        # the end id is one more word
+        words = np.insert(inverse, doc_end, len(counts))
+        counts, places = np.append(counts, 1)[words], np.append(places, 0)[words]
+        total = np.cumsum(counts)
+        ids = self.ids[np.repeat(places - (total - counts), counts) + np.arange(total[-1])]
         n_docs = np.diff(np.append(0, total[doc_end + np.arange(len(texts))]))
         if odd.any():
             strange = np.zeros(len(start) + 1, dtype=np.int64)

@@ -123,7 +123,8 @@ def passages(docs: DataFrame, benchmark: DataFrame, coverage: float) -> DataFram
     rows = _with_windows(docs.select("id", "hash", valued_words(F.col("text")).alias("words")))
     found = rows.select("id", "hash", F.posexplode_outer("windows").alias("doc_at", "window")).join(windows, "window")
     diagonal = found.groupBy("id", "hash", "item", "n", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(
-        F.count(F.lit(1)).alias("matched"), F.min("item_at").alias("first"), F.max("item_at").alias("last")
+        # rows equal in id and text match at the same places: they are counted once
+        F.count_distinct("item_at").alias("matched"), F.min("item_at").alias("first"), F.max("item_at").alias("last")
     )
     enough = diagonal.filter(F.col("matched") >= F.ceil(F.col("n") * coverage))
     words = benchmark.groupBy("item").agg(F.first("words").alias("item_words"))

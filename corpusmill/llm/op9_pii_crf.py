@@ -93,12 +93,12 @@ one.&&& The.*** Two&&& three%%% four.***
 """.strip().splitlines()
 CUES = frozenset("call phone tel fax mobile ring text number contact mail email write send card visa pay ip host ping server at dot".split())
 _BASE = {
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOTTED, _NUMBER = re.compile(r"[0-9]+(?:\.[0-9]+)*"), re.compile(r"[0-9]+")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _MARK = re.compile(r"\[(" + "|".join(KINDS) + r") ((?:[^\[\]]|\[(?:at|dot)\])+)\]")
 
@@ -114,7 +114,8 @@ def luhn(digits: str) -> bool:
 def _good(kind: str, found: str) -> bool:
     digits = "".join(c for c in found if "0" <= c <= "9")
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
+        parts = [p.lstrip("0") for p in found.split(".")]
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in parts)
     if kind == "card":
         return 12 <= len(digits) <= 19 and luhn(digits)
     return 9 <= len(digits) <= 15
@@ -135,10 +136,28 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Four numbers with dots between, leftmost first: every four parts of a dotted number, which is read once."""
+    out, at, free = [], text.find("."), 0
+    while at >= 0:
+        start = at
+        while start > free and "0" <= text[start - 1] <= "9":
+            start -= 1
+        dotted = _DOTTED.match(text, start) if start < at else None
+        free = max(at + 1, dotted.end() if dotted else 0)
+        if dotted:
+            ends = [m.end() for m in _NUMBER.finditer(text, start, free)]
+            starts = [m.start() for m in _NUMBER.finditer(text, start, free)]
+            out += [(starts[k], ends[k + 3]) for k in range(0, len(ends) - 3, 4)]
+        at = text.find(".", free)
+    return out
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind as listed; code points, end exclusive."""
     spans = [(start, 0, end) for start, end in emails(text)]
-    for rank, kind in enumerate(KINDS[1:], 1):
+    spans += [(start, 1, end) for start, end in addresses(text) if _good("ip", text[start:end])]
+    for rank, kind in enumerate(KINDS[2:], 2):
         if kind != "phone" or "+" in text:
             spans += [(m.start(), rank, m.end()) for m in _BASE[kind].finditer(text) if _good(kind, m.group())]
     return [(KINDS[rank], start, end) for start, rank, end in sorted(spans)]
