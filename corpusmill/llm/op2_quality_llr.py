@@ -106,6 +106,10 @@ def model(counts: list[tuple[int, int, int]], buckets: int) -> tuple[list[float]
     return ratio, mean, spread
 
 
+#: Terms that are sent to every task; more are joined by a shuffle.
+SEND_TERMS = 1_000_000
+
+
 def _with_terms(rows: DataFrame) -> DataFrame:
     """Adds t1 (words without case and punctuation) and t2 (their pairs), hashed, to rows with ``text``."""
     words = F.filter(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
@@ -148,7 +152,10 @@ def toxic_terms(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     least = 2 * math.log(20 * max(toxic.count(), 1))
     # no other term can become significant, however few other documents hold it
     some = toxic.filter(statistic(x, F.lit(0.0)) > least)
-    other = terms(0).join(some.select("h"), "h").groupBy("h").agg(F.count(F.lit(1)).alias("y"))
+    some = saved(some, "some-terms")
+    # sent to the tasks, so that the terms of all other documents need not be dealt out by hash
+    sent = F.broadcast(some.select("h")) if some.count() <= SEND_TERMS else some.select("h")
+    other = terms(0).join(sent, "h").groupBy("h").agg(F.count(F.lit(1)).alias("y"))
     found = some.join(other, "h", "left").filter((x * b > y * a) & (statistic(x, y) > least)).select("h", x.alias("x"), y.alias("y")).collect()
     # terms that a text lacks say nothing: one word of abuse is enough, and few texts hold several
     odds = [(r["h"], round(math.log((r["x"] + 0.5) / (a + 1)) - math.log((r["y"] + 0.5) / (b + 1)), 6)) for r in sorted(found)]
