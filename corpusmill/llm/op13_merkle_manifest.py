@@ -238,14 +238,15 @@ def build(docs: DataFrame, columns: list[str], id_col: str = "doc_id", group_col
     # groups by name; a null one needs a name of its own, as nulls do not join
     tree = F.when(F.col(group_col).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(group_col).cast("string")))
     leaves = docs.select(tree.alias("tree"), F.col(id_col).cast("long").alias("id"), leaf_digest([F.col(c) for c in columns]).alias("digest"), *[c.alias(n) for n, c in carry.items()])
-    leaves = saved(placed(leaves, "tree", "id", "digest"), "leaves")
+    # written first: the range sort reads its input twice, which need not be the texts
+    leaves = saved(placed(saved(leaves, "digests"), "tree", "id", "digest"), "leaves")
     blocks = tiers(leaves, _largest(leaves))
     subroots = _subroots(blocks)
     top = placed(subroots.withColumn("all", F.lit("top")).select("all", F.col("tree").alias("name"), "digest"), "all", "name")
     top = saved(top.withColumnRenamed("all", "tree"), "subroots")
     above = tiers(top, _largest(top))
-    empty = docs.sparkSession.range(1).select(F.lit("top").alias("tree"), F.array().cast(PATH).alias("path"))
     root = _subroots(above).select(F.col("tree"), F.col("digest").alias("root"))
+    empty = root.select("tree", F.array().cast(PATH).alias("path"))
     lowest = descend(above, empty).mapInArrow(_paths, f"tree string, place long, path {PATH}")
     roots = lowest.join(top, ["tree", "place"]).join(root, "tree").select(F.col("name").alias("tree"), F.col("digest").alias("subroot"), "root", "path")
     return Manifest(leaves, blocks, above, saved(roots, "roots"))
