@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.registry import query, round_sql, trim_sql
+from checks.registry import query, round_sql
 from corpusmill.operators import recall as K
 from corpusmill.sources import testdata as td
 
@@ -36,6 +36,16 @@ _MATCH = _TERMS + f"""
   k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, memory_id) AS rank FROM f)
 """
 _TOP = "WITH " + _MATCH.strip().rstrip(",")
+#: Every two words of a benchmark text that stand side by side, as a query.
+_PAIRS = """(SELECT item_id * 100000 + i AS query_id, 'src' || (item_id % 20) AS scope_id, ws[i] || ' ' || ws[i + 1] AS query
+  FROM (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x != '') AS ws FROM benchmark), unnest(range(1, len(ws))) AS u(i))"""
+
+
+def pair_queries(spark, sf):
+    words = F.filter(F.split("query", r"\s+"), lambda w: w != "")
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    asked = td.recall_queries(spark, sf).select("query_id", "scope_id", F.posexplode(pairs).alias("i", "query")).filter("query IS NOT NULL")
+    return asked.select((F.col("query_id") * 100000 + F.col("i") + 1).alias("query_id"), "scope_id", "query")
 
 
 @query("query_terms", "WITH " + _TERMS.strip().rstrip(",") + """
@@ -50,12 +60,10 @@ def matched_memories(spark, sf):
     return found.select("query_id", "memory_id", "score")
 
 
-@query("matched_all_terms", _TOP.replace("FROM t_query)", "FROM (SELECT query_id, scope_id, left(query, 12) AS query FROM t_query))")
-       .replace("regexp_split_to_array(query,", "regexp_split_to_array(" + trim_sql("query") + ",") + """
+@query("matched_all_terms", _TOP.replace("FROM t_query)", f"FROM {_PAIRS})") + """
   SELECT query_id, memory_id, score FROM f WHERE len(list_filter(lt, lambda t: contains(c, t) OR contains(s, t))) = len(lt)""")
 def matched_all_terms(spark, sf):
-    asked = td.recall_queries(spark, sf).withColumn("query", F.substring("query", 1, 12))
-    found = K.matches(td.memories(spark, sf), asked, mode="all")
+    found = K.matches(td.memories(spark, sf), pair_queries(spark, sf), mode="all")
     return found.select("query_id", "memory_id", "score")
 
 
@@ -97,7 +105,7 @@ _PHRASES = ["本地优先", "离线优先", "幂等键", "幂等性", "幂等",
 
 
 @query("expanded_queries", f"""
-  WITH q AS (SELECT item_id AS query_id, ({_PHRASES})[item_id % 7 + 1] AS phrase, regexp_extract_all(left(text, 12), '{_PRESERVED}') AS words FROM benchmark),
+  WITH q AS (SELECT item_id AS query_id, ({_PHRASES})[item_id % 7 + 1] AS phrase, regexp_extract_all(text, '{_PRESERVED}') AS words FROM benchmark),
   e AS (SELECT *, CASE phrase WHEN '本地优先' THEN ['local-first'] WHEN '离线优先' THEN ['offline-first'] WHEN '幂等键' THEN ['idempotency', 'key']
       WHEN '接口路径' THEN ['API', 'path'] WHEN '接口' THEN ['API', 'endpoint'] ELSE ['idempotency'] END AS english FROM q),
   l AS (SELECT *, list_concat(words, english) AS x, list_concat([phrase], words) AS o FROM e)
@@ -106,7 +114,7 @@ def expanded_queries(spark, sf):
     n = F.col("item_id")
     phrase = F.element_at(F.array(*[F.lit(p) for p in _PHRASES]), (n % 7 + 1).cast("int"))
     asked = td.table(spark, sf, "benchmark").select(
-        n.alias("query_id"), F.concat(F.substring("text", 1, 12), F.lit(" 的"), phrase).alias("query"))
+        n.alias("query_id"), F.concat("text", F.lit(" 的"), phrase).alias("query"))
     return K.expand(asked).select("query_id", "expanded_query", F.array_join("original_terms", " ").alias("original_terms"))
 
 
@@ -127,7 +135,7 @@ def recall_expanded(spark, sf):
 _BM25 = """
   WITH d AS (SELECT memory_id, scope_id, regexp_extract_all(lower(concat_ws(' ', summary, content)), '[\\p{L}\\p{N}]+') AS w FROM t_mem WHERE status = 'active'),
   n AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM d),
-  q AS (SELECT query_id, scope_id, list_distinct(regexp_extract_all(lower(left(query, 12)), '[\\p{L}\\p{N}]+')) AS qs FROM t_query),
+  q AS (SELECT query_id, scope_id, list_distinct(regexp_extract_all(lower(query), '[\\p{L}\\p{N}]+')) AS qs FROM """ + _PAIRS + """),
   u AS (SELECT *, unnest(qs) AS word FROM q),
   f AS (SELECT memory_id, scope_id, len, word, count(*) AS tf FROM (SELECT memory_id, scope_id, len(w) AS len, unnest(w) AS word FROM d)
     WHERE word IN (SELECT word FROM u) GROUP BY ALL),
@@ -140,8 +148,7 @@ _BM25 = """
   FROM u JOIN f ON u.scope_id = f.scope_id AND u.word = f.word JOIN g ON u.word = g.word, n
   GROUP BY query_id, memory_id, len(qs) HAVING count(*) = len(qs)""")
 def bm25_scores(spark, sf):
-    asked = td.recall_queries(spark, sf).withColumn("query", F.substring("query", 1, 12))
-    scores = K.bm25(td.memories(spark, sf), asked)
+    scores = K.bm25(td.memories(spark, sf), pair_queries(spark, sf))
     from corpusmill.functions.text import round_half_up
     return scores.select("query_id", "memory_id", round_half_up(F.col("score"), 6).alias("score"))
 

@@ -2,9 +2,8 @@
 
 A memory matches when it contains any term of the query as a substring. The
 scope alone would be a poor join key (one scope may hold a third of all rows),
-so candidates come from an equi join on (scope, gram), with the rarest
-three-character gram of every term. Whatever contains the term contains that
-gram, so no match is lost; the containment itself is verified afterwards.
+so pairs come from postings of (scope, term), see :mod:`postings`, and carry
+numbers; a text is read again only for phrases and for the hits.
 """
 
 from __future__ import annotations
@@ -15,13 +14,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import is_blank, let, ordered_distinct, round_half_up, trim
-from corpusmill.operators import lookup
+from corpusmill.functions.text import is_blank, ordered_distinct, round_half_up, trim
+from corpusmill.operators import lookup, postings
 from corpusmill.operators.listing import live_facts
-from corpusmill.session import as_time
+from corpusmill.session import as_time, written
 from corpusmill.sources.store import new_failures, new_receipts
 
-GRAM = 3
+#: Lists of phrases that one text may meet.
+SHARES = 16
 
 
 @dataclass(frozen=True)
@@ -128,112 +128,11 @@ def expand(queries: DataFrame) -> DataFrame:
     ).drop("_rest0", "_fold", "preserved_terms")
 
 
-def grams(word: Column, size: Column) -> Column:
-    """Distinct substrings of one size."""
-    count = F.length(word) - size + 1
-    starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(word, i, size)))
-
-
-def _query_terms(queries: DataFrame) -> DataFrame:
-    """Distinct (scope_id, query_id, term) over both variants of the queries."""
-    both = F.concat("_terms", F.coalesce("_expanded_terms", F.array().cast("array<string>")))
-    return queries.select(
-        "scope_id", "query_id", F.explode(F.array_distinct(both)).alias("term")
-    )
-
-
 def _memory_text(memories: DataFrame) -> DataFrame:
     content, summary = F.lower("content"), F.lower(F.coalesce("summary", F.lit("")))
     return memories.withColumns({"_content": content, "_summary": summary})
 
 
-def postings(text: DataFrame) -> DataFrame:
-    """Distinct (scope_id, memory_id, gram), grams of one to three characters.
-
-    A term has no white space, so only grams inside words are needed. The
-    look-ahead yields the overlapping grams of a text in one pass per size.
-    """
-    haystack = F.concat("_summary", F.lit("\n"), "_content")
-
-    def sized(t: Column) -> Column:
-        found = [
-            F.regexp_extract_all(t, F.lit(rf"(?=(\S{{{n}}}))"), F.lit(1))
-            for n in range(1, GRAM + 1)
-        ]
-        return F.array_distinct(F.concat(*found))
-
-    return text.select(
-        "scope_id", "memory_id", F.explode(let(haystack, sized)).alias("gram")
-    )
-
-
-def candidates(memories: DataFrame, queries: DataFrame) -> DataFrame:
-    """K2: distinct (scope_id, query_id, memory_id) that may match.
-
-    ``memories`` and ``queries`` are prepared by :func:`prepare`. Each term is
-    looked up by the rarest of its grams: three characters long, or the whole
-    term where it is shorter. Whatever contains the term contains that gram;
-    the caller verifies the containment itself.
-    """
-    query_terms = _query_terms(queries)
-    size = F.least(F.length("term"), F.lit(GRAM))
-    term_grams = (
-        query_terms.select("scope_id", "term")
-        .distinct()
-        .select("scope_id", "term", F.explode(grams(F.col("term"), size)).alias("gram"))
-    )
-    asked_for = term_grams.select("scope_id", "gram").distinct()
-    known = postings(memories).join(asked_for, ["scope_id", "gram"], "left_semi")
-    counts = known.groupBy("scope_id", "gram").agg(F.count(F.lit(1)).alias("_n"))
-    # a gram without a count occurs in no text, so its term cannot match
-    rarest = (
-        term_grams.join(counts, ["scope_id", "gram"], "left")
-        .groupBy("scope_id", "term")
-        .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "gram")).alias("_r"))
-        .filter(F.col("_r.n") > 0)
-        .select("scope_id", "term", F.col("_r.gram").alias("gram"))
-    )
-    asked = (
-        query_terms.join(rarest, ["scope_id", "term"])
-        .select("scope_id", "gram", "query_id")
-        .distinct()
-    )
-    return known.join(asked, ["scope_id", "gram"]).select(
-        "scope_id", "query_id", "memory_id"
-    ).distinct()
-
-
-def relevance(query_terms: Column, phrase: Column) -> Column:
-    """K3 over the columns _content and _summary (lower-cased)."""
-    content, summary = F.col("_content"), F.col("_summary")
-
-    def hits(text: Column, term: Column) -> Column:
-        # byte lengths are stored with the string, character counts are not
-        without = F.octet_length(F.replace(text, term, F.lit("")))
-        return (F.octet_length(text) - without) / F.octet_length(term)
-
-    def add(total: Column, term: Column) -> Column:
-        weight = F.when(F.length(term) < 3, 0.5).otherwise(1.0)
-        score = F.log(hits(content, term) + 1) + F.log(hits(summary, term) + 1) * 2.0
-        return total + score * weight
-
-    frequency = F.aggregate(query_terms, F.lit(0.0), add)
-    bonus = (
-        F.when(content.contains(phrase), 3.0).when(summary.contains(phrase), 4.0).otherwise(0.0)
-    )
-    density = F.least(F.lit(1.0), F.lit(200) / F.greatest(F.lit(1), F.length(content)))
-    return round_half_up(frequency + bonus + density, 2)
-
-
-def _any_term(query_terms: Column, every: bool = False) -> Column:
-    """K2 / K4: does any (or every) term occur in content or summary?"""
-    found = lambda t: F.col("_content").contains(t) | F.col("_summary").contains(t)
-    return F.forall(query_terms, found) if every else F.exists(query_terms, found)
-
-
 def final_score(
     relevance_: Column, confidence: Column, created_at: Column, now: Column | str, scorer: Scorer
 ) -> Column:
@@ -269,38 +168,87 @@ def prepare(memories: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFra
     return _memory_text(memories), asked
 
 
-def _scored(text: DataFrame, asked: DataFrame, mode: str) -> DataFrame:
-    """K2-K4: matching pairs with relevance and match method, without the texts."""
-    every = mode == "all"
-    active = F.array(F.lit("active"))
+def _places(asked: DataFrame) -> DataFrame:
+    """(scope_id, query_id, variant, pos, term, weight): a row for each place of a query's terms, as asked (0) and expanded (1)."""
+    rows = []
+    for variant, name in ((0, "_terms"), (1, "_expanded_terms")):
+        rows.append(asked.select("scope_id", "query_id", F.lit(variant).alias("variant"), F.posexplode(name).alias("pos", "term")))
+    return rows[0].unionByName(rows[1]).withColumn("weight", F.when(F.length("term") < 3, 0.5).otherwise(1.0))
+
+
+def _allowed(pairs: DataFrame, asked: DataFrame, facts: DataFrame) -> DataFrame:
+    """Pairs whose memory has a status and type that the query asks for, with the columns of both; no texts."""
     query_columns = ["scope_id", "query_id", "types", "statuses", "limit", "_terms", "_expanded_terms"]
-    pairs = (
-        candidates(text, asked)
+    active = F.array(F.lit("active"))
+    return (
+        pairs.join(facts, ["scope_id", "memory_id"])
         .join(asked.select(*query_columns), ["scope_id", "query_id"])
-        .join(text, ["scope_id", "memory_id"])
         .filter(F.array_contains(F.coalesce("statuses", active), F.col("status")))
         .filter(F.col("types").isNull() | F.array_contains("types", F.col("type")))
     )
-    by_original = _any_term(F.col("_terms"), every)
-    by_expanded = F.coalesce(_any_term(F.col("_expanded_terms"), every), F.lit(False))
-    found = pairs.withColumns({"_original": by_original, "_expanded": by_expanded}).filter(
-        F.col("_original") | F.col("_expanded")
-    )
-    used = F.when(F.col("_original"), F.col("_terms")).otherwise(F.col("_expanded_terms"))
-    found = found.withColumn("_used", used)
-    method = (
-        F.when(F.col("_original") & F.col("_expanded"), "original+expanded")
-        .when(F.col("_original"), "original")
-        .otherwise("expanded")
+
+
+def _methods(pairs: DataFrame, every: bool) -> DataFrame:
+    """K2 / K4: pairs that match, with the variant that counts; its terms, numbers and phrase."""
+    wanted = lambda name, n: F.col(n) == F.size(name) if every else F.col(n) > 0
+    original, expanded = wanted("_terms", "o_n"), F.coalesce(wanted("_expanded_terms", "e_n"), F.lit(False))
+    found = pairs.withColumns({"_original": original, "_expanded": expanded}).filter(F.col("_original") | F.col("_expanded"))
+    pick = lambda a, b: F.when(F.col("_original"), F.col(a)).otherwise(F.col(b))
+    method = F.when(F.col("_original") & F.col("_expanded"), "original+expanded").when(F.col("_original"), "original").otherwise("expanded")
+    found = found.withColumns({
+        "match_method": method, "_used": pick("_terms", "_expanded_terms"), "frequency": pick("o_frequency", "e_frequency"),
+        "_in_content": pick("o_content", "e_content"), "_in_summary": pick("o_summary", "e_summary"),
+    })
+    return found.withColumn("phrase", F.array_join("_used", " "))
+
+
+def _bonus(found: DataFrame, text: DataFrame) -> DataFrame:
+    """K3: adds ``bonus``, 3 where the content holds the phrase, 4 where only the summary does.
+
+    A phrase needs all its terms, so only pairs that have them are looked up in
+    the texts, with all phrases that a memory is asked for side by side: a text
+    meets at most ``SHARES`` lists and not every query.
+    """
+    n = F.size("_used")
+    whole = lambda name: F.col(name) == n
+    asked = found.filter((n > 1) & (whole("_in_content") | whole("_in_summary"))).select("scope_id", "memory_id", "phrase").distinct()
+    asked = asked.groupBy("scope_id", "memory_id", F.pmod(F.xxhash64("phrase"), F.lit(SHARES))).agg(F.collect_list("phrase").alias("phrases"))
+    texts = text.select("scope_id", "memory_id", "_content", "_summary")
+    where = lambda p: F.when(F.contains("_content", p), 3.0).when(F.contains("_summary", p), 4.0)
+    held = asked.join(texts, ["scope_id", "memory_id"]).select(
+        "scope_id", "memory_id", F.explode(F.transform("phrases", lambda p: F.struct(p.alias("phrase"), where(p).alias("held")))).alias("p")
     )
+    held = held.filter("p.held IS NOT NULL").select("scope_id", "memory_id", "p.phrase", "p.held")
+    single = F.when(n == 1, F.when(F.col("_in_content") > 0, 3.0).when(F.col("_in_summary") > 0, 4.0))
+    return found.join(held, ["scope_id", "memory_id", "phrase"], "left").withColumn("bonus", F.coalesce(single, "held", F.lit(0.0)))
+
+
+def _density() -> Column:
+    return F.least(F.lit(1.0), F.lit(200) / F.greatest(F.lit(1), F.col("_chars")))
+
+
+def _relevant(pairs: DataFrame, asked: DataFrame, facts: DataFrame, text: DataFrame, every: bool) -> DataFrame:
+    """K2-K4: matching pairs with relevance and match method."""
+    found = _bonus(_methods(_allowed(pairs, asked, facts), every), text)
     return found.select(
-        "scope_id", "query_id", "memory_id", "limit",
-        relevance(F.col("_used"), F.array_join("_used", " ")).alias("score"),
-        method.alias("match_method"),
-        "type", "status", "source_ref", "confidence", "created_at",
+        "scope_id", "query_id", "memory_id", "limit", round_half_up(F.col("frequency") + F.col("bonus") + _density(), 2).alias("score"),
+        "match_method", "type", "status", "source_ref", "confidence", "created_at",
+    )
+
+
+def _facts(text: DataFrame) -> DataFrame:
+    """Memories without their texts."""
+    return text.select(
+        "scope_id", "memory_id", "type", "status", "source_ref", "confidence", "created_at", F.length("_content").alias("_chars")
     )
 
 
+def _index(text: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The places of the queries' terms, and the postings of these terms, written: several steps read them."""
+    places = written(_places(asked), "places")
+    return places, written(postings.build(text, places.select("scope_id", "term").distinct()), "postings")
+
+
 def _with_matched_terms(hits: DataFrame, text: DataFrame, asked: DataFrame) -> DataFrame:
     """K8: the query terms that occur in the hit's summary or content."""
     words = asked.select(
@@ -334,7 +282,30 @@ def matches(memories: DataFrame, queries: DataFrame, mode: str = "any") -> DataF
     every term. A memory found by both variants keeps the original's score.
     """
     text, asked = prepare(memories, queries)
-    return _with_matched_terms(_scored(text, asked, mode), text, asked).drop("limit")
+    asked = written(asked, "asked")
+    places, index = _index(text, asked)
+    found = _relevant(postings.all_pairs(places, index), asked, _facts(text), text, mode == "all")
+    return _with_matched_terms(found, text, asked).drop("limit")
+
+
+def _pairs_for_hits(
+    places: DataFrame, index: DataFrame, facts: DataFrame, asked: DataFrame, now: Column | str, scorer: Scorer, mode: str, default_limit: int
+) -> DataFrame:
+    """The numbers of all pairs that can be among the asked hits."""
+    score = lambda relevance: final_score(relevance, F.col("confidence"), F.col("created_at"), now, scorer)["final_score"]
+    factors = facts.select("scope_id", "memory_id", F.greatest(score(F.lit(1.0)), F.lit(0.0)).alias("factor"))
+    of_terms = written(postings._of_terms(places, index, factors), "terms")
+    limits = asked.select("scope_id", "query_id", F.coalesce("limit", F.lit(default_limit)).alias("limit"))
+    # the least that seeds score, without a phrase: as many as asked for reach the threshold
+    seeds = _methods(_allowed(postings.looked_up(postings.seed_pairs(of_terms, limits, index), places, index), asked, facts), mode == "all")
+    seeds = seeds.filter(F.col("_original")).withColumn("least", score(F.col("frequency") + _density() - 0.01))
+    most = limits.agg(F.max("limit")).first()[0] or 0
+    best = Window.partitionBy("scope_id", "query_id").orderBy(F.col("least").desc_nulls_last())
+    seeds = seeds.select("scope_id", "query_id", "least", F.coalesce("limit", F.lit(default_limit)).alias("limit"))
+    ranked = seeds.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most)
+    thresholds = ranked.filter(F.col("rank") == F.col("limit")).select("scope_id", "query_id", F.col("least").alias("threshold"))
+    pairs = postings.essential_pairs(of_terms, thresholds, factors, index)
+    return postings.looked_up(written(pairs, "pairs"), places, index)
 
 
 def search(
@@ -346,23 +317,31 @@ def search(
     mode: str = "any",
     default_limit: int = 10,
 ) -> DataFrame:
-    """K9: ranked hits per query, as many as the query's limit; ``validate_recall`` warns of large ones.
+    """K9: ranked hits per query, as many as the query's limit.
 
-    The
-    terms a hit matched and whether it can be expanded (C8) are worked out for
-    the ranked rows only.
+    Pairs that cannot be among them are not scored (:mod:`postings`), texts are
+    read for postings, for phrases and for the ranked rows. The rows of each
+    query are cut to the largest limit asked for before they meet in one task,
+    then to their own. The terms a hit matched and whether it can be expanded
+    (C8) are worked out for the ranked rows only.
     """
     text, asked = prepare(memories, queries)
-    scored = _scored(text, asked, mode)
+    asked = written(asked, "asked")
+    places, index = _index(text, asked)
+    facts = written(_facts(text.join(asked.select("scope_id").distinct(), "scope_id", "left_semi")), "facts")
+    pairs = _pairs_for_hits(places, index, facts, asked, now, scorer, mode, default_limit)
+    scored = _relevant(pairs, asked, facts, text, mode == "all")
     parts = final_score(F.col("score"), F.col("confidence"), F.col("created_at"), now, scorer)
     scored = scored.withColumn("_s", parts).select(
         "scope_id", "query_id", "memory_id", "type", "status", "source_ref", "score", "confidence",
         "_s.*", "match_method",
         F.coalesce("limit", F.lit(default_limit)).alias("_limit"),
     )
-    order = [F.col("final_score").desc(), F.col("memory_id")]
-    window = Window.partitionBy("query_id").orderBy(*order)
-    top = scored.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= F.col("_limit")).drop("_limit")
+    # a literal bound, which Spark applies in every partition before the shuffle
+    most = asked.agg(F.max(F.coalesce("limit", F.lit(default_limit)))).first()[0] or 0
+    window = Window.partitionBy("scope_id", "query_id").orderBy(F.col("final_score").desc(), F.col("memory_id"))
+    top = scored.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= most)
+    top = top.filter(F.col("rank") <= F.col("_limit")).drop("_limit")
     top = _with_matched_terms(top, text, asked)
     if compressed is not None:
         top = lookup.with_can_expand(top, compressed)
