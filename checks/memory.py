@@ -89,48 +89,48 @@ def validate_forget(spark, sf):
     return V.validate_forget(requests).select("id", F.array_join("errors", ",").alias("errors"))
 
 
+#: The requests of each scope, played one by one: ``live`` holds the active memories, ``ev`` what the request came to.
+_REMEMBER = f"""
+  WITH RECURSIVE q AS (SELECT doc_id AS id, source AS scope_id, CASE WHEN doc_id % 4 = 0 THEN 'project_rule' ELSE
+        (['decision','bug','command','file_summary','project_rule','user_preference','current_task','test_failure','api_contract','dependency'])[doc_id % 10 + 1] END AS type,
+      text AS content, CASE WHEN doc_id % 5 = 0 THEN 'static' END AS layer,
+      CASE WHEN doc_id % 3 = 0 THEN 'mem_' || (doc_id - doc_id % 100 + doc_id % 20) END AS target FROM documents),
+  f AS (SELECT *, sha256(scope_id || '|' || type || '|' || {normalize_sql('content')}) AS fp FROM q),
+  o AS (SELECT *, 'mem_' || sha256(fp || '|' || id) AS new_id, row_number() OVER (PARTITION BY scope_id ORDER BY id) AS n FROM f),
+  start AS (SELECT scope_id, list({{'fp': coalesce(fingerprint, ''), 'id': memory_id}}) FILTER (status = 'active') AS live FROM t_mem GROUP BY scope_id),
+  play AS (SELECT s.scope_id, 0 AS n, coalesce(live, []) AS live, NULL::BIGINT AS id, NULL::VARCHAR AS action, NULL::VARCHAR AS memory_id, NULL::VARCHAR AS reason
+      FROM (SELECT DISTINCT scope_id FROM o) s LEFT JOIN start USING (scope_id)
+    UNION ALL SELECT scope_id, n, CASE action WHEN 'created' THEN list_append(live, {{'fp': fp, 'id': new_id}})
+        WHEN 'replaced' THEN list_append(list_filter(live, lambda x: x.id != target), {{'fp': fp, 'id': new_id}}) ELSE live END, id, action,
+        CASE action WHEN 'deduplicated' THEN known WHEN 'rejected' THEN NULL ELSE new_id END,
+        CASE WHEN action = 'rejected' THEN CASE WHEN EXISTS (SELECT 1 FROM t_mem m WHERE m.scope_id = z.scope_id AND m.memory_id = z.target)
+          THEN 'superseded_memory_not_active' ELSE 'superseded_memory_not_found' END END
+      FROM (SELECT o.*, p.live, list_min(list_transform(list_filter(p.live, lambda x: x.fp = o.fp), lambda x: x.id)) AS known,
+          CASE WHEN len(list_filter(p.live, lambda x: x.fp = o.fp)) > 0 THEN 'deduplicated' WHEN o.target IS NULL THEN 'created'
+            WHEN len(list_filter(p.live, lambda x: x.id = o.target)) > 0 THEN 'replaced' ELSE 'rejected' END AS action
+        FROM play p JOIN o ON o.scope_id = p.scope_id AND o.n = p.n + 1) z),
+  y AS (SELECT p.action, p.memory_id, p.reason, o.* FROM play p JOIN o USING (scope_id, id))
+"""
+
+
 def _changes(spark, sf):
-    """Every document asked to be remembered as a project rule; a third replace a memory."""
+    """Every document asked to be remembered, whole; a third replace a memory, a fifth are facts of a profile."""
     d = F.col("doc_id")
     rule = F.when(d % 4 == 0, "project_rule").otherwise(
         F.element_at(F.array(*[F.lit(t) for t in td.MEMORY_TYPES]), (d % 10 + 1).cast("int")))
     return td.table(spark, sf, "documents").select(
-        d.alias("request_id"), F.col("source").alias("scope_id"), rule.alias("type"),
-        F.when(d % 6 == 0, F.substring("text", 1, 5)).otherwise(F.col("text")).alias("content"),
+        d.alias("request_id"), F.col("source").alias("scope_id"), rule.alias("type"), F.col("text").alias("content"),
+        F.when(d % 5 == 0, "static").alias("profile_target"),
         F.when(d % 3 == 0, F.concat(F.lit("mem_"), d - d % 100 + d % 20)).alias("supersedes_memory_id"))
 
 
-_REMEMBER = f"""
-  WITH q AS (SELECT doc_id AS id, source AS scope_id, CASE WHEN doc_id % 4 = 0 THEN 'project_rule' ELSE
-        (['decision','bug','command','file_summary','project_rule','user_preference','current_task','test_failure','api_contract','dependency'])[doc_id % 10 + 1] END AS type,
-      CASE WHEN doc_id % 6 = 0 THEN left(text, 5) ELSE text END AS content,
-      CASE WHEN doc_id % 3 = 0 THEN 'mem_' || (doc_id - doc_id % 100 + doc_id % 20) END AS target FROM documents),
-  f AS (SELECT *, sha256(scope_id || '|' || type || '|' || {normalize_sql('content')}) AS fp FROM q),
-  k AS (SELECT scope_id, fingerprint AS fp, min(memory_id) AS known FROM t_mem WHERE status = 'active' AND fingerprint IS NOT NULL GROUP BY ALL),
-  j AS (SELECT f.*, known, m.status AS tstatus FROM f LEFT JOIN k ON f.scope_id = k.scope_id AND f.fp = k.fp
-    LEFT JOIN t_mem m ON f.scope_id = m.scope_id AND f.target = m.memory_id),
-  a AS (SELECT *, known IS NULL AND (target IS NULL OR tstatus = 'active') AS able FROM j),
-  ff AS (SELECT scope_id, fp, min(id) AS first FROM a WHERE able GROUP BY ALL),
-  b AS (SELECT a.*, ff.first FROM a LEFT JOIN ff ON a.scope_id = ff.scope_id AND a.fp = ff.fp),
-  c AS (SELECT scope_id, target, min(id) AS claim FROM b WHERE able AND target IS NOT NULL AND id = first GROUP BY ALL),
-  l AS (SELECT b.scope_id, b.fp FROM b JOIN c ON b.scope_id = c.scope_id AND b.target = c.target
-    WHERE able AND id = first AND id != claim),
-  r AS (SELECT b.*, rc.claim AS replaced, l.fp IS NOT NULL AS lost FROM b LEFT JOIN l ON b.scope_id = l.scope_id AND b.fp = l.fp
-    LEFT JOIN c rc ON b.scope_id = rc.scope_id AND b.known = rc.target),
-  z AS (SELECT *, CASE WHEN replaced < id THEN 'duplicate_replaced_in_batch' WHEN known IS NOT NULL THEN NULL
-      WHEN target IS NOT NULL AND tstatus IS NULL THEN 'superseded_memory_not_found'
-      WHEN target IS NOT NULL AND tstatus != 'active' THEN 'superseded_memory_not_active'
-      WHEN lost AND id = first THEN 'superseded_memory_not_active' WHEN lost THEN 'first_duplicate_rejected' END AS reason FROM r),
-  y AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN known IS NOT NULL OR id != first THEN 'deduplicated'
-      WHEN target IS NOT NULL THEN 'replaced' ELSE 'created' END AS action FROM z)
-"""
+def _remembered(spark, sf):
+    return M.remember(td.memories(spark, sf), _changes(spark, sf), td.NOW)
 
 
-@query("remember_outcomes", _REMEMBER + """
-  SELECT id AS request_id, action, CASE WHEN action != 'rejected' THEN coalesce(known, 'mem_' || sha256(fp || '|' || first)) END AS memory_id,
-    reason FROM y""")
+@query("remember_outcomes", _REMEMBER + " SELECT id AS request_id, action, memory_id, reason FROM y")
 def remember_outcomes(spark, sf):
-    change = M.remember(td.memories(spark, sf), _changes(spark, sf), td.NOW)
+    change = _remembered(spark, sf)
     done = change.outcomes.select("request_id", "action", "memory_id", F.lit(None).cast("string").alias("reason"))
     bad = change.rejects.select("request_id", F.lit("rejected").alias("action"),
                                 F.lit(None).cast("string").alias("memory_id"), "reason")
@@ -139,12 +139,24 @@ def remember_outcomes(spark, sf):
 
 @query("remembered_table", _REMEMBER + """
   SELECT m.memory_id, CASE WHEN y.id IS NOT NULL THEN 'superseded' ELSE m.status END AS status,
-    CASE WHEN y.id IS NOT NULL THEN 'mem_' || sha256(y.fp || '|' || y.first) ELSE m.superseded_by END AS superseded_by,
+    CASE WHEN y.id IS NOT NULL THEN y.new_id ELSE m.superseded_by END AS superseded_by,
     m.confidence FROM t_mem m LEFT JOIN y ON m.scope_id = y.scope_id AND m.memory_id = y.target AND y.action = 'replaced'
-  UNION ALL SELECT 'mem_' || sha256(fp || '|' || id), 'active', NULL, 0.8::DOUBLE FROM y WHERE action IN ('created', 'replaced')""")
+  UNION ALL SELECT new_id, 'active', NULL, 0.8::DOUBLE FROM y WHERE action IN ('created', 'replaced')""")
 def remembered_table(spark, sf):
-    change = M.remember(td.memories(spark, sf), _changes(spark, sf), td.NOW)
-    return change.table.select("memory_id", "status", "superseded_by", "confidence")
+    return _remembered(spark, sf).table.select("memory_id", "status", "superseded_by", "confidence")
+
+
+@query("remember_facts", _REMEMBER + """
+  SELECT 'pf_' || sha256(new_id) AS fact_id, scope_id, layer, content, new_id AS source_memory_id FROM y WHERE action IN ('created', 'replaced') AND layer IS NOT NULL""")
+def remember_facts(spark, sf):
+    return _remembered(spark, sf).facts.select("fact_id", "scope_id", "layer", "content", "source_memory_id")
+
+
+@query("remember_receipts", _REMEMBER + """
+  SELECT 'rcp_' || sha256('remember|' || scope_id || '|' || id) AS receipt_id, scope_id,
+    memory_id || CASE WHEN action = 'replaced' THEN ',' || target ELSE '' END AS memory_ids FROM y WHERE action != 'rejected'""")
+def remember_receipts(spark, sf):
+    return _remembered(spark, sf).receipts.select("receipt_id", "scope_id", F.array_join("memory_ids", ",").alias("memory_ids"))
 
 
 def _forget_requests(spark, sf):

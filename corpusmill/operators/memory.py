@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from corpusmill import schemas
 from corpusmill.functions.text import fingerprint, source_ref, trim
+from corpusmill.operators import inorder
 from corpusmill.operators.lookup import valid_transition
 from corpusmill.session import as_time
-from corpusmill.sources.store import conform, new_failures
+from corpusmill.sources.store import conform, new_failures, new_profile_facts, new_receipts
 
 # The status a forget mode leads to.
 MODE_STATUS = {"soft_forget": "forgotten", "supersede": "superseded", "expire": "expired"}
@@ -26,11 +27,13 @@ MODE_STATUS = {"soft_forget": "forgotten", "supersede": "superseded", "expire":
 
 @dataclass(frozen=True)
 class Change:
-    """Result of a batch: the new snapshot and one outcome row per request."""
+    """Result of a batch: the new snapshot, one outcome row per request, and new facts and receipts."""
 
     table: DataFrame
     outcomes: DataFrame
     rejects: DataFrame
+    facts: DataFrame | None = None
+    receipts: DataFrame | None = None
 
 
 def remember(memories: DataFrame, requests: DataFrame, now: Column | str) -> Change:
@@ -38,10 +41,12 @@ def remember(memories: DataFrame, requests: DataFrame, now: Column | str) -> Cha
 
     Requests carry request_id, scope_id, type, content and optionally summary,
     source_ref, confidence, expires_at, tags, profile_target and
-    supersedes_memory_id. They count as arriving in request_id order and are
-    judged against the table as it was before the batch; a request whose answer
-    depends on another one of the same batch is rejected with a reason, to be
-    sent again. Outcome actions are created, deduplicated and replaced.
+    supersedes_memory_id. They are done one after the other in request_id order
+    within their scope, each on what the ones before left behind
+    (:mod:`inorder`); a batch gives what its requests would give if they came
+    alone. Outcome actions are created, deduplicated and replaced; a request
+    whose target is missing or not active is rejected. Made memories that name a
+    profile layer give a fact, and every request that is not rejected a receipt.
     """
     at = as_time(now)
     optional = {
@@ -58,108 +63,33 @@ def remember(memories: DataFrame, requests: DataFrame, now: Column | str) -> Cha
         F.lit("mem_"), F.sha2(F.concat_ws("|", "fingerprint", F.col("request_id").cast("string")), 256)
     )
 
-    active = memories.filter((F.col("status") == "active") & F.col("fingerprint").isNotNull())
-    known = active.groupBy("scope_id", "fingerprint").agg(
-        F.min("memory_id").alias("_known_id")
-    )
-    target = memories.select(
-        "scope_id", F.col("memory_id").alias("supersedes_memory_id"),
-        F.col("status").alias("_target_status"),
-    )
-    facts = (
-        keyed.select("request_id", "scope_id", "fingerprint", "supersedes_memory_id")
-        .join(known, ["scope_id", "fingerprint"], "left")
-        .join(target, ["scope_id", "supersedes_memory_id"], "left")
-    )
-    wants = F.col("supersedes_memory_id").isNotNull()
-    # the first request that replaces a target wins; later ones find it inactive
-    open_ = facts.filter(F.col("_known_id").isNull())
-    able = open_.filter(~wants | (F.col("_target_status") == "active"))
-    first_fp = able.groupBy("scope_id", "fingerprint").agg(F.min("request_id").alias("_first"))
-    firsts = (
-        able.filter(wants)
-        .join(first_fp, ["scope_id", "fingerprint"])
-        .filter(F.col("request_id") == F.col("_first"))
-        .select("scope_id", "fingerprint", "supersedes_memory_id", "request_id")
-    )
-    claims = firsts.groupBy("scope_id", "supersedes_memory_id").agg(
-        F.min("request_id").alias("_claim")
-    )
-    lost = (
-        firsts.join(claims, ["scope_id", "supersedes_memory_id"])
-        .filter(F.col("request_id") != F.col("_claim"))
-        .select("scope_id", "fingerprint", F.lit(True).alias("_lost"))
-    )
-    replaced_ids = claims.select(
-        "scope_id", F.col("supersedes_memory_id").alias("_known_id"),
-        F.col("_claim").alias("_known_replaced_by"),
-    )
-    judged = (
-        facts.join(first_fp, ["scope_id", "fingerprint"], "left")
-        .join(lost, ["scope_id", "fingerprint"], "left")
-        .join(replaced_ids, ["scope_id", "_known_id"], "left")
-        .withColumn(
-            "reason",
-            F.when(F.col("_known_replaced_by") < F.col("request_id"), "duplicate_replaced_in_batch")
-            .when(F.col("_known_id").isNotNull(), F.lit(None))
-            .when(wants & F.col("_target_status").isNull(), "superseded_memory_not_found")
-            .when(wants & (F.col("_target_status") != "active"), "superseded_memory_not_active")
-            .when(
-                F.col("_lost") & (F.col("request_id") == F.col("_first")),
-                "superseded_memory_not_active",
-            )
-            .when(F.col("_lost"), "first_duplicate_rejected"),
-        )
-    )
-    action = (
-        F.when(F.col("reason").isNotNull(), "rejected")
-        .when(F.col("_known_id").isNotNull(), "deduplicated")
-        .when(F.col("request_id") != F.col("_first"), "deduplicated")
-        .when(wants, "replaced")
-        .otherwise("created")
-    )
-    judged = judged.withColumn("action", action).select(
-        "request_id", "scope_id", "fingerprint", "supersedes_memory_id", "_known_id", "_first",
-        "action", "reason",
-    )
-    winner_id = F.concat(
-        F.lit("mem_"), F.sha2(F.concat_ws("|", "fingerprint", F.col("_first").cast("string")), 256)
-    )
-    memory_id = F.when(F.col("action") != "rejected", F.coalesce("_known_id", winner_id))
+    judged = inorder.play(memories, keyed.select("request_id", "scope_id", "fingerprint", F.col("supersedes_memory_id").alias("target"), new_id.alias("new_id")))
+    replaced = judged.filter(F.col("action") == "replaced")
     outcomes = judged.filter(F.col("action") != "rejected").select(
-        "request_id", "scope_id", "action", memory_id.alias("memory_id"),
-        F.when(F.col("action") == "replaced", F.col("supersedes_memory_id")).alias(
-            "superseded_memory_id"
-        ),
-    )
-    rejects = judged.filter(F.col("action") == "rejected").select(
-        "request_id", "scope_id", "supersedes_memory_id", "reason"
+        "request_id", "scope_id", "action", "memory_id", F.when(F.col("action") == "replaced", F.col("target")).alias("superseded_memory_id")
     )
+    rejects = judged.filter(F.col("action") == "rejected").select("request_id", "scope_id", F.col("target").alias("supersedes_memory_id"), "reason")
 
-    made = judged.filter(F.col("action").isin("created", "replaced")).select("request_id")
+    made = judged.filter(F.col("action").isin("created", "replaced")).select("scope_id", "request_id")
+    created = keyed.withColumn("memory_id", new_id).join(made, ["scope_id", "request_id"], "left_semi")
+    facts = new_profile_facts(created, now)
     created = conform(
-        keyed.join(made, "request_id", "left_semi").withColumns(
-            {"memory_id": new_id, "status": F.lit("active")}
-        ),
-        schemas.MEMORIES,
-        confidence=F.lit(0.8),
-        created_at=at,
-        updated_at=at,
-    )
-    replaced = outcomes.filter(F.col("action") == "replaced").select(
-        "scope_id", F.col("superseded_memory_id").alias("memory_id"),
-        F.col("memory_id").alias("_successor"),
+        created.withColumn("status", F.lit("active")), schemas.MEMORIES, confidence=F.lit(0.8), created_at=at, updated_at=at
     )
+    # a memory that one request of the batch makes and a later one replaces ends superseded
+    ends = replaced.select("scope_id", F.col("target").alias("memory_id"), F.col("new_id").alias("_successor"))
     gone = F.col("_successor").isNotNull()
-    kept = memories.join(replaced, ["scope_id", "memory_id"], "left").withColumns(
+    table = conform(memories, schemas.MEMORIES).unionByName(created).join(ends, ["scope_id", "memory_id"], "left").withColumns(
         {
             "status": F.when(gone, "superseded").otherwise(F.col("status")),
             "superseded_by": F.coalesce("_successor", "superseded_by"),
             "updated_at": F.when(gone, at).otherwise(F.col("updated_at")),
         }
     )
-    table = conform(kept, schemas.MEMORIES).unionByName(created)
-    return Change(table, outcomes, rejects)
+    ids = F.when(F.col("action") == "replaced", F.array("memory_id", "target")).otherwise(F.array("memory_id"))
+    audited = judged.filter(F.col("action") != "rejected").withColumns({"memory_ids": ids, "compressed": F.lit(True)})
+    receipts = new_receipts(audited, "remember", now, ["scope_id", "request_id"])
+    return Change(conform(table, schemas.MEMORIES), outcomes, rejects, facts, receipts)
 
 
 def forget(
