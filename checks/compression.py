@@ -9,10 +9,14 @@ from corpusmill.operators.compress import compress, type_facts
 from corpusmill.operators.compress import conversation, plain_text
 from corpusmill.operators.compress.common import shares_fallback
 from corpusmill.operators.compress.log import sample_fallback
+from corpusmill import schemas
+from corpusmill.operators.route import route
 from corpusmill.plans import context_flow as flow
 from corpusmill.plans import overview as O
 from corpusmill.plans import safety as S
+from corpusmill.session import written
 from corpusmill.sources import testdata as td
+from corpusmill.sources.store import conform, new_compressed
 
 _B = chr(92) + "b"
 
@@ -360,7 +364,18 @@ def cache_hit_counts(spark, sf):
     return _cache(spark, sf).compressed.select("ccr_id", "cache_hit_count")
 
 
+_FLOWS: dict = {}
+
+
 def _flow(spark, sf):
+    """One run of the flow for all queries that look at it: its tables are written, not planned again."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FLOWS:
+        _FLOWS[key] = _run_flow(spark, sf)
+    return _FLOWS[key]
+
+
+def _run_flow(spark, sf):
     d = F.col("doc_id")
 
     def pick(*values, n):
@@ -370,8 +385,41 @@ def _flow(spark, sf):
         F.col("doc_id").alias("request_id"), "scope_id", "content", F.lit("").alias("goal"),
         F.when(d % 2 == 0, F.array(F.concat(F.lit("fact "), d))).otherwise(F.array().cast("array<string>")).alias("facts"),
         F.array().cast("array<string>").alias("inferences"),
-        pick("VERIFIED", "UNVERIFIED", "UNKNOWN", n=3).alias("verification"), (d % 10 == 0).alias("contradictory"))
-    return flow.context_flow(requests, td.memories(spark, sf), td.originals(spark, sf), td.NOW)
+        pick("VERIFIED", "UNVERIFIED", "UNKNOWN", n=3).alias("verification"), (d % 10 == 0).alias("contradictory"),
+        F.when(d % 2 == 0, F.concat(F.lit("fact "), d)).alias("query"))
+    # every third page was compressed before; the originals of half of these are gone
+    keyed = S.with_cache_key(route(requests.withColumn("doc_id", F.col("request_id"))), 2000).filter(d % 3 == 0)
+    keyed = written(keyed.select("doc_id", "scope_id", "cache_key"), "known")
+    name = lambda kind: F.concat(F.lit(f"{kind}_known_"), d)
+    before = new_compressed(keyed.select(name("ccr").alias("ccr_id"), "scope_id", "cache_key", F.lit("x").alias("compressed_content"), name("orig").alias("original_ref")), td.NOW)
+    stored = conform(keyed.filter(d % 2 == 0).select(name("orig").alias("original_id"), "scope_id", name("ccr").alias("ccr_id")), schemas.ORIGINALS)
+    return flow.context_flow(requests, td.memories(spark, sf), td.originals(spark, sf).unionByName(stored), td.NOW, compressed=before)
+
+
+#: Pages by scope and text, those known before, and which request of a text is the first.
+_FLOW = """
+  WITH p AS (SELECT doc_id, scope_id, content, bool_or(doc_id % 3 = 0) OVER w AS known, min(doc_id) OVER w AS first,
+      min(CASE WHEN doc_id % 6 = 0 THEN doc_id END) OVER w AS whole, min(CASE WHEN doc_id % 3 = 0 THEN 'ccr_known_' || doc_id END) OVER w AS broken
+    FROM t_pages WINDOW w AS (PARTITION BY scope_id, content))
+"""
+
+
+@query("flow_cache_reuse", _FLOW + """
+  SELECT doc_id AS request_id, known OR doc_id != first AS cache_hit, 'ok' AS persistence, 'ok' AS original FROM p""")
+def flow_cache_reuse(spark, sf):
+    return _flow(spark, sf).steps.select("request_id", "cache_hit", F.col("persistence.status").alias("persistence"), F.col("original.status").alias("original"))
+
+
+@query("flow_compressed", _FLOW + """
+  SELECT 'ccr_' || sha256(scope_id || '|' || doc_id) AS ccr_id, scope_id, sha256(content) AS content_hash FROM p WHERE NOT known AND doc_id = first""")
+def flow_compressed(spark, sf):
+    return _flow(spark, sf).compressed.select("ccr_id", "scope_id", "content_hash")
+
+
+@query("flow_recall", _FLOW + """
+  SELECT doc_id AS request_id, CASE WHEN doc_id % 2 = 0 THEN 'ok' ELSE 'skipped' END AS recall, CASE WHEN doc_id % 2 != 0 THEN 'not requested' END AS reason FROM p""")
+def flow_recall(spark, sf):
+    return _flow(spark, sf).steps.select("request_id", F.col("recall.status").alias("recall"), F.col("recall.reason").alias("reason"))
 
 
 @query("flow_steps")
@@ -387,8 +435,8 @@ def flow_receipts(spark, sf):
     return _flow(spark, sf).receipts.select("receipt_id", "scope_id", "input_hash")
 
 
-@query("flow_originals", """
-  SELECT DISTINCT 'orig_' || sha256(scope_id || '|' || content) AS original_id, scope_id FROM t_pages""")
+@query("flow_originals", _FLOW + """
+  SELECT DISTINCT 'orig_' || sha256(scope_id || '|' || content) AS original_id, scope_id FROM p WHERE whole IS NULL""")
 def flow_originals(spark, sf):
     return _flow(spark, sf).originals.select("original_id", "scope_id")
 

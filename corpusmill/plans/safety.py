@@ -150,6 +150,12 @@ def reuse_cache(
     known = cached.join(stored, ["scope_id", "original_ref"], "left").withColumn(
         "needs_repair", F.col("_stored").isNull() | ~F.col("can_retrieve_original")
     ).drop("_stored")
+    # a key may have been written twice: the row that needs no repair answers, then the one of least id
+    rest = F.struct(*[F.col(c) for c in known.columns if c not in ("scope_id", "cache_key")])
+    best = F.min_by(rest, F.struct("needs_repair", "ccr_id")).alias("_best")
+    known = known.groupBy("scope_id", "cache_key").agg(best).select("scope_id", "cache_key", "_best.*")
+    # what the cached row brings takes the place of columns of the same name
+    requests = requests.drop(*[c for c in known.columns if c not in ("scope_id", "cache_key")])
     hits = requests.join(known, ["scope_id", "cache_key"])
     served = known.select("scope_id", "cache_key")
     misses = requests.join(served, ["scope_id", "cache_key"], "left_anti")
