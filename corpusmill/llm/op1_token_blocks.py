@@ -38,6 +38,10 @@ HEAD = "<4sHHIQI"
 BLOCK_HEAD = np.dtype([("least", "<u4"), ("width", "u1"), ("n", "<u2")])
 CHUNK_IDS = 1 << 20
 CACHE = 2_000_000
+#: New words that are encoded as one text.
+RUN_WORDS = 10_000
+#: How a byte-level vocabulary spells the space.
+SPACE_MARK = "\u0120"
 
 
 class Encoder:
@@ -56,6 +60,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id = end_id
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.opens[[k for token, k in vocabulary.items() if token.startswith(SPACE_MARK)]] = True
+        self.white = np.zeros(256, dtype=bool)
+        self.white[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
         self.end = np.array([end_id], dtype="<u4").tobytes()
         self._forget()
         self.careful = re.compile(r"(?= \S)")
@@ -75,17 +84,29 @@ class Encoder:
         inside = at < len(self.keys)
         new[inside] = self.keys[at[inside]] != hashes[inside]
         new = np.nonzero(new)[0]
-        words, sizes = [], np.zeros(len(new), dtype=np.int32)
-        for k, (a, b, h) in enumerate(zip(start[new].tolist(), end[new].tolist(), head[new].tolist(), strict=True)):
-            word = buffer[a:b].decode()
-            if not h and (not word or word[0].isspace()):
-                sizes[k] = -1
-            words.append(word if h else "" if sizes[k] else " " + word)
-        ids = self._plain(words)
-        counts = np.array(list(map(len, ids)), dtype=np.int32) // 4
-        sizes = np.where(sizes < 0, sizes, counts)
-        places = len(self.ids) + np.cumsum(counts, dtype=np.int64) - counts
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), dtype="<u4")])
+        start, end, head = start[new], end[new], head[new]
+        plain = ~head & (end > start)
+        # white space after a space; only words that do not begin with ASCII need a look at the character
+        plain[plain] = ~self.white[np.frombuffer(buffer, dtype=np.uint8)[start[plain]]]
+        for k in np.flatnonzero(plain & (np.frombuffer(buffer, dtype=np.uint8)[start] > 127)).tolist():
+            plain[k] = not buffer[start[k] : start[k] + 4].decode(errors="ignore")[0].isspace()
+        ids, sizes = [], np.full(len(new), -1, dtype=np.int32)
+        if plain.any():
+            # with the space before each word; a token that starts with a space starts a word
+            joined = [buffer[a - 1 : b] for a, b in zip(start[plain].tolist(), end[plain].tolist(), strict=True)]
+            texts = [b"".join(joined[k : k + RUN_WORDS]).decode() for k in range(0, len(joined), RUN_WORDS)]
+            ids = self._plain(texts)
+            flat = np.frombuffer(b"".join(ids), dtype="<u4")
+            opened = np.flatnonzero(self.opens[flat])
+            if len(opened) != len(joined):
+                raise ValueError("this tokenizer does not start a token at every space before a word")
+            sizes[plain] = np.diff(np.append(opened, len(flat)))
+        first = self._plain([buffer[a:b].decode() for a, b in zip(start[head].tolist(), end[head].tolist(), strict=True)])
+        sizes[head] = np.array(list(map(len, first)), dtype=np.int32) // 4
+        counts = np.concatenate([sizes[plain], sizes[head]]).astype(np.int64)
+        places = np.zeros(len(new), dtype=np.int64)
+        places[np.append(np.flatnonzero(plain), np.flatnonzero(head))] = len(self.ids) + np.cumsum(counts) - counts
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids + first), dtype="<u4")])
         self.keys = np.insert(self.keys, at[new], hashes[new])
         self.places, self.sizes = np.insert(self.places, at[new], places), np.insert(self.sizes, at[new], sizes)
 
