@@ -122,6 +122,18 @@ def json_special_fields(spark, sf):
     return rows.filter(F.col("kind") == "special_field").select("doc_id", "value")
 
 
+@query("json_deep_fields", """
+  WITH d AS (SELECT doc_id, unnest(ls) AS line, unnest(generate_series(0, len(ls) - 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+  i AS (SELECT doc_id, i, 'items[' || i || '].' AS place FROM d)
+  SELECT doc_id, 'deep' || repeat('.l', CAST(doc_id % 40 AS BIGINT)) || '.errorCode="E' || doc_id || '"' AS value FROM documents
+  UNION ALL SELECT doc_id, place || 'code="c' || i || '"' FROM i UNION ALL SELECT doc_id, place || 'part.parts[0].statusOf=' || i FROM i
+  UNION ALL SELECT doc_id, place || 'name="same"' FROM i WHERE i = 0""")
+def json_deep_fields(spark, sf):
+    """Every line of a document as an item, beside an object nested up to 40 levels."""
+    rows = _facts(td.deep_json_documents(spark, sf), "json")
+    return rows.filter(F.col("kind") == "special_field").select("doc_id", "value")
+
+
 _PRIORITY_WORDS = rf"(?i){_B}(?:rollback|critical|warning|security|failure|readiness|required){_B}"
 _STRUCTURED = "(?i)" + "|".join([
     r"(?:^|\s)(?:GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+\/\S+", r"\/(?:api|v\d+)(?:\/[A-Za-z0-9._~!$&''()*+,;=:@%-]+)+",

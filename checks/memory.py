@@ -51,7 +51,7 @@ def validate_remember(spark, sf):
   SELECT id, concat_ws(',', CASE WHEN {trim_sql('query')} = '' THEN 'query_required' END,
       CASE WHEN length(query) > 1000 THEN 'query_too_long' END, CASE WHEN id % 4 = 1 THEN 'types_invalid' END,
       CASE WHEN id % 6 = 0 THEN 'status_invalid' END, CASE WHEN n < 1 THEN 'limit_invalid' END) AS errors,
-    CAST(least(n, 50) AS INTEGER) AS effective_limit,
+    CASE WHEN n > 50 THEN 'limit_large' ELSE '' END AS warnings, CAST(n AS INTEGER) AS effective_limit,
     CASE WHEN statuses IS NOT NULL THEN array_to_string(statuses, ',') WHEN inactive THEN 'active,superseded,forgotten,expired'
       ELSE 'active' END AS effective_statuses FROM r""")
 def validate_recall(spark, sf):
@@ -64,7 +64,7 @@ def validate_recall(spark, sf):
         .alias("statuses"),
         (e % 70 - 2).cast("double").alias("limit"), (e % 5 == 0).alias("include_inactive"))
     rows = V.validate_recall(requests)
-    return rows.select("id", F.array_join("errors", ",").alias("errors"), "effective_limit",
+    return rows.select("id", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"), "effective_limit",
                        F.array_join("effective_statuses", ",").alias("effective_statuses"))
 
 

@@ -62,12 +62,12 @@ def compression_gate(spark, sf):
 
 
 def _probes(spark, sf):
-    """A query per active memory: a stretch of its text; the target is its beginning."""
+    """Every memory whose id 20 divides asks with its whole text, which is also the target, against all memories."""
     d = F.substring("memory_id", 5, 20).cast("bigint")
-    active = td.memories(spark, sf).filter("status = 'active'")
-    return active.select(
-        d.alias("query_id"), "scope_id", F.substring("content", 1, 40).alias("query"),
-        F.when(d % 2 == 0, "precision").otherwise("broad").alias("kind"), F.substring("content", 1, 30).alias("target_content"))
+    asking = td.memories(spark, sf).filter((F.col("status") == "active") & (d % 20 == 0))
+    return asking.select(
+        d.alias("query_id"), "scope_id", F.col("content").alias("query"),
+        F.when(d % 40 == 0, "precision").otherwise("broad").alias("kind"), F.col("content").alias("target_content"))
 
 
 def _evaluated(spark, sf):
@@ -76,8 +76,8 @@ def _evaluated(spark, sf):
     return memories, probes, hits
 
 
-_PROBES = """(SELECT doc_id AS query_id, scope_id, left(content, 40) AS query, left(content, 30) AS target,
-    CASE WHEN doc_id % 2 = 0 THEN 'precision' ELSE 'broad' END AS kind FROM t_mem WHERE status = 'active')"""
+_PROBES = """(SELECT doc_id AS query_id, scope_id, content AS query, content AS target,
+    CASE WHEN doc_id % 40 = 0 THEN 'precision' ELSE 'broad' END AS kind FROM t_mem WHERE status = 'active' AND doc_id % 20 = 0)"""
 _RANKS = _TOP.replace("FROM t_query)", f"FROM {_PROBES})") + f""",
   x AS (SELECT k.query_id, min(rank) AS rank_found FROM k JOIN t_mem m ON k.memory_id = m.memory_id
     WHERE rank <= 10 AND contains(m.content, k.target) GROUP BY k.query_id),

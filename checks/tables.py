@@ -94,6 +94,20 @@ def append_failures(spark, sf):
         "failure_id", "scope_id", "operation", "event_type", "ccr_id")
 
 
+@query("rejected_failures", """
+  WITH e AS (SELECT event_id, CASE WHEN event_id % 7 != 0 THEN 'src' || (user_id % 20) END AS scope_id,
+      CASE event_id % 3 WHEN 0 THEN 'recall_no_hit' WHEN 1 THEN event_type END AS kind FROM events)
+  SELECT event_id, CASE WHEN scope_id IS NULL THEN 'scope_missing' ELSE 'event_type_unknown' END AS reject_reason
+  FROM e WHERE scope_id IS NULL OR kind IS NULL OR kind != 'recall_no_hit'""")
+def rejected_failures(spark, sf):
+    """Events as failures: those without a scope or of a type that is none."""
+    e = F.col("event_id")
+    rows = td.table(spark, sf, "events").select(
+        "event_id", F.when(e % 7 != 0, F.concat(F.lit("src"), F.col("user_id") % td.SCOPE_COUNT)).alias("scope_id"),
+        F.when(e % 3 == 0, "recall_no_hit").when(e % 3 == 1, F.col("event_type")).alias("kind"))
+    return store.rejected_failures(rows, F.col("kind")).select("event_id", "reject_reason")
+
+
 @query("append_profile_facts", """
   SELECT 'pf_' || sha256(memory_id) AS fact_id, scope_id, 'static' AS layer,
     coalesce(summary, content) AS content, memory_id AS source_memory_id, confidence

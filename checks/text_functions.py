@@ -85,12 +85,12 @@ def source_refs(spark, sf):
 
 
 @query("normalized_titles", f"""
-  SELECT doc_id, {trim_sql('''regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower('Module #' || doc_id || ' ' || left(content, 60)), '`', '', 'g'),
+  SELECT doc_id, {trim_sql('''regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower('Module #' || doc_id || ' ' || content), '`', '', 'g'),
     '\\b(component|module|package|service)\\s*[#:]?\\s*\\d+\\b', '\\1', 'g'), '\\d+', '#', 'g'),
     '[^a-z0-9\\x{4e00}-\\x{9fff}#]+', ' ', 'g')''')} AS title
   FROM t_corpus""")
 def normalized_titles(spark, sf):
-    title = F.concat(F.lit("Module #"), F.col("doc_id"), F.lit(" "), F.substring("content", 1, 60))
+    title = F.concat(F.lit("Module #"), F.col("doc_id"), F.lit(" "), "content")
     return td.corpus(spark, sf).select("doc_id", T.normalize_title(title).alias("title"))
 
 

@@ -39,30 +39,39 @@ def decode_string_map(c: Column) -> Column:
     return F.from_json(c, "map<string,string>")
 
 
+def kind_of(v: Column) -> Column:
+    """OBJECT, ARRAY, VOID, STRING or another scalar's type; looks at one level only.
+
+    ``schema_of_variant`` goes down into every value and overflows the stack on
+    deep ones, so it is asked for scalars alone.
+    """
+    return (
+        F.when(v.isNull(), F.lit("VOID"))
+        .when(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), F.lit("OBJECT"))
+        .when(F.try_variant_get(v, "$", "array<variant>").isNotNull(), F.lit("ARRAY"))
+        .otherwise(F.schema_of_variant(v))
+    )
+
+
 def type_name(v: Column) -> Column:
-    """The reference's type name of a VARIANT (arrays by first item)."""
-    schema = F.schema_of_variant(v)
+    """The type name of a VARIANT (arrays by first item, two levels down)."""
 
     def scalar(s: Column) -> Column:
         return (
-            F.when(s.isNull(), F.lit("null"))
-            .when(s == "VOID", F.lit("null"))
+            F.when(s == "VOID", F.lit("null"))
             .when(s == "STRING", F.lit("string"))
             .when(s == "BOOLEAN", F.lit("boolean"))
-            .when(s.startswith("OBJECT"), F.lit("object"))
+            .when(s == "OBJECT", F.lit("object"))
+            .when(s == "ARRAY", F.lit("array"))
             .otherwise(F.lit("number"))
         )
 
     def nested(value: Column, depth: int) -> Column:
-        s = F.schema_of_variant(value)
-        if depth == 0:
-            return F.when(s.startswith("ARRAY"), F.lit("array")).otherwise(scalar(s))
         first = F.try_variant_get(value, "$[0]", "variant")
-        inner = F.concat(F.lit("array<"), nested(first, depth - 1), F.lit(">"))
-        return (
-            F.when(~s.startswith("ARRAY"), scalar(s))
-            .when(first.isNull(), F.lit("array"))
-            .otherwise(inner)
-        )
+        if depth == 0:
+            return scalar(kind_of(value))
+        inner = let(first, lambda x: F.when(x.isNull(), F.lit("array")).otherwise(
+            F.concat(F.lit("array<"), nested(x, depth - 1), F.lit(">"))))
+        return let(kind_of(value), lambda k: F.when(k == "ARRAY", inner).otherwise(scalar(k)))
 
-    return F.when(v.isNull() | schema.isNull(), F.lit("null")).otherwise(nested(v, 2))
+    return nested(v, 2)

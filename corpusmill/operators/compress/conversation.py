@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import ascii_words, let, token_count, trim
-from corpusmill.functions.values import parse_json
+from corpusmill.functions.values import kind_of, parse_json
 from corpusmill.operators.compress.common import (
     budgeted, facts_of, head, ladder, line, lines_of, none, result, texts, when_lines,
 )
@@ -138,7 +138,7 @@ def _from_json(v: Column) -> Column:
 
     def extra(label: str, field: str) -> Column:
         value = F.try_variant_get(v, f"$.{field}", "variant")
-        text = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(v, f"$.{field}", "string"))
+        text = F.when(kind_of(value) == "STRING", F.try_variant_get(v, f"$.{field}", "string"))
         text = F.coalesce(text, F.to_json(value))
         return F.when(value.isNotNull(), F.array(_message("system", line(label, ": ", text)))).otherwise(
             F.array().cast(MESSAGE)
@@ -176,27 +176,25 @@ def _all_matches(messages: Column, pattern: str) -> Column:
 
 
 def extract_info(ms: Column) -> Column:
+    """Every fact in full; what a budget leaves out is decided by ``render``."""
     goals = F.filter(ms, lambda m: (m["role"] == "system") & m["content"].startswith("Goal:"))
     users = F.filter(ms, lambda m: m["role"] == "user")
     goal = F.coalesce(
-        F.substring(F.regexp_replace(F.get(goals, F.lit(0))["content"], r"^Goal:\s*", ""), 1, 200),
-        F.substring(F.get(users, F.lit(0))["content"], 1, 200),
+        F.regexp_replace(F.get(goals, F.lit(0))["content"], r"^Goal:\s*", ""),
+        F.get(users, F.lit(0))["content"],
         F.lit("(not detected)"),
     )
     sentences = F.flatten(F.transform(
         F.filter(ms, lambda m: m["content"].rlike(DECISION)),
         lambda m: F.filter(
             F.split(m["content"], r"[.;]\s+|\n"),
-            lambda s: s.rlike(DECISION) & (F.length(s) > 20) & (F.length(s) < 300))))
+            lambda s: s.rlike(DECISION) & (F.length(s) > 20))))
     failing = F.array_sort(F.transform(
         F.filter(ms, lambda m: m["content"].rlike(ERROR)),
         lambda m: F.struct(
             F.when(m["content"].rlike(STRONG_ERROR), 0).otherwise(1).alias("weak"),
             (-m["score"]).alias("order"), m["index"].alias("index"), trim(m["content"]).alias("text"))))
-    errors = F.transform(
-        head(failing, 3),
-        lambda e: F.when(F.length(e["text"]) > 200, F.concat(F.substring(e["text"], 1, 197), F.lit("...")))
-        .otherwise(e["text"]))
+    errors = F.transform(failing, lambda e: e["text"])
     files = F.array_distinct(F.flatten(F.transform(
         ms, lambda m: F.regexp_extract_all(m["content"], F.lit(f"({FILE_PATH})"), 1))))
     best = F.transform(
@@ -205,11 +203,11 @@ def extract_info(ms: Column) -> Column:
     kept_ids = F.array_sort(head(best, keep_count(F.size(ms)).cast("int")))
     return F.struct(
         goal.alias("goal"),
-        head(F.concat(_listed(ms, "Completed"), _all_matches(ms, DONE)), 10).alias("done"),
-        head(F.concat(_listed(ms, "Pending"), _all_matches(ms, TODO)), 10).alias("todo"),
-        head(F.concat(_listed(ms, "Decisions"), F.transform(sentences, trim)), 10).alias("decisions"),
+        F.concat(_listed(ms, "Completed"), _all_matches(ms, DONE)).alias("done"),
+        F.concat(_listed(ms, "Pending"), _all_matches(ms, TODO)).alias("todo"),
+        F.concat(_listed(ms, "Decisions"), F.transform(sentences, trim)).alias("decisions"),
         errors.alias("errors"),
-        head(files, 15).alias("files"),
+        files.alias("files"),
         F.transform(kept_ids, lambda i: F.get(ms, i)).alias("messages"),
         F.size(ms).alias("total"),
     )
@@ -231,13 +229,17 @@ def render(i: Column, limits: Column) -> Column:
         ).otherwise(m["content"])
         return line("**", face, " ", m["role"], "** (score: ", m["score"], "): ", excerpt, "\n")
 
-    shown, found = head(i["messages"], limits["messages"]), head(i["errors"], limits["errors"])
+    shown = head(i["messages"], limits["messages"])
+    found = F.transform(
+        head(i["errors"], limits["errors"]),
+        lambda e: F.when(F.length(e) > 200, F.concat(F.substring(e, 1, 197), F.lit("..."))).otherwise(e))
+    short = F.filter(i["decisions"], lambda d: F.length(d) < 300)
     folded = i["total"] - F.size(i["messages"])
     return lines_of(
-        texts("## Conversation Summary", "", "### Current Goal", line("> ", i["goal"]), ""),
-        section("### Completed Steps", i["done"], lambda s: F.concat(F.lit("- [x] "), s)),
-        section("### Pending Steps", i["todo"], lambda s: F.concat(F.lit("- [ ] "), s)),
-        section("### Key Decisions", head(i["decisions"], limits["decisions"]), lambda s: F.concat(F.lit("- "), s)),
+        texts("## Conversation Summary", "", "### Current Goal", line("> ", F.substring(i["goal"], 1, 200)), ""),
+        section("### Completed Steps", head(i["done"], 10), lambda s: F.concat(F.lit("- [x] "), s)),
+        section("### Pending Steps", head(i["todo"], 10), lambda s: F.concat(F.lit("- [ ] "), s)),
+        section("### Key Decisions", head(short, limits["decisions"]), lambda s: F.concat(F.lit("- "), s)),
         when_lines(F.size(found) > 0, F.concat(texts("### Recent Errors", "```"), found, texts("```", ""))),
         section("### Relevant Files", head(i["files"], 10), lambda s: F.concat(F.lit("- `"), s, F.lit("`"))),
         when_lines(F.size(shown) > 0, F.concat(texts("### Key Messages", ""), F.transform(shown, show_message))),

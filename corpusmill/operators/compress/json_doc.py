@@ -1,4 +1,4 @@
-"""JSON by its keys, special fields and array samples, to a bounded depth."""
+"""JSON by its keys, special fields at any depth and array samples."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import let, token_count, truncate_to_tokens
-from corpusmill.functions.values import parse_json, type_name
+from corpusmill.functions.values import kind_of, parse_json, type_name
 from corpusmill.operators.compress.common import (
     budgeted, facts_of, head, line, lines_of, result, texts, when_lines,
 )
@@ -16,9 +16,7 @@ SPECIAL = (
     "error", "errors", "status", "code", "message", "id", "name", "type", "kind", "requestId",
     "traceId", "timestamp", "version",
 )
-DEPTH = 3
 MEMBERS = "map<string,variant>"
-FIELD = "array<struct<path:string,value:string>>"
 
 
 def _members(v: Column) -> Column:
@@ -33,17 +31,13 @@ def _items(v: Column) -> Column:
     )
 
 
-def _kind(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
-
-
 def _short(text: Column) -> Column:
     cut = F.concat(F.lit('"'), F.substring(text, 1, 80), F.lit('..." ('), F.length(text), F.lit(" chars total)"))
     return F.when(F.length(text) <= 80, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(cut)
 
 
 def _sample(v: Column) -> Column:
-    kind = _kind(v)
+    kind = kind_of(v)
     items = _items(v)
     keys = F.transform(_members(v), lambda e: e["key"])
     more = F.when(F.size(keys) >= 5, ", ...").otherwise("")
@@ -66,68 +60,114 @@ def _is_special(key: Column) -> Column:
     return key.isin(*SPECIAL) | low.contains("error") | low.contains("status") | low.contains("id")
 
 
-def _field(path: Column, value: Column) -> Column:
-    return F.struct(path.alias("path"), F.to_json(value).alias("value"))
-
-
-def _special(v: Column, prefix: Column | None, depth: int) -> Column:
-    """Special fields of an object, of nested objects, and of objects in arrays."""
-
-    def visit(e: Column) -> Column:
-        path = e["key"] if prefix is None else F.concat(prefix, F.lit("."), e["key"])
-        own = F.when(_is_special(e["key"]), F.array(_field(path, e["value"]))).otherwise(
-            F.array().cast(FIELD)
-        )
-        in_arrays = F.flatten(
-            F.transform(
-                head(_items(e["value"]), 5),
-                lambda x, i: F.transform(
-                    F.filter(_members(x), lambda m: m["key"].isin(*SPECIAL)),
-                    lambda m: _field(
-                        F.concat(path, F.lit("["), i.cast("string"), F.lit("]."), m["key"]), m["value"]
-                    ),
-                ),
-            )
-        )
-        parts = [own.cast(FIELD), _first_values(in_arrays).cast(FIELD)]
-        if depth > 1:
-            parts.insert(1, _special(e["value"], path, depth - 1))
-        return F.concat(*parts)
-
-    return F.flatten(F.transform(_members(v), visit)).cast(FIELD)
-
-
-def _first_values(fields: Column) -> Column:
-    """Drop repeats of the same key and value among the items of an array."""
-
-    def distinct(fs: Column) -> Column:
-        keys = F.transform(
-            fs, lambda f: F.concat(F.substring_index(f["path"], ".", -1), F.lit("="), f["value"])
-        )
-        return let(keys, lambda k: F.filter(fs, lambda _f, i: F.array_position(k, F.get(k, i)) == i + 1))
-
-    return let(fields, distinct)
-
-
-def _count(v: Column, depth: int, arrays: bool) -> Column:
-    """Arrays over five items, or texts over 200 characters, at any depth."""
-
-    def one(e: Column) -> Column:
-        if arrays:
-            own = (F.size(_items(e["value"])) > 5).cast("int")
-        else:
-            own = (F.length(F.try_variant_get(e["value"], "$", "string")) > 200) & (
-                _kind(e["value"]) == "STRING"
-            )
-            own = F.coalesce(own, F.lit(False)).cast("int")
-        return own + _count(e["value"], depth - 1, arrays) if depth > 1 else own
-
-    return F.aggregate(_members(v), F.lit(0), lambda a, e: a + one(e))
+# Fixed value: how deep the JSON parser goes; a text nested deeper is invalid JSON.
+MAX_NESTING = 1000
+NODE = (
+    "struct<ord:array<int>,path:string,like:string,outer:boolean,direct:boolean,member:boolean,special:boolean,"
+    "shown:boolean,value:variant>"
+)
+FOUND = "struct<like:string,value:string,ord:array<int>,path:string,shown:boolean>"
+WALK = f"struct<level:array<{NODE}>,found:array<{FOUND}>,folded_arrays:int,folded_texts:int>"
+
+
+def _children(n: Column, members: Column, items: Column) -> Column:
+    """The fields of an object or the items of an array, one level down.
+
+    ``like`` is the path without the place in the innermost array; ``outer``
+    says that no array is above, ``direct`` that the value is one of the first
+    five items of an array that has no array above.
+    """
+
+    def below(parent: Column, key: Column) -> Column:
+        return F.when(F.length(parent) > 0, F.concat(parent, F.lit("."), key)).otherwise(key)
+
+    def field(e: Column, i: Column) -> Column:
+        key = e["key"]
+        special = _is_special(key)
+        return F.struct(
+            F.concat(n["ord"], F.array(i)).alias("ord"), below(n["path"], key).alias("path"),
+            below(n["like"], key).alias("like"), n["outer"].alias("outer"), F.lit(False).alias("direct"),
+            F.lit(True).alias("member"), special.alias("special"),
+            ((n["outer"] & special) | (n["direct"] & key.isin(*SPECIAL))).alias("shown"), e["value"].alias("value"))
+
+    def item(v: Column, i: Column) -> Column:
+        return F.struct(
+            F.concat(n["ord"], F.array(i)).alias("ord"),
+            F.concat(n["path"], F.lit("["), i.cast("string"), F.lit("]")).alias("path"),
+            F.concat(n["path"], F.lit("[*]")).alias("like"), F.lit(False).alias("outer"),
+            (n["outer"] & n["member"] & (i < 5)).alias("direct"), F.lit(False).alias("member"),
+            F.lit(False).alias("special"), F.lit(False).alias("shown"), v.alias("value"))
+
+    return F.concat(
+        F.transform(members, field).cast(f"array<{NODE}>"), F.transform(items, item).cast(f"array<{NODE}>"))
+
+
+def _next_level(walk: Column) -> Column:
+    """Notes what the values of a level are and goes on with what they hold."""
+    opened = F.transform(
+        walk["level"],
+        lambda n: F.struct(n.alias("n"), _members(n["value"]).alias("members"), _items(n["value"]).alias("items")))
+
+    def go(nodes: Column) -> Column:
+        special = F.transform(
+            F.filter(walk["level"], lambda n: n["special"]),
+            lambda n: F.struct(
+                F.when(n["outer"], n["ord"].cast("string")).otherwise(n["like"]).alias("like"),
+                F.to_json(n["value"]).alias("value"), n["ord"].alias("ord"), n["path"].alias("path"),
+                n["shown"].alias("shown")))
+        counted = lambda o: o["n"]["outer"] & o["n"]["member"]
+        long_arrays = F.filter(nodes, lambda o: counted(o) & (F.size(o["items"]) > 5))
+        long_texts = F.filter(nodes, lambda o: F.coalesce(
+            counted(o) & (F.size(o["items"]) == 0) & (F.size(o["members"]) == 0)
+            & (F.length(F.try_variant_get(o["n"]["value"], "$", "string")) > 200), F.lit(False)))
+        return F.struct(
+            F.flatten(F.transform(nodes, lambda o: _children(o["n"], o["members"], o["items"]))).alias("level"),
+            F.concat(walk["found"], special).alias("found"),
+            (walk["folded_arrays"] + F.size(long_arrays)).alias("folded_arrays"),
+            (walk["folded_texts"] + F.size(long_texts)).alias("folded_texts")).cast(WALK)
+
+    return F.when(F.size(walk["level"]) > 0, let(opened, go)).otherwise(walk)
+
+
+def walked(v: Column, content: Column) -> Column:
+    """special fields, folded_arrays and folded_texts of a whole JSON value.
+
+    The value is opened level by level until nothing is left to open, so depth
+    and length of arrays are not limited; a level holds each value once. There
+    are no more levels than opening brackets in the text. Special fields come
+    in document order; within one array a field with the value of an earlier
+    item is left out. Arrays of over five items and texts of over 200
+    characters are counted where no array is above them.
+    """
+    opening = F.length(content) - F.length(F.translate(content, "[{", ""))
+    root = F.struct(
+        F.array().cast("array<int>").alias("ord"), F.lit("").alias("path"), F.lit("").alias("like"),
+        F.lit(True).alias("outer"), F.lit(False).alias("direct"), F.lit(False).alias("member"),
+        F.lit(False).alias("special"), F.lit(False).alias("shown"), v.alias("value"))
+    start = F.struct(
+        F.array(root).alias("level"), F.array().cast(f"array<{FOUND}>").alias("found"),
+        F.lit(0).alias("folded_arrays"), F.lit(0).alias("folded_texts")).cast(WALK)
+    rounds = F.sequence(F.lit(0), F.least(opening, F.lit(MAX_NESTING)).cast("int"))
+    done = F.aggregate(rounds, start, lambda walk, _round: _next_level(walk))
+
+    def first_of_equal(fields: Column) -> Column:
+        def repeats(f: Column, i: Column) -> Column:
+            before = F.get(fields, i - 1)
+            return (i > 0) & (before["like"] == f["like"]) & (before["value"] == f["value"])
+
+        kept = F.filter(fields, lambda f, i: ~F.coalesce(repeats(f, i), F.lit(False)))
+        in_order = F.array_sort(F.transform(kept, lambda f: F.struct(
+            f["ord"].alias("ord"), f["path"].alias("path"), f["value"].alias("value"), f["shown"].alias("shown"))))
+        return in_order
+
+    return let(done, lambda d: F.struct(
+        let(F.array_sort(d["found"]), first_of_equal).alias("special"),
+        d["folded_arrays"].alias("folded_arrays"), d["folded_texts"].alias("folded_texts")))
 
 
 def extract_info(v: Column, content: Column) -> Column:
     """Top-level keys keep the text's order; a VARIANT sorts those further down."""
-    is_array = _kind(v).startswith("ARRAY")
+    is_array = kind_of(v).startswith("ARRAY")
     members = F.try_variant_get(v, "$", MEMBERS)
     entries = F.transform(
         F.json_object_keys(content),
@@ -140,7 +180,7 @@ def extract_info(v: Column, content: Column) -> Column:
             e["key"].alias("key"), type_name(e["value"]).alias("type"), _sample(e["value"]).alias("sample")
         ),
     )
-    listed = F.filter(ordered, lambda e: _kind(e["value"]).startswith("ARRAY"))
+    listed = F.filter(ordered, lambda e: kind_of(e["value"]).startswith("ARRAY"))
     samples = F.transform(
         listed,
         lambda e: let(
@@ -155,20 +195,21 @@ def extract_info(v: Column, content: Column) -> Column:
     first_items = F.transform(
         head(_items(v), 3), lambda x, i: line("[", i, "]: ", type_name(x), " — ", _sample(x))
     )
-    return F.struct(
+    return let(walked(v, content), lambda w: F.struct(
         is_array.alias("is_array"),
         F.size(_items(v)).alias("total_items"),
         first_items.alias("items"),
         top.alias("keys"),
-        _special(v, None, DEPTH).alias("special"),
+        w["special"].alias("special"),
         samples.alias("arrays"),
-        _count(v, DEPTH, True).alias("folded_arrays"),
-        _count(v, DEPTH, False).alias("folded_texts"),
-    )
+        w["folded_arrays"].alias("folded_arrays"),
+        w["folded_texts"].alias("folded_texts"),
+    ))
 
 
 def render(i: Column) -> Column:
     n = F.size(i["keys"])
+    shown = F.filter(i["special"], lambda s: s["shown"])
     array_view = lines_of(
         texts("## JSON Summary", "", line("- **Type:** Array (", i["total_items"], " items)"), ""),
         when_lines(F.size(i["items"]) > 0, F.concat(texts("### Sample Items", "```json"), i["items"], texts("```"))),
@@ -187,10 +228,10 @@ def render(i: Column) -> Column:
         texts(F.array_join(F.transform(head(i["keys"], 20), lambda k: quote(k["key"], k["type"])), ",\n"), "}"),
         when_lines(n > 20, texts(line("  // ... ", n - 20, " more keys"))),
         texts("```", ""),
-        when_lines(F.size(i["special"]) > 0, F.concat(
+        when_lines(F.size(shown) > 0, F.concat(
             texts("### Special Fields (error / status / id)", "```json", "{"),
             texts(F.array_join(F.transform(
-                head(i["special"], 15), lambda s: line('  "', s["path"], '": ', s["value"])), ",\n"), "}"),
+                head(shown, 15), lambda s: line('  "', s["path"], '": ', s["value"])), ",\n"), "}"),
             texts("```", ""))),
         F.flatten(F.transform(head(i["arrays"], 5), lambda a: F.concat(
             texts(line("### Array: `", a["key"], "` (", a["total"], " items)"), "```json"),

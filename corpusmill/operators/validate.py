@@ -63,6 +63,7 @@ def validate_remember(requests: DataFrame) -> DataFrame:
 def validate_recall(requests: DataFrame) -> DataFrame:
     """Query, types, statuses and limit; adds the limit to use.
 
+    A limit over ``MAX_RECALL_LIMIT`` is used as given and warned of.
     Without a status filter only active memories are wanted, or all of them
     where ``include_inactive`` is set.
     """
@@ -78,9 +79,8 @@ def validate_recall(requests: DataFrame) -> DataFrame:
         status_invalid=unknown("statuses", MEMORY_STATUSES),
         limit_invalid=F.isnan("limit") | (F.col("limit") < 1),
     )
-    limit = F.least(
-        F.coalesce(F.floor("limit"), F.lit(DEFAULT_RECALL_LIMIT)), F.lit(MAX_RECALL_LIMIT)
-    ).cast("int")
+    limit = F.coalesce(F.floor("limit"), F.lit(DEFAULT_RECALL_LIMIT)).cast("int")
+    warnings = _errors(limit_large=~F.isnan("limit") & (F.col("limit") > MAX_RECALL_LIMIT))
     no_filter = F.coalesce(F.size("statuses"), F.lit(0)) <= 0
     everything = F.array(*[F.lit(s) for s in MEMORY_STATUSES])
     active = F.array(F.lit("active"))
@@ -90,7 +90,7 @@ def validate_recall(requests: DataFrame) -> DataFrame:
         .otherwise(active)
     )
     return requests.withColumns(
-        {"errors": errors, "effective_limit": limit, "effective_statuses": statuses}
+        {"errors": errors, "warnings": warnings, "effective_limit": limit, "effective_statuses": statuses}
     )
 
 

@@ -394,6 +394,18 @@ def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _line_table(table(spark, sf_dir, "part"), "p_partkey", CODE_LINES, line)
 
 
+def deep_json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON text per document: an object of up to 40 levels and an item per line."""
+    d = F.col("doc_id")
+    levels = (d % 40).cast("int")
+    items = F.transform(F.split("text", "\n"), lambda _line, i: _text(
+        '{"code":"c', i, '","name":"same","part":{"parts":[{"statusOf":', i, "}]}}"))
+    content = _text(
+        '{"deep":', F.repeat(F.lit('{"l":'), levels), '{"errorCode":"E', d, '"}', F.repeat(F.lit("}"), levels),
+        ',"items":[', F.array_join(items, ","), "]}")
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("scope_id"), d.alias("doc_id"), content.alias("content"))
+
+
 def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, k = F.col("event_id"), F.col("k")
     content = _text(

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import chunk as C
-from corpusmill.operators.compress import compress, engine, register_strategy
+from corpusmill.operators.compress import compress, conversation, engine, json_doc, register_strategy
 from corpusmill.operators.compress.common import result
 from corpusmill.plans.safety import safe_compress
 
@@ -95,3 +95,49 @@ def test_oversized_documents_are_chunked_and_merged(spark):
     r = safe_compress(docs, 50, max_input_bytes=2000, chunk_tokens=250, types=["plain_text"]).first()
     assert r.safety_action == "chunked" and r.compressed_content.startswith("[Chunk 1/")
     assert r.strategy.startswith("chunked(")
+
+
+def _special_fields(spark, texts):
+    docs = spark.createDataFrame([(k, v) for k, v in texts.items()], "doc_id string, content string")
+    rows = docs.select("doc_id", F.explode(json_doc.facts(F.col("content"))).alias("f")).filter("f.kind = 'special_field'")
+    found = {k: [] for k in texts}
+    for r in sorted(rows.collect(), key=lambda r: r.f.ord):
+        found[r.doc_id].append(r.f.value)
+    return found
+
+
+def _nested(levels):
+    return '{"l":' * levels + '{"errorCode":"E"}' + "}" * levels
+
+
+def test_json_fields_are_found_at_any_depth_and_place(spark):
+    items = ",".join(f'{{"part":[{{"errorCode":{i}}}],"name":"same"}}' for i in range(10_001))
+    texts = {
+        "deep": _nested(40), "deeper": _nested(900), "too deep": _nested(1200), "items": f'{{"rows":[{items}]}}',
+        "root": '[{"id":1},{"id":1},[{"id":1}]]', "order": '{"b":{"id":1,"status":{"code":2}},"a":{"name":"x"}}',
+        "escaped": '{"a":"[[{{\\"","id":"x"}', "broken": '{"id":', "empty": "", "scalar": "7",
+    }
+    found = _special_fields(spark, texts)
+    assert found["deep"] == ["l." * 40 + 'errorCode="E"'] and found["deeper"] == ["l." * 900 + 'errorCode="E"']
+    assert found["items"][:3] == ['rows[0].name="same"', "rows[0].part[0].errorCode=0", "rows[1].part[0].errorCode=1"]
+    assert len(found["items"]) == 10_002 and found["items"][-1] == "rows[10000].part[0].errorCode=10000"
+    assert found["root"] == ["[0].id=1", "[2][0].id=1"]
+    assert found["order"] == ['a.name="x"', "b.id=1", 'b.status={"code":2}', "b.status.code=2"]
+    assert found["escaped"] == ['id="x"']
+    # the parser goes down 1,000 levels
+    assert [found[k] for k in ("too deep", "broken", "empty", "scalar")] == [[]] * 4
+
+
+def test_deep_json_compresses_without_overflow(spark):
+    docs = spark.createDataFrame([("d", "json", _nested(900))], "doc_id string, content_type string, content string")
+    assert not compress(docs, 100, types=["json"]).collect()[0].failed
+
+
+def test_all_facts_of_a_long_conversation_are_kept(spark):
+    turns = [f"<user>\ndone: step {i}\nWe decided to use plan {i} {'because it is better ' * (i % 20)}\nError {i} {'x' * 300}" for i in range(40)]
+    docs = spark.createDataFrame([("\n".join(turns),)], "content string")
+    facts = docs.select(F.explode(conversation.facts(F.col("content"))).alias("f")).collect()
+    of = lambda kind: [r.f.value for r in facts if r.f.kind == kind]
+    assert of("completed") == [f"step {i}" for i in range(40)]
+    assert len(of("decision")) == 40 and max(map(len, of("decision"))) > 300
+    assert len(of("error")) == 40 and all("x" * 300 in e for e in of("error"))
