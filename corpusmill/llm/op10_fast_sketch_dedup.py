@@ -9,12 +9,15 @@ instead of n * t. Sketches are cut into bands; sets that agree in a band are
 compared exactly, on their full shingle sets.
 
 Documents of equal sets form one class and only classes are compared. In a
-bucket, the class of least hash is compared with all others. Buckets whose
-classes are then still in several components go on: each class outside the
-bucket's largest component is compared with all classes of other components,
-in the first bucket that both stand in. So no two classes of a bucket stay both
-unlinked and uncompared, no bucket is capped, and a large group of copies, being
-one component by then, costs no pairs.
+bucket, one class, the hub, is compared with all others. Classes of buckets that
+are then still in several components go on to an exact set-similarity join
+(prefix filter, Bayardo et al. 2007, Xiao et al. 2008): sets are sorted by the
+rarity of their shingles, and two sets that overlap enough share one of their
+first few. A shared one makes a pair only if its places leave enough overlap and
+if the sets' parity maps, one bit flipped for each shingle, differ in no more
+bits than sets so alike can differ in shingles. All these bounds are exact: no
+two classes of a bucket stay both linked and unfound, no bucket is capped, and a
+large group of copies, being one component by then, costs no pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import list_column, mix, saved, signed, slices, word_ids
@@ -33,6 +36,8 @@ from corpusmill.llm.components import components
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
 NONE = np.uint64(2**64 - 1)
+#: Bins of the histogram that orders shingles by rarity (a bound of 3 MB on the driver), and longs of a parity map.
+RARITY, MAP = 1 << 18, 8
 
 
 def shingle_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,6 +113,74 @@ def _describe(words: int):
     return rows
 
 
+def _bins(ids: np.ndarray) -> np.ndarray:
+    return (ids >> np.uint64(64 - 18)).astype(np.int64)
+
+
+def _histogram(words: int):
+    """How many shingles of all sets fall into each bin; one table for each task."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RARITY, dtype=np.int64)
+        for batch in slices(batches, "text"):
+            ids, _ = shingle_sets(batch.column("text").to_pylist(), words)
+            total += np.bincount(_bins(ids), minlength=RARITY)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["bin", "c"])
+
+    return rows
+
+
+def parity_maps(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """MAP longs a set; each shingle flips one bit, so two maps differ in at most as many bits as the sets in shingles."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    bit = (ids >> np.uint64(20)).astype(np.int64) % (MAP * 64)
+    odd = np.bincount(owner * MAP * 64 + bit, minlength=len(counts) * MAP * 64).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(len(counts), MAP * 64), axis=1).view(np.int64)
+
+
+PREFIXES = "key long, node long, n int, root long, k int, low boolean, " + ", ".join(f"m{i} long" for i in range(MAP))
+
+
+def _prefixes(words: int, threshold: int, common: np.ndarray):
+    """The rarest shingles of each set: its place ``k``, and ``low`` where it is of use with partners no smaller."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            ids, counts = shingle_sets(batch.column("text").to_pylist(), words)
+            maps = parity_maps(ids, counts)
+            owner = np.repeat(np.arange(len(counts)), counts)
+            order = np.lexsort((ids, common[_bins(ids)], owner))
+            place = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
+            first = place <= (counts - -(-threshold * counts // 100))[owner]
+            low = place <= (counts + -2 * threshold * counts // (100 + threshold))[owner]
+            key, owner, place, low = ids[order][first], owner[first], place[first], low[first]
+            node, root = (batch.column(c).to_numpy()[owner] for c in ("node", "root"))
+            columns = [signed(key), node, counts[owner].astype(np.int32), root, place.astype(np.int32), low, *maps[owner].T]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.ascontiguousarray(c)) for c in columns], ["key", "node", "n", "root", "k", "low", *(f"m{i}" for i in range(MAP))]
+            )
+
+    return rows
+
+
+def likely_pairs(sets: DataFrame, words: int, threshold: int) -> DataFrame:
+    """(a, b): pairs of (node, root, text) of different roots, among them all that overlap by ``threshold`` percent."""
+    total = sets.select("text").mapInArrow(_histogram(words), "bin long, c long").groupBy("bin").agg(F.sum("c").alias("c")).toArrow()
+    common = np.zeros(RARITY, dtype=np.int64)  # at most RARITY rows came, whatever the input
+    common[total.column("bin").to_numpy()] = total.column("c").to_numpy()
+    prefixes = saved(sets.select("node", "root", "text").mapInArrow(_prefixes(words, threshold, common), PREFIXES), "prefixes")
+    less = prefixes.filter("low").select("key", *(F.col(c).alias(f"p_{c}") for c in prefixes.columns if c not in ("key", "low")))
+    both, apart = F.col("n") + F.col("p_n"), sum(F.bit_count(F.col(f"m{i}").bitwiseXOR(F.col(f"p_m{i}"))) for i in range(MAP))
+    possible = F.least(F.col("n") - F.col("k"), F.col("p_n") - F.col("p_k"))
+    pairs = prefixes.join(less, "key").filter(
+        (F.struct("p_n", "p_node") < F.struct(F.col("n").alias("p_n"), F.col("node").alias("p_node"))) & (F.col("root") != F.col("p_root"))
+        & (100 * F.col("p_n") >= threshold * F.col("n"))
+        & (possible * (100 + threshold) >= threshold * both) & (apart * (100 + threshold) <= (100 - threshold) * both)
+    )
+    return pairs.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
+
+
 def _compare(words: int, threshold: int):
     """Keeps the pairs whose full shingle sets overlap enough."""
 
@@ -147,17 +220,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = saved(source.mapInArrow(_describe(words), DESCRIBED), "sketches")
     # a class: documents of one set; its node is the least id
     classes = rows.filter("n > 0").groupBy("a", "b").agg(F.min("_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    bucket = Window.partitionBy("key")
-    ranked = F.struct(F.xxhash64("node").alias("h"), "node", "n")
-    entries = saved(
-        classes.select(F.explode("bands").alias("key"), "node", "n")
-        .withColumns({"hub": F.min(ranked).over(bucket), "last": F.max(ranked).over(bucket)})
-        .filter(F.col("hub.node") != F.col("last.node"))
-        .select("key", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")),
-        "buckets",
-    )
+    banded = classes.select(F.explode("bands").alias("key"), "node")
+    # ids in another order, so that hubs are not the least ids; combined before the shuffle, so a hot bucket is not gathered
+    turned = F.col("node").bitwiseXOR(F.lit(0x2545F4914F6CDD1D))
+    hubs = banded.groupBy("key").agg(F.min(turned).alias("hub"), F.max(turned).alias("last")).filter("hub <> last")
+    hubs = hubs.select("key", F.col("hub").bitwiseXOR(F.lit(0x2545F4914F6CDD1D)).alias("hub"))
+    entries = saved(banded.join(hubs, "key"), "buckets")
     near = lambda a, b: F.lit(100) * F.least(a, b) >= F.lit(threshold) * F.greatest(a, b)
-    stars = saved(entries.filter((F.col("hub") != F.col("node")) & near(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    met = entries.filter("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    size_of = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"))
+    stars = saved(met.join(size_of("a"), "a").join(size_of("b"), "b").filter(near(F.col("n_a"), F.col("n_b"))).select("a", "b"), "stars")
     nodes = entries.select(F.col("node").alias("_id")).distinct()
     texts = saved(source.join(nodes, "_id").select(F.col("_id").alias("node"), F.col("_text").alias("text")), "texts")
 
@@ -168,22 +240,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     roots = saved(components(compared(stars)), "roots")
     # what buckets still hold apart; their hubs have been compared with all others
-    rest = entries.filter(F.col("hub") != F.col("node")).select("key", "node", "n")
+    rest = entries.filter("hub <> node").select("key", "node")
     labelled = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = labelled.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
-    labelled = saved(labelled.join(several.select("key"), "key"), "open")
-    of_root = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = of_root.groupBy("key").agg(F.max(F.struct("c", "root")).getField("root").alias("main"))
-    keys = labelled.groupBy("node").agg(F.collect_list("key").alias("keys"))  # at most one for each band
-    placed = saved(labelled.join(main, "key").withColumn("main", F.col("root") == F.col("main")).join(keys, "node"), "placed")
-    probes = placed.filter("NOT main").select("key", *(F.col(c).alias(f"p_{c}") for c in ("node", "n", "root", "keys")))
-    # a pair is taken in the least bucket that both stand in, and once where both are outside
-    pairs = placed.join(probes, "key").filter(
-        (F.col("root") != F.col("p_root")) & near(F.col("n"), F.col("p_n")) & (F.col("main") | (F.col("node") < F.col("p_node")))
-        & (F.array_min(F.array_intersect("keys", "p_keys")) == F.col("key"))
-    )
+    loose = labelled.join(several.select("key"), "key").select("node", "root").distinct()
+    sets = saved(loose.join(texts, "node").dropDuplicates(["node", "text"]), "loose")
     seen = Observation()
-    fresh = compared(pairs.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")))
+    fresh = compared(likely_pairs(sets, words, threshold))
     fresh = saved(fresh.observe(seen, F.count(F.lit(1)).alias("n")), "links")
     if seen.get["n"]:
         # a star for each known component and the new links
@@ -200,6 +263,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 80) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, all columns; of rows equal in id and text one stays."""
-    kept = near_duplicates(docs, id_col, text_col, words, threshold).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    joined = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    fresh = "_kept_id"
+    while fresh in {c.lower() for c in docs.columns}:
+        fresh = "_" + fresh
+    kept = near_duplicates(docs, id_col, text_col, words, threshold).filter("kept").select(F.col(id_col).alias(fresh)).distinct()
+    joined = docs.join(kept, docs[id_col].eqNullSafe(kept[fresh]), "left_semi")
     return joined.dropDuplicates([id_col, text_col])

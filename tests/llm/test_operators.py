@@ -358,3 +358,30 @@ def test_sketches_fill_and_estimate():
     out = near.sketches(np.concatenate([a, b, a[:1]]), np.array([400, 400, 1]))
     assert (out != near.NONE).all()
     assert (out[0] == out[1]).mean() == pytest.approx(320 / 480, abs=0.12)
+
+
+@pytest.mark.parametrize(("words", "threshold"), [(2, 80), (5, 80), (2, 70), (2, 100)])
+def test_likely_pairs_hold_every_link(spark, words, threshold):
+    """Copies of one text whose overlaps lie around the threshold, and copies of unlike size."""
+    rng = random.Random(threshold + words)
+    base = [f"w{rng.randint(0, 400)}" for _ in range(150)]
+    texts = []
+    for _ in range(120):
+        own = base[: rng.randint(110, 150)]
+        for _ in range(rng.randint(0, 30 // words)):
+            own[rng.randrange(len(own))] = f"v{rng.randint(0, 40)}"
+        texts.append(" ".join(own))
+    texts = [t for t in dict.fromkeys(texts + ["one", "one two", "two one"])]
+    ids, counts = near.shingle_sets(texts, words)
+    sets = [set(s.tolist()) for s in np.split(ids, np.cumsum(counts)[:-1])]
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
+    table = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "node long, root long, text string")
+    got = {tuple(r) for r in near.likely_pairs(table, words, threshold).collect()}
+    assert want <= got and (threshold == 100 or 50 < len(want))
+    assert len(got) < len(texts) * (len(texts) - 1) // 2
+
+
+def test_near_dedup_keeps_clashing_columns(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = spark.createDataFrame([(1, text, 5, 6), (2, text, 7, 8), (3, None, 9, 10)], "doc_id long, text string, _kept_id int, _KEPT int")
+    assert by_row(near.deduplicate(rows)) == Counter([(1, text, 5, 6), (3, None, 9, 10)])
