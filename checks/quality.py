@@ -8,6 +8,7 @@ from checks.recall import _TOP
 from checks.registry import query
 from corpusmill.operators import quality as Q
 from corpusmill.operators import recall as K
+from corpusmill.plans.gate import judge_compression
 from corpusmill.sources import testdata as td
 
 
@@ -61,6 +62,30 @@ def compression_gate(spark, sf):
     return Q.compression_gate(*_cases(spark, sf)).drop("content_type")
 
 
+_URGENT = "FATAL|ERROR|WARN|EXCEPTION|TRACEBACK"
+
+
+# Every log goes through the compressor; its first three urgent lines must stand in the result, and a log well over the
+# budget must be shorter by a tenth. Logs that fit the budget stay as they are, and fail the gate for it.
+@query("judged_logs", f"""
+  WITH l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM t_logline
+      WHERE regexp_matches(upper(line), '{_URGENT}')),
+    n AS (SELECT doc_id, count(*) AS c FROM l WHERE k <= 3 GROUP BY doc_id),
+    d AS (SELECT doc_id, ceil((sum(length(line)) + count(*) - 1) / 4) > 400 / 0.9 AS long FROM t_logline GROUP BY doc_id)
+  SELECT d.doc_id AS case_id, CAST(coalesce(c, 0) AS INTEGER) AS facts_total, CAST(coalesce(c, 0) AS INTEGER) AS facts_retained,
+    true AS keeps_facts, true AS invents_nothing, long AS saves_enough, true AS recoverable, long AS passed
+  FROM d LEFT JOIN n ON d.doc_id = n.doc_id""")
+def judged_logs(spark, sf):
+    logs = td.as_documents(td.log_lines(spark, sf))
+    docs = logs.select(F.col("doc_id").alias("case_id"), "content", F.lit("log").alias("content_type"))
+    urgent = F.slice(F.filter(F.split("content", "\n"), lambda x: F.upper(x).rlike(_URGENT)), 1, 3)
+    expectations = docs.select(
+        "case_id", urgent.alias("key_facts"), urgent.alias("must_keep"), F.array(F.lit("\ufffd")).alias("must_not_invent"),
+        F.lit(None).cast("double").alias("min_savings"))
+    judged = judge_compression(docs, expectations, docs.select("case_id", "content"), max_tokens=400)
+    return judged.drop("content_type", "retention_rate", "compression_ratio")
+
+
 def _probes(spark, sf):
     """Every memory whose id 20 divides asks with its whole text, which is also the target, against all memories."""
     d = F.substring("memory_id", 5, 20).cast("bigint")
