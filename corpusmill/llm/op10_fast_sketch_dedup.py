@@ -36,7 +36,7 @@ from corpusmill.llm.components import components
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
 NONE = np.uint64(2**64 - 1)
-#: Bins of the histogram that orders shingles by rarity (a bound of 3 MB on the driver), and longs of a parity map.
+#: Bins of the histogram that orders shingles by rarity (two longs a bin, 4 MB on the driver at most), and longs of a parity map.
 RARITY, MAP = 1 << 18, 8
 
 
