@@ -22,7 +22,8 @@ def _folder(spark) -> str:
 
 def _stream(spark, sf, name):
     schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    # a table is a file or a folder of files; a stream starts from a single file only through a pattern
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _run(spark, stream, mode="append"):
