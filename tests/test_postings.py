@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import postings as P
 from corpusmill.operators import recall as K
+from corpusmill.session import written
 
 NOW = "2024-02-01 00:00:00"
 
@@ -71,3 +72,16 @@ def test_pruned_search_ranks_as_all_pairs_do(spark, rows):
                 want.append((-math.floor(value * (0.2 + confidence * 0.8) * 1.5 * 10000 + 0.5) / 10000, m))
         want = [(m, -x) for x, m in sorted(want)[:limit]]
         assert [(h.memory_id, h.final_score) for h in sorted(hits, key=lambda h: h.rank) if h.query_id == k] == want
+
+
+def test_written_tables_are_not_broadcast(spark):
+    schema = "scope_id string, query_id long, term string, memory_id string, variant int, pos int, weight double, n_content long, n_summary long"
+    row = spark.createDataFrame([("s", 1, "t", "m", 0, 0, 1.0, 1, 0)], schema)
+    pairs, places, index = (
+        written(row.select(*names), "small")
+        for names in (["scope_id", "query_id", "memory_id"], ["scope_id", "query_id", "variant", "pos", "term", "weight"],
+                      ["scope_id", "term", "memory_id", "n_content", "n_summary"])
+    )
+    for found in (P.looked_up(pairs, places, index), P.all_pairs(places, index)):
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.select("scope_id", "query_id", "memory_id", "o_n").collect() == [("s", 1, "m", 1)]
