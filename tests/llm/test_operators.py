@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -385,3 +386,16 @@ def test_near_dedup_keeps_clashing_columns(spark):
     text = " ".join(f"w{k}" for k in range(40))
     rows = spark.createDataFrame([(1, text, 5, 6), (2, text, 7, 8), (3, None, 9, 10)], "doc_id long, text string, _kept_id int, _KEPT int")
     assert by_row(near.deduplicate(rows)) == Counter([(1, text, 5, 6), (3, None, 9, 10)])
+
+
+def test_attention_lm_learns_from_every_window():
+    texts = [" ".join(f"word{i * j % 97}" for j in range(40 * i)) for i in range(1, 12)] + [""]
+    ids = list(range(len(texts)))
+    kept = [t for i, t in zip(ids, texts, strict=True) if not lm.held_out(i)]
+    reader = lm.Reader(PIECES)
+    _, inverse, spelling, sizes = reader.words(kept)
+    n_windows = len(lm.windows(reader.sequences(inverse, spelling, sizes)[1])[0])
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts)], ["_id", "_text"])
+    learned = pa.Table.from_batches(list(lm._learn(PIECES)(iter([batch])))).to_pylist()
+    assert [r["value"] for r in learned if r["kind"] == lm.WEIGHTS_OF] == [n_windows]
+    assert n_windows > 16 * len(kept)
