@@ -85,3 +85,44 @@ def test_written_tables_are_not_broadcast(spark):
     for found in (P.looked_up(pairs, places, index), P.all_pairs(places, index)):
         assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
         assert found.select("scope_id", "query_id", "memory_id", "o_n").collect() == [("s", 1, "m", 1)]
+
+
+def test_a_shared_term_makes_no_pairs_of_all_queries(spark, monkeypatch):
+    """Every query shares one term with every memory: pairs grow with the queries, not with queries times memories."""
+    table_rows = [(f"m{k:03}", "p", "bug", f"fact {k + 1000} of {k % 7}", None, None, [0.8, 0.3, -0.9][k % 3], "active" if k % 5 else "expired") for k in range(120)]
+    asked = [(k, "p", f"fact {k + 1000}" if k % 4 else "fact", 1 + k % 3) for k in range(60)]
+    made = {}
+    real = P.looked_up
+
+    def counted(pairs, places, index):
+        made[len(made)] = pairs.count()
+        return real(pairs, places, index)
+
+    monkeypatch.setattr(P, "looked_up", counted)
+    queries = spark.createDataFrame(asked, "query_id long, scope_id string, query string, limit int")
+    hits = K.search(table(spark, table_rows), queries, NOW).collect()
+    for k, _, query, limit in asked:
+        want = []
+        for m, _, _, content, summary, _, confidence, status in table_rows:
+            value = score(query, content, summary) if status == "active" else None
+            if value is not None:
+                want.append((-math.floor(value * (0.2 + confidence * 0.8) * 1.5 * 10000 + 0.5) / 10000, m))
+        want = [(m, -x) for x, m in sorted(want)[:limit]]
+        assert [(h.memory_id, h.final_score) for h in sorted(hits, key=lambda h: h.rank) if h.query_id == k] == want
+    # 32 memories score below zero and are kept; of 60 x 96 others a few a query
+    assert max(made.values()) < 60 * (32 + 3 + 2)
+
+
+def test_all_terms_look_up_the_rarest_one_only(spark, monkeypatch):
+    table_rows = [(f"m{k:03}", "p", "bug", f"fact {k + 1000}", None, None, 0.8, "active") for k in range(50)]
+    table_rows += [("m001", "p", "bug", "fact 1001 again", None, None, 0.8, "active")]
+    asked = [(k, "p", f"fact {k + 1000}") for k in range(50)] + [(90, "p", "fact nowhere"), (91, "p", "fact")]
+    queries = spark.createDataFrame(asked, "query_id long, scope_id string, query string")
+    made = []
+    real = P.rarest_pairs
+    monkeypatch.setattr(P, "rarest_pairs", lambda *a: (made.append(real(*a)), made[0])[1])
+    found = K.matches(table(spark, table_rows), queries, mode="all").select("query_id", "memory_id", "score").collect()
+    # m001 is there twice, and its rows add up, as they do for any other search
+    one = {(k, f"m{k:03}") for k in range(50) if k != 1} | {(91, f"m{k:03}") for k in range(50) if k != 1}
+    assert {(r.query_id, r.memory_id) for r in found if r.memory_id != "m001"} == one
+    assert made[0].count() < 50 + 50 + 52 + 1
