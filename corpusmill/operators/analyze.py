@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,23 +28,26 @@ class Thresholds:
 
 DEFAULTS = Thresholds()
 
-# What makes a line an error line.
-ERROR_LINE = ascii_words("|".join([
+# What makes a line an error line. The look-ahead names how all but stack frames begin, so that
+# most places of a line fail at one test.
+ERROR_LINE = ascii_words(r"^\s*at\s+\S+\s+\(.*:\d+:\d+\)|(?=[EeFfCcPpAaTtSsRr0\[])(?:" + "|".join([
     r"(?i:\b(?:error|exception|fail|crash|panic|fatal|abort|timeout)\b)",
     r"(?i:\b(?:syntax\s*error|type\s*error|reference\s*error|range\s*error)\b)",
     r"\b(?:E\d{4,}|0x[0-9A-Fa-f]{8})\b",
     r"(?i:\bassert(?:ion)?\s*(?:failed|error)\b)",
     r"\[ERROR\]|\[FATAL\]|\[CRITICAL\]|\[WARN\]",
     r"(?i:Traceback\s*\(most\s+recent\s+call\s+last\))",
-    r"^\s*at\s+\S+\s+\(.*:\d+:\d+\)",
     r"(?i:Caused by:)",
     r"(?i:Exit\s*code:\s*[1-9])",
-]))
+]) + ")")
 
-# Any error line has one of these; a cheap first test.
-ERROR_HINT = (
-    r"(?i)err|exc|fail|cra|pan|fat|abo|timeo|\d{4}|0x|ass|\[crit|\[warn|trace|at\s|caused|exit"
+# Any error line has, in lower case, one of these (or an E with a digit, or all of a stack frame's); a cheap first test.
+ERROR_HINTS = (
+    "error", "exception", "fail", "crash", "panic", "fatal", "abort", "timeout", "0x", "[critical]", "[warn]",
+    "traceback", "caused by:", "exit",
 )
+ERROR_NUMBER = r"E\d{4}"
+FRAME_HINTS = ("at", "(", ":", ")")
 
 # What a query says when earlier context would help.
 RULE_PATTERNS = (
@@ -141,12 +145,24 @@ def _any(text: Column, patterns: tuple[str, ...], lowered: Column | None = None)
     return found
 
 
+def _may_be_error(text: Column) -> Column:
+    """False only for texts without any match of ERROR_LINE, line by line or in the whole."""
+
+    def hinted(low: Column) -> Column:
+        named = reduce(lambda a, b: a | b, [low.contains(h) for h in ERROR_HINTS])
+        return named | reduce(lambda a, b: a & b, [low.contains(h) for h in FRAME_HINTS])
+
+    return let(F.lower(text), hinted) | (F.contains(text, F.lit("E")) & text.rlike(ERROR_NUMBER))
+
+
 def content_metrics(content: Column) -> Column:
     """struct(error_density, repetition_ratio, line_count)."""
+    text = F.coalesce(content, F.lit(""))
 
     def measure(ls: Column) -> Column:
         filled = F.filter(F.transform(ls, trim), lambda x: F.length(x) > 0)
-        errors = F.size(F.filter(ls, lambda x: x.rlike(ERROR_HINT) & x.rlike(ERROR_LINE)))
+        matching = F.filter(ls, lambda x: _may_be_error(x) & x.rlike(ERROR_LINE))
+        errors = F.when(_may_be_error(text), F.size(matching)).otherwise(0)
         repeated = let(
             filled,
             lambda f: F.when(
@@ -159,7 +175,6 @@ def content_metrics(content: Column) -> Column:
             F.size(ls).alias("line_count"),
         )
 
-    text = F.coalesce(content, F.lit(""))
     nothing = F.struct(
         F.lit(0.0).alias("error_density"),
         F.lit(0.0).alias("repetition_ratio"),
@@ -177,6 +192,16 @@ def _decision(score: Column, maximum: Column | int, threshold: float, *reasons:
     )
 
 
+def _judged(groups: dict[str, Column], threshold: float) -> Column:
+    """The decision by how many groups hit; each group is tested once (inside a ``let`` Spark shares no work)."""
+
+    def decide(hits: Column) -> Column:
+        score = F.size(F.filter(hits, lambda h: h))
+        return _decision(score, len(groups), threshold, *[F.when(F.get(hits, F.lit(i)), name) for i, name in enumerate(groups)])
+
+    return let(F.array(*groups.values()), decide)
+
+
 def _step(value: Column, low: float, points: tuple[int, ...] = (3, 2, 1)) -> Column:
     return (
         F.when(value >= low * 4, points[0])
@@ -262,10 +287,7 @@ def should_save_memory(query: Column, content: Column) -> Column:
             "preference": _any(text, PREFERS, text) & (F.length(text) > 100),
             "contract_change": _any(text, CONTRACT_CHANGE, text),
         }
-        score = F.lit(0)
-        for hit in groups.values():
-            score = score + hit.cast("int")
-        return _decision(score, 5, 0.2, *[F.when(hit, name) for name, hit in groups.items()])
+        return _judged(groups, 0.2)
 
     nothing = F.struct(
         F.lit(False).alias("value"), F.lit(0.0).alias("confidence"),
@@ -287,10 +309,7 @@ def should_retrieve_original(query: Column, content: Column, content_type: Colum
                 content_type.isin("test_output", "log", "command_output"), F.lit(False)
             ) & (size > 0) & (size < 500),
         }
-        score = F.lit(0)
-        for hit in groups.values():
-            score = score + hit.cast("int")
-        return _decision(score, 3, 0.3, *[F.when(hit, name) for name, hit in groups.items()])
+        return _judged(groups, 0.3)
 
     nothing = F.struct(
         F.lit(False).alias("value"), F.lit(0.0).alias("confidence"),
