@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import WORD_END as WE
 from corpusmill.functions.text import WORD_START as WS
-from corpusmill.functions.text import is_blank, round_half_up, trim
+from corpusmill.functions.text import is_blank, let, round_half_up, trim
 from corpusmill.functions.values import is_json
 from corpusmill.schemas import CONTENT_TYPES
 
@@ -33,17 +33,22 @@ TYPE_PRIORITY = (
 
 @dataclass(frozen=True)
 class Signal:
-    """A named pattern; ``needs`` are lower-case literals, one of which must occur."""
+    """A named pattern; ``needs`` are lower-case literals, one of which must occur.
+
+    With ``exact`` they stand in the text as they are written, in their case.
+    """
 
     name: str
     pattern: str
     needs: tuple[str, ...] = ()
+    exact: bool = False
 
     def found(self, content: Column, lowered: Column) -> Column:
         match = content.rlike(self.pattern)
         if not self.needs:
             return match
-        present = reduce(lambda a, b: a | b, [lowered.contains(n) for n in self.needs])
+        where = content if self.exact else lowered
+        present = reduce(lambda a, b: a | b, [where.contains(n) for n in self.needs])
         return present & match
 
 
@@ -57,7 +62,7 @@ class Detector:
 
 
 def _s(name: str, pattern: str, *needs: str) -> Signal:
-    return Signal(name, pattern, needs)
+    return Signal(name, pattern, needs, exact=not pattern.startswith("(?i"))
 
 
 # The signal names and patterns of every detector.
@@ -65,7 +70,7 @@ TEST_OUTPUT = Detector("test_output", (
     _s("AssertionError", r"(?i)assertionerror|assertion error", "assertion"),
     _s("Expected", rf"(?i){WS}expected[:\s]", "expected"),
     _s("Received", rf"(?i){WS}received[:\s]", "received"),
-    _s("FAIL", rf"{WS}FAIL(?:ED)?{WE}", "fail"),
+    _s("FAIL", rf"{WS}FAIL(?:ED)?{WE}", "FAIL"),
     _s("test failed", r"(?im)tests?.*failed|failed.*tests?|^\d+\s+failed", "failed"),
     _s("Test Suites", r"(?i)test\s*suites?:", "suite"),
     _s("jest", rf"(?i){WS}jest{WE}", "jest"),
@@ -75,16 +80,16 @@ TEST_OUTPUT = Detector("test_output", (
     _s("unittest", rf"(?i){WS}unittest{WE}", "unittest"),
 ))
 LOG = Detector("log", (
-    _s("ERROR", rf"{WS}ERROR{WE}", "error"),
-    _s("WARN", rf"{WS}WARN(?:ING)?{WE}", "warn"),
-    _s("INFO", rf"{WS}INFO{WE}", "info"),
+    _s("ERROR", rf"{WS}ERROR{WE}", "ERROR"),
+    _s("WARN", rf"{WS}WARN(?:ING)?{WE}", "WARN"),
+    _s("INFO", rf"{WS}INFO{WE}", "INFO"),
     _s("Exception", rf"(?i){WS}exception{WE}", "exception"),
     _s("Traceback", rf"(?i){WS}traceback{WE}", "traceback"),
     _s("stack trace", r"(?i)stack\s*trace", "stack"),
     _s("timestamp", rf"{WS}\d{{4}}[-/]\d{{2}}[-/]\d{{2}}(?:[T ]\d{{2}}:\d{{2}})?", "-", "/"),
     _s("request id", r"(?i)request[_\-\s]?id", "request"),
-    _s("DEBUG", rf"{WS}DEBUG{WE}", "debug"),
-    _s("error class", rf"{WS}[A-Z]\w*(?:Error|Exception){WE}", "error", "exception"),
+    _s("DEBUG", rf"{WS}DEBUG{WE}", "DEBUG"),
+    _s("error class", rf"{WS}[A-Z]\w*(?:Error|Exception){WE}", "Error", "Exception"),
     _s("traceback file", r'(?i)File\s+".+",\s+line\s+\d+', "file"),
 ))
 COMMAND_OUTPUT = Detector("command_output", (
@@ -169,10 +174,14 @@ def register_detector(
 
 
 def matched_signals(content: Column, detector: Detector) -> Column:
-    lowered = F.lower(content)
-    return F.array_compact(
-        F.array(*[F.when(s.found(content, lowered), F.lit(s.name)) for s in detector.signals])
-    )
+    """Names of the signals that match; the text is worked out once, however it is made and wherever a filter goes."""
+
+    def names(text: Column, lowered: Column) -> Column:
+        return F.array_compact(
+            F.array(*[F.when(s.found(text, lowered), F.lit(s.name)) for s in detector.signals])
+        )
+
+    return let(content, lambda text: let(F.lower(text), lambda lowered: names(text, lowered)))
 
 
 def confidence(matched: Column, total: int, min_matches: int, boost: float = 0.0) -> Column:
