@@ -37,22 +37,25 @@ def _short(text: Column) -> Column:
 
 
 def _sample(v: Column) -> Column:
-    kind = kind_of(v)
-    items = _items(v)
-    keys = F.transform(_members(v), lambda e: e["key"])
-    more = F.when(F.size(keys) >= 5, ", ...").otherwise("")
-    array_more = F.when(F.size(items) > 2, F.concat(F.lit(", ... ("), F.size(items), F.lit(" items)"))).otherwise("")
-    return (
-        F.when(kind == "VOID", F.lit("null"))
-        .when(kind == "STRING", _short(F.try_variant_get(v, "$", "string")))
-        .when(kind.startswith("ARRAY"), F.concat(
-            F.lit("["),
-            F.array_join(F.transform(head(items, 2), lambda x: F.substring(F.to_json(x), 1, 80)), ", "),
-            array_more, F.lit("]")))
-        .when(kind.startswith("OBJECT"), F.concat(
-            F.lit("{ "), F.array_join(head(keys, 5), ", "), more, F.lit(" }")))
-        .otherwise(F.to_json(v))
-    )
+    def of_kind(kind: Column) -> Column:
+        return (
+            F.when(kind == "VOID", F.lit("null"))
+            .when(kind == "STRING", _short(F.try_variant_get(v, "$", "string")))
+            .when(kind.startswith("ARRAY"), let(_items(v), of_array))
+            .when(kind.startswith("OBJECT"), let(F.transform(_members(v), lambda e: e["key"]), of_object))
+            .otherwise(F.to_json(v))
+        )
+
+    def of_array(items: Column) -> Column:
+        more = F.when(F.size(items) > 2, F.concat(F.lit(", ... ("), F.size(items), F.lit(" items)"))).otherwise("")
+        shown = F.transform(head(items, 2), lambda x: F.substring(F.to_json(x), 1, 80))
+        return F.concat(F.lit("["), F.array_join(shown, ", "), more, F.lit("]"))
+
+    def of_object(keys: Column) -> Column:
+        more = F.when(F.size(keys) >= 5, ", ...").otherwise("")
+        return F.concat(F.lit("{ "), F.array_join(head(keys, 5), ", "), more, F.lit(" }"))
+
+    return let(kind_of(v), of_kind)
 
 
 def _is_special(key: Column) -> Column:
@@ -173,38 +176,40 @@ def extract_info(v: Column, content: Column) -> Column:
         F.json_object_keys(content),
         lambda k: F.struct(k.alias("key"), F.try_element_at(members, k).alias("value")),
     )
-    ordered = F.coalesce(entries, _members(v))
     top = F.transform(
-        ordered,
+        F.coalesce(entries, _members(v)),
         lambda e: F.struct(
-            e["key"].alias("key"), type_name(e["value"]).alias("type"), _sample(e["value"]).alias("sample")
+            e["key"].alias("key"), type_name(e["value"]).alias("type"), _sample(e["value"]).alias("sample"),
+            e["value"].alias("value"),
         ),
     )
-    listed = F.filter(ordered, lambda e: kind_of(e["value"]).startswith("ARRAY"))
-    samples = F.transform(
-        listed,
-        lambda e: let(
-            _items(e["value"]),
-            lambda xs: F.struct(
-                e["key"].alias("key"),
-                F.size(xs).alias("total"),
-                F.transform(head(xs, 3), lambda x: F.to_json(x)).alias("samples"),
+
+    def samples(keys: Column) -> Column:
+        return F.transform(
+            F.filter(keys, lambda k: k["type"].startswith("array")),
+            lambda k: let(
+                _items(k["value"]),
+                lambda xs: F.struct(
+                    k["key"].alias("key"),
+                    F.size(xs).alias("total"),
+                    F.transform(head(xs, 3), lambda x: F.to_json(x)).alias("samples"),
+                ),
             ),
-        ),
-    )
+        )
+
     first_items = F.transform(
         head(_items(v), 3), lambda x, i: line("[", i, "]: ", type_name(x), " — ", _sample(x))
     )
-    return let(walked(v, content), lambda w: F.struct(
+    return let(walked(v, content), lambda w: let(top, lambda keys: F.struct(
         is_array.alias("is_array"),
         F.size(_items(v)).alias("total_items"),
         first_items.alias("items"),
-        top.alias("keys"),
+        F.transform(keys, lambda k: F.struct(k["key"], k["type"], k["sample"])).alias("keys"),
         w["special"].alias("special"),
-        samples.alias("arrays"),
+        samples(keys).alias("arrays"),
         w["folded_arrays"].alias("folded_arrays"),
         w["folded_texts"].alias("folded_texts"),
-    ))
+    )))
 
 
 def render(i: Column) -> Column:
