@@ -196,7 +196,7 @@ def _judged(groups: dict[str, Column], threshold: float) -> Column:
     """The decision by how many groups hit; each group is tested once (inside a ``let`` Spark shares no work)."""
 
     def decide(hits: Column) -> Column:
-        score = F.size(F.filter(hits, lambda h: h))
+        score = F.aggregate(hits, F.lit(0), lambda n, h: n + h.cast("int"))
         return _decision(score, len(groups), threshold, *[F.when(F.get(hits, F.lit(i)), name) for i, name in enumerate(groups)])
 
     return let(F.array(*groups.values()), decide)
