@@ -211,6 +211,21 @@ def identities(rows):
     return sorted({(-(2**63) if k is None else k, (t or "")) for k, t in rows}, key=lambda x: (x[0], x[1].encode()))
 
 
+def test_gumbel_lattices_in_order():
+    vocabulary = pieces.Vocabulary(PIECES)
+    lattices = pieces.Lattices(vocabulary, ["▁then", "▁\u2581\U0001f600x", "▁", "▁zzz"])
+    # one number an edge, edges by node, and paths spelled with their bytes
+    assert lattices.spelling.shape == lattices.step.shape and (np.diff(lattices.step) >= 0).all()
+    part = np.array([3, 1, 0, 1, 2, 0])
+    path, counts = pieces.fresh(lattices, part, mix(np.arange(6), 4))
+    ends = np.append(0, np.cumsum(counts))
+    assert [vocabulary.decode(lattices.ids(path[a:b])) for a, b in zip(ends, ends[1:])] == [
+        "zzz", "\u2581\U0001f600x", "then", "\u2581\U0001f600x", "", "then"]
+    # the order of the walk is not seen in the paths
+    again, _ = pieces.fresh(lattices, part, mix(np.arange(6), 4), np.arange(6))
+    assert again.tolist() == path.tolist()
+
+
 def test_substring_dedup(spark, docs):
     first = {}
     split = {x: x[1].encode().split() for x in identities(ROWS)}
