@@ -262,10 +262,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 80) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, all columns; of rows equal in id and text one stays."""
-    fresh = "_kept_id"
+    """The rows of ``docs`` that ``near_duplicates`` keeps, all columns; of rows equal in id and text one stays.
+
+    Ids that go or repeat are written first: rows meet a narrow table of a known
+    size, and only rows whose id repeats are compared by their text.
+    """
+    fresh, seen = "_kept_id", Observation()
     while fresh in {c.lower() for c in docs.columns}:
         fresh = "_" + fresh
-    kept = near_duplicates(docs, id_col, text_col, words, threshold).filter("kept").select(F.col(id_col).alias(fresh)).distinct()
-    joined = docs.join(kept, docs[id_col].eqNullSafe(kept[fresh]), "left_semi")
-    return joined.dropDuplicates([id_col, text_col])
+    judged = near_duplicates(docs, id_col, text_col, words, threshold)
+    ids = judged.groupBy(F.col(id_col).alias(fresh)).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    marked = ids.filter("NOT kept OR n > 1").select(fresh, "kept")
+    marked = saved(marked.observe(seen, F.count_if("kept").alias("n")), "marked")
+    plain = docs.join(marked, docs[id_col].eqNullSafe(marked[fresh]), "left_anti")
+    if not seen.get["n"]:
+        return plain
+    again = marked.filter("kept").select(F.col(fresh))
+    return plain.union(docs.join(again, docs[id_col].eqNullSafe(again[fresh]), "left_semi").dropDuplicates([id_col, text_col]))

@@ -414,3 +414,17 @@ def test_attention_lm_learns_from_every_window():
     learned = pa.Table.from_batches(list(lm._learn(PIECES)(iter([batch])))).to_pylist()
     assert [r["value"] for r in learned if r["kind"] == lm.WEIGHTS_OF] == [n_windows]
     assert n_windows > 16 * len(kept)
+
+
+def test_near_dedup_deals_no_texts_where_ids_are_unique(spark):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(words[k % 7 : k % 7 + 40]) if k < 20 else f"lone text number {k} of this test", "x") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, more string")
+    kept = near.deduplicate(docs)
+    assert "hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+    judged = {r.doc_id for r in near.near_duplicates(docs).collect() if r.kept}
+    assert 20 < len(judged) < 40 and sorted(r.doc_id for r in kept.collect()) == sorted(judged)
+    # repeated ids: rows equal in id and text are one, other texts stay
+    twice = docs.unionByName(docs).unionByName(spark.createDataFrame([(39, "another text", "x"), (None, "no id", "y"), (None, "no id", "z")], docs.schema))
+    found = Counter((r.doc_id, r.text) for r in near.deduplicate(twice).collect())
+    assert set(found.values()) == {1} and {k for k, _ in found} == judged | {None} and found[39, "another text"]
