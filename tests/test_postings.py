@@ -126,3 +126,48 @@ def test_all_terms_look_up_the_rarest_one_only(spark, monkeypatch):
     one = {(k, f"m{k:03}") for k in range(50) if k != 1} | {(91, f"m{k:03}") for k in range(50) if k != 1}
     assert {(r.query_id, r.memory_id) for r in found if r.memory_id != "m001"} == one
     assert made[0].count() < 50 + 50 + 52 + 1
+
+
+def ranked(spark, table_rows, asked, every=False):
+    queries = spark.createDataFrame(asked, "query_id long, scope_id string, query string, limit int")
+    hits = K.search(table(spark, table_rows), queries, NOW, mode="all" if every else "any").collect()
+    return sorted((h.query_id, h.rank, h.memory_id, h.score, h.final_score, h.match_method, tuple(h.matched_terms)) for h in hits)
+
+
+def test_a_ranked_search_keeps_the_best_pairs_only(spark, rows, monkeypatch):
+    """Whole texts as queries share terms with every memory; postings and pairs of all of them are not written."""
+    asked = [(k, "p", r[3], 1 + k % 3) for k, r in enumerate(rows) if r[3].strip()]
+    made = {}
+    real = P.written
+
+    def counted(df, name, *a):
+        out = real(df, name, *a)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(P, "written", counted)
+    monkeypatch.setattr(P, "build", lambda *a: pytest.fail("postings of all memories are not needed"))
+    hits = ranked(spark, rows, asked)
+    assert made["best"] <= sum(limit for *_, limit in asked)
+    for k, _, query, limit in asked[::7]:
+        values = [(score(query, c, t), v, m) for m, s, _, c, t, _, v, status in rows if s == "p" and status == "active"]
+        want = sorted((-math.floor(x * (0.2 + v * 0.8) * 1.5 * 10000 + 0.5) / 10000, m) for x, v, m in values if x is not None)
+        assert [(-h[4], h[2]) for h in hits if h[0] == k] == want[:limit]
+
+
+@pytest.mark.parametrize("every", [False, True])
+def test_small_groups_lists_and_blocks_change_no_hit(spark, rows, monkeypatch, every):
+    twice = rows + rows[:20] + [("m900", "p", "bug", "again", None, None, None, "active"), (None, "p", "bug", "a", None, None, 0.8, "active"), ("m903", "p", "bug", "ab ab", None, None, None, "active")]
+    asked = [(k, "p", " ".join(r[3].split()[: 1 + k % 9]), 4) for k, r in enumerate(rows[:40])] + [(3, "p", "ab", 2), (None, "p", "a", 3), (77, "p", "错误 a", 5)]
+    once = ranked(spark, twice, asked, every)
+    assert once
+    for name, value in {"RANKED_BYTES": 700, "RANKED_TERMS": 40, "CELLS": 64, "ROWS": 16, "DENSE": 2}.items():
+        monkeypatch.setattr(P, name, value)
+    assert ranked(spark, twice, asked, every) == once
+
+
+def test_occurrences_in_words_are_those_of_the_texts():
+    words, terms = ["aaaa", "abab", "", "日本語日本", "xaax"], ["a", "aa", "aba", "ab", "日本", "語"]
+    starts, which, times = P._occurrences(words, terms)
+    got = {(w, terms[which[k]]): times[k] for j, w in enumerate(words) for k in range(starts[j], starts[j + 1])}
+    assert got == {(w, t): w.count(t) for w in words for t in terms if t in w}
