@@ -28,18 +28,21 @@ class Thresholds:
 
 DEFAULTS = Thresholds()
 
-# What makes a line an error line. The look-ahead names how all but stack frames begin, so that
-# most places of a line fail at one test.
-ERROR_LINE = ascii_words(r"^\s*at\s+\S+\s+\(.*:\d+:\d+\)|(?=[EeFfCcPpAaTtSsRr0\[])(?:" + "|".join([
-    r"(?i:\b(?:error|exception|fail|crash|panic|fatal|abort|timeout)\b)",
-    r"(?i:\b(?:syntax\s*error|type\s*error|reference\s*error|range\s*error)\b)",
-    r"\b(?:E\d{4,}|0x[0-9A-Fa-f]{8})\b",
-    r"(?i:\bassert(?:ion)?\s*(?:failed|error)\b)",
-    r"\[ERROR\]|\[FATAL\]|\[CRITICAL\]|\[WARN\]",
-    r"(?i:Traceback\s*\(most\s+recent\s+call\s+last\))",
-    r"(?i:Caused by:)",
-    r"(?i:Exit\s*code:\s*[1-9])",
-]) + ")")
+# What makes a line an error line. Words stand first in their pattern, which finds them fast; each
+# pattern has groups of lower-case literals, of each of which any match contains one.
+ERROR_WORDS = ("error", "exception", "fail", "crash", "panic", "fatal", "abort", "timeout")
+ERROR_MARKS = ("[ERROR]", "[FATAL]", "[CRITICAL]", "[WARN]")
+ERROR_LINE = [((w,), rf"(?i:{w})(?![A-Za-z0-9_])(?<![A-Za-z0-9_](?i:{w}))") for w in ERROR_WORDS] + [
+    (needs, ascii_words(p)) for needs, p in [
+        (("error", "syntax type reference range"), r"(?i:\b(?:syntax\s*error|type\s*error|reference\s*error|range\s*error)\b)"),
+        (("0x",), r"\b(?:0x[0-9A-Fa-f]{8})\b"),
+        (("assert", "fail error"), r"(?i:\bassert(?:ion)?\s*(?:failed|error)\b)"),
+        (("traceback",), r"(?i:Traceback\s*\(most\s+recent\s+call\s+last\))"),
+        (("caused",), r"(?i:Caused by:)"),
+        (("exit",), r"(?i:Exit\s*code:\s*[1-9])"),
+        (("at", "(", ":", ")"), r"^\s*at\s+\S+\s+\(.*:\d+:\d+\)"),
+    ]
+]
 
 # Any error line has, in lower case, one of these (or an E with a digit, or all of a stack frame's); a cheap first test.
 ERROR_HINTS = (
@@ -114,6 +117,27 @@ CONSERVATIVE = ("code", "json", "markdown")
 # For patterns run over whole texts: lower-case literals, one of which any match
 # contains. They are looked up first, so most texts never reach the pattern.
 NEEDS = {
+    RULE_PATTERNS[0]: "rule guideline convention standard policy protocol pattern practice",
+    RULE_PATTERNS[1]: "style lint format naming",
+    RULE_PATTERNS[2]: "claude agents contributing readme",
+    RULE_PATTERNS[3]: "should must always never",
+    RULE_PATTERNS[4]: "project",
+    BUG_PATTERNS[0]: "bug issue defect regression broken fix patch workaround",
+    BUG_PATTERNS[1]: "previously before earlier last used",
+    BUG_PATTERNS[2]: "recur reappear again still",
+    BUG_PATTERNS[3]: "known",
+    BUG_PATTERNS[4]: "ticket jira github #",
+    TASK_PATTERNS[0]: "task work goal focus doing",
+    TASK_PATTERNS[1]: "what",
+    TASK_PATTERNS[2]: "continue resume pick carry",
+    TASK_PATTERNS[3]: "task todo plan milestone sprint iteration",
+    TASK_PATTERNS[4]: "where",
+    ARCHITECTURE_PATTERNS[0]: "dependenc package library module import require",
+    ARCHITECTURE_PATTERNS[1]: "architect design structure layer component service boundary",
+    ARCHITECTURE_PATTERNS[2]: "api endpoint route contract interface schema protocol",
+    ARCHITECTURE_PATTERNS[3]: "breaking backward compat migration upgrade version",
+    ARCHITECTURE_PATTERNS[4]: "database schema migration table column index query",
+    ARCHITECTURE_PATTERNS[5]: "how",
     DECIDED[0]: "decide decision agreed concluded resolved chosen opted",
     DECIDED[1]: "from|now|on going|forward henceforth hereafter",
     DECIDED[2]: "rule policy standard guideline convention",
@@ -146,7 +170,7 @@ def _any(text: Column, patterns: tuple[str, ...], lowered: Column | None = None)
 
 
 def _may_be_error(text: Column) -> Column:
-    """False only for texts without any match of ERROR_LINE, line by line or in the whole."""
+    """False only for texts without any error line."""
 
     def hinted(low: Column) -> Column:
         named = reduce(lambda a, b: a | b, [low.contains(h) for h in ERROR_HINTS])
@@ -155,13 +179,27 @@ def _may_be_error(text: Column) -> Column:
     return let(F.lower(text), hinted) | (F.contains(text, F.lit("E")) & text.rlike(ERROR_NUMBER))
 
 
+def _is_error(line: Column) -> Column:
+    """Any pattern of ERROR_LINE, an E with four digits or more, or a mark."""
+
+    def named(low: Column) -> Column:
+        found = reduce(lambda a, b: a | b, [F.contains(line, F.lit(m)) for m in ERROR_MARKS])
+        found = found | (F.contains(line, F.lit("E")) & line.rlike(ascii_words(r"\b(?:E\d{4,})\b")))
+        for needs, pattern in ERROR_LINE:
+            present = [reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in group.split()]) for group in needs]
+            found = found | (reduce(lambda a, b: a & b, present) & line.rlike(pattern))
+        return found
+
+    return let(F.lower(line), named)
+
+
 def content_metrics(content: Column) -> Column:
     """struct(error_density, repetition_ratio, line_count)."""
     text = F.coalesce(content, F.lit(""))
 
     def measure(ls: Column) -> Column:
-        filled = F.filter(F.transform(ls, trim), lambda x: F.length(x) > 0)
-        matching = F.filter(ls, lambda x: _may_be_error(x) & x.rlike(ERROR_LINE))
+        filled = F.filter(F.transform(ls, trim), lambda x: x != "")
+        matching = F.filter(ls, _is_error)
         errors = F.when(_may_be_error(text), F.size(matching)).otherwise(0)
         repeated = let(
             filled,
@@ -180,7 +218,7 @@ def content_metrics(content: Column) -> Column:
         F.lit(0.0).alias("repetition_ratio"),
         F.lit(0).alias("line_count"),
     )
-    return F.when(F.length(text) == 0, nothing).otherwise(let(F.split(text, "\n"), measure))
+    return F.when(text == "", nothing).otherwise(let(F.split(text, "\n"), measure))
 
 
 def _decision(score: Column, maximum: Column | int, threshold: float, *reasons: Column) -> Column:
@@ -251,23 +289,25 @@ def should_recall(
     """N3."""
     q = F.coalesce(query, F.lit(""))
     groups = {
-        "project_rules": _any(q, RULE_PATTERNS),
-        "historical_bugs": _any(q, BUG_PATTERNS),
-        "current_task": _any(q, TASK_PATTERNS),
-        "architecture": _any(q, ARCHITECTURE_PATTERNS),
+        "project_rules": RULE_PATTERNS,
+        "historical_bugs": BUG_PATTERNS,
+        "current_task": TASK_PATTERNS,
+        "architecture": ARCHITECTURE_PATTERNS,
     }
     prior = (F.coalesce(F.length(content), F.lit(0)) > 0) & content_type.isin(
         "conversation_history", "file_summary"
     )
     prior = F.coalesce(prior, F.lit(False))
-    score = prior.cast("int")
-    for hit in groups.values():
-        score = score + hit.cast("int")
-    judged = _decision(
-        score, F.when(prior, 5).otherwise(4), limits.recall,
-        *[F.when(hit, name) for name, hit in groups.items()],
-        F.when(prior, "prior_context"),
-    )
+
+    def decide(hits: Column) -> Column:
+        score = F.aggregate(hits, prior.cast("int"), lambda n, h: n + h.cast("int"))
+        return _decision(
+            score, F.when(prior, 5).otherwise(4), limits.recall,
+            *[F.when(F.get(hits, F.lit(i)), name) for i, name in enumerate(groups)],
+            F.when(prior, "prior_context"),
+        )
+
+    judged = let(F.lower(q), lambda low: let(F.array(*[_any(q, p, low) for p in groups.values()]), decide))
     nothing = F.struct(
         F.lit(False).alias("value"), F.lit(0.0).alias("confidence"),
         F.array(F.lit("no_query")).alias("reasons"),
