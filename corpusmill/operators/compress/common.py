@@ -92,24 +92,33 @@ def budgeted(content: Column, max_tokens: int, what: str, compressed: Column) ->
 
 
 def ladder(
-    steps: Sequence[dict[str, int]], render: Callable[[Column], Column], max_tokens: int
+    steps: Sequence[dict[str, int]], render: Callable[[Column], Column], max_tokens: int,
+    least: Callable[[Column], Column] | None = None,
 ) -> Column:
     """Render with ever tighter limits; the first text that fits wins.
 
     ``steps`` are the limits of each rendering, looked up by name in the struct
     that ``render`` gets. Later ones are only rendered when needed; the last is
-    cut to the budget.
+    cut to the budget. ``least``: characters that a rendering has at least; one
+    that cannot fit is left out, unless it is the last.
     """
     names = list(steps[0])
     limits = F.array(
-        *[F.struct(*[F.lit(step[n]).alias(n) for n in names]) for step in steps]
+        *[F.struct(*[F.lit(step[n]).alias(n) for n in names], F.lit(k == len(steps) - 1).alias("last"))
+          for k, step in enumerate(steps)]
     )
+
+    def tried(step: Column) -> Column:
+        if least is None:
+            return render(step)
+        return F.when(step["last"] | (least(step) <= 4 * max_tokens), render(step))
+
     chosen = F.aggregate(
         limits,
         F.lit(None).cast("string"),
         lambda found, step: F.when(
             found.isNotNull() & (token_count(found) <= max_tokens), found
-        ).otherwise(render(step)),
+        ).otherwise(tried(step)),
     )
     return let(
         chosen,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,61 +16,75 @@ from corpusmill.operators.lines import HEADING
 # Words and shapes that make a line worth keeping.
 PRIORITY = ascii_words(r"(?i)\b(?:rollback|critical|warning|security|failure|readiness|required)\b")
 TITLE_BONUS = ascii_words(r"(?i)\b(?:required|security|critical|failure|readiness|warning)\b")
-STRUCTURED = ascii_words("(?i)" + "|".join([
-    r"(?:^|\s)(?:GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+\/\S+",
-    r"\/(?:api|v\d+)(?:\/[A-Za-z0-9._~!$&'()*+,;=:@%-]+)+",
-    r"(?<![A-Za-z0-9_])\d+(?:\.\d+)?\s*(?:(?:ms|s|sec(?:onds?)?|m|min(?:utes?)?|h|hours?|kb|mb|gb|retries?"
-    r"|requests?|tokens?|bytes?)(?![A-Za-z0-9_])|%(?=[A-Za-z0-9_]))",
-    r"(?:<=|>=|<|>|=)\s*\d+(?:\.\d+)?",
-    r"(?:^|\s)(?:npm|pnpm|yarn|npx|node|git|docker|kubectl|mvn|gradle|cargo|python|pip|go)\s+[^\n]+",
-    r"(?:^|\s)(?:[A-Z][A-Z0-9_]{2,}|[a-z][A-Za-z0-9]*(?:\.[A-Za-z0-9_-]+)+)\s*[:=]",
-    r"`(?:[A-Z][A-Z0-9_]{2,}|[a-z][a-z0-9_]*(?:[._-][a-z0-9_]+)+)`",
-]))
+PRIORITY_HINTS = ("rollback", "critical", "warning", "security", "failure", "readiness", "required")
+# Each with lower-case literals (None: a digit), one of which any match contains; they are looked up first.
+STRUCTURED = tuple((hints, ascii_words("(?i)" + "|".join(patterns))) for hints, patterns in [
+    (("/",), [
+        r"(?:^|\s)(?:GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+\/\S+",
+        r"\/(?:api|v\d+)(?:\/[A-Za-z0-9._~!$&'()*+,;=:@%-]+)+",
+    ]),
+    ((None,), [
+        r"(?<![A-Za-z0-9_])\d+(?:\.\d+)?\s*(?:(?:ms|s|sec(?:onds?)?|m|min(?:utes?)?|h|hours?|kb|mb|gb|retries?"
+        r"|requests?|tokens?|bytes?)(?![A-Za-z0-9_])|%(?=[A-Za-z0-9_]))",
+        r"(?:<=|>=|<|>|=)\s*\d+(?:\.\d+)?",
+    ]),
+    (("npm", "yarn", "npx", "node", "git", "docker", "kubectl", "mvn", "gradle", "cargo", "python", "pip", "go"), [
+        r"(?:^|\s)(?:npm|pnpm|yarn|npx|node|git|docker|kubectl|mvn|gradle|cargo|python|pip|go)\s+[^\n]+",
+    ]),
+    ((":", "="), [r"(?:^|\s)(?:[A-Z][A-Z0-9_]{2,}|[a-z][A-Za-z0-9]*(?:\.[A-Za-z0-9_-]+)+)\s*[:=]"]),
+    (("`",), [r"`(?:[A-Z][A-Z0-9_]{2,}|[a-z][a-z0-9_]*(?:[._-][a-z0-9_]+)+)`"]),
+])
 LIST_ITEM = r"^(?:[-*+]\s+|\d+[.)]\s+)"
 INTRO = "Document introduction"
 
 
+def _named(low: Column, hints: tuple[str | None, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [low.rlike("[0-9]") if h is None else F.contains(low, F.lit(h)) for h in hints])
+
+
+def _is_priority(text: Column, low: Column) -> Column:
+    return _named(low, PRIORITY_HINTS) & text.rlike(PRIORITY)
+
+
+def _is_structured(text: Column, low: Column) -> Column:
+    return reduce(lambda a, b: a | b, [_named(low, hints) & text.rlike(pattern) for hints, pattern in STRUCTURED])
+
+
 def parse_sections(ls: Column) -> Column:
     """(title, level, start, end, body) in order; headings inside fences are text."""
-    section = "struct<title:string,level:int,start:int,end:int,body:array<string>>"
-    state = F.struct(
-        F.lit(0).alias("at"), F.lit(False).alias("fence"), F.lit(INTRO).alias("title"),
-        F.lit(1).alias("level"), F.lit(0).alias("start"), none().alias("body"),
-        F.array().cast(f"array<{section}>").alias("done"),
-    )
+    def build(ls: Column) -> Column:
+        n = F.size(ls)
+        places = F.sequence(F.lit(0), n - 1)
+        fences = F.filter(places, lambda i: trim(F.get(ls, i)).startswith("```"))
+
+        def with_fences(marks: Column) -> Column:
+            inside = lambda i: F.size(F.filter(marks, lambda m: m <= i)) % 2 == 1
+            heads = F.filter(places, lambda i: F.get(ls, i).startswith("#") & F.get(ls, i).rlike(HEADING) & ~inside(i))
+            return let(F.concat(F.array(F.lit(-1)), heads), cut)
+
+        def cut(starts: Column) -> Column:
+            def section(at: Column, j: Column) -> Column:
+                after = F.coalesce(F.get(starts, j + 1), n)
+                return F.struct(
+                    F.when(at < 0, INTRO).otherwise(trim(F.regexp_extract(F.get(ls, at), HEADING, 2))).alias("title"),
+                    F.when(at < 0, 1).otherwise(F.length(F.regexp_extract(F.get(ls, at), HEADING, 1))).alias("level"),
+                    F.greatest(at, F.lit(0)).alias("start"), (after - 1).alias("end"),
+                    F.slice(ls, at + 2, after - at - 1).alias("body"),
+                )
 
-    def flush(s: Column, end: Column) -> Column:
-        empty = ~F.exists(s["body"], lambda b: F.length(trim(b)) > 0)
-        skip = empty & (s["title"] == INTRO)
-        entry = F.struct(
-            s["title"].alias("title"), s["level"].alias("level"), s["start"].alias("start"),
-            end.alias("end"), s["body"].alias("body"),
-        )
-        return F.when(skip, s["done"]).otherwise(F.array_append(s["done"], entry))
-
-    def step(s: Column, x: Column) -> Column:
-        fence = F.when(trim(x).startswith("```"), ~s["fence"]).otherwise(s["fence"])
-        opened = F.struct(
-            (s["at"] + 1).alias("at"), fence.alias("fence"),
-            trim(F.regexp_extract(x, HEADING, 2)).alias("title"),
-            F.length(F.regexp_extract(x, HEADING, 1)).alias("level"),
-            s["at"].alias("start"), none().alias("body"), flush(s, s["at"] - 1).alias("done"),
-        )
-        goes_on = F.struct(
-            (s["at"] + 1).alias("at"), fence.alias("fence"), s["title"].alias("title"),
-            s["level"].alias("level"), s["start"].alias("start"),
-            F.array_append(s["body"], x).alias("body"), s["done"].alias("done"),
-        )
-        return F.when(~fence & x.rlike(HEADING), opened).otherwise(goes_on)
+            filled = lambda s: F.exists(s["body"], lambda b: F.length(trim(b)) > 0)
+            return F.filter(F.transform(starts, section), lambda s: (s["title"] != INTRO) | filled(s))
+
+        return F.when(ls.isNotNull(), let(fences, with_fences))
 
-    return F.aggregate(ls, state, step, lambda s: flush(s, s["at"] - 1))
+    return let(ls, build)
 
 
 def _structured(body: Column) -> Column:
     kept = F.filter(
         F.transform(body, trim),
         lambda t: (F.length(t) > 0)
-        & (t.rlike(PRIORITY) | t.rlike(STRUCTURED) | t.rlike(LIST_ITEM)),
+        & (t.rlike(LIST_ITEM) | let(F.lower(t), lambda low: _is_priority(t, low) | _is_structured(t, low))),
     )
     return head(F.array_distinct(kept), 8)
 
@@ -88,9 +104,10 @@ def describe(sections: Column, goal: Column) -> Column:
         both = F.concat(s["title"], F.lit("\n"), body)
 
         def scored(found: Column) -> Column:
-            important = both.rlike(PRIORITY)
+            important = let(F.lower(both), lambda low: _is_priority(both, low))
             signals = F.aggregate(
-                found, F.lit(0), lambda a, x: a + F.when(x.rlike(STRUCTURED), 50).otherwise(15)
+                found, F.lit(0),
+                lambda a, x: a + F.when(let(F.lower(x), lambda low: _is_structured(x, low)), 50).otherwise(15),
             )
             low = F.lower(both)
             named = F.size(F.filter(terms, lambda t: F.contains(low, t)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,8 +88,27 @@ def fold_runs(items: Column) -> Column:
     return F.when(F.size(items) <= 1, same).otherwise(keyed)
 
 
-def _any(text: Column, patterns: tuple[str, ...]) -> Column:
-    return text.rlike("|".join(ascii_words(p) for p in patterns))
+# For each level: lower-case literals, one of which any match contains; they are looked up first.
+NEEDS = {
+    12: ("error", "fail", "fatal", "exception", "panic", "crash", "critical", "cannot", "unable", "refused", "timeout", "rejected",
+         "denied", "invalid", "trace"),
+    8: ("warn", "alert", "caution", "attention", "notice", "deprecated", "obsolete", "outdated", "unstable"),
+    4: ("important", "note", "key", "crucial", "essential", "significant", "todo", "fixme", "hack", "xxx", "review", "summary",
+        "overview", "conclusion", "result"),
+}
+
+
+def _signal(text: Column) -> Column:
+    """The points of the highest level whose words the text has."""
+
+    def level(low: Column) -> Column:
+        found = F.lit(0)
+        for value, patterns in reversed(SIGNALS.items()):
+            named = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in NEEDS[value]])
+            found = F.when(named & text.rlike("|".join(ascii_words(p) for p in patterns)), value).otherwise(found)
+        return found
+
+    return let(F.lower(text), level)
 
 
 def score(section: Column, index: Column, total: Column) -> Column:
@@ -112,10 +133,6 @@ def score(section: Column, index: Column, total: Column) -> Column:
             & first.rlike(r"^[A-Z0-9\s_\-/:]+\z")
             & (F.length(F.regexp_replace(first, r"\s", "")) >= 3)
         )
-        signal = F.lit(0)
-        for value, patterns in reversed(SIGNALS.items()):
-            signal = F.when(_any(t, patterns), value).otherwise(signal)
-
         def add(condition: Column, value: int) -> Column:
             return F.when(condition, value).otherwise(0)
 
@@ -124,11 +141,11 @@ def score(section: Column, index: Column, total: Column) -> Column:
             + add(heading, 40)
             + add(underlined, 25)
             + add(capitals, 15)
-            + signal
+            + _signal(t)
             + add(t.rlike(r"(?m)^[\s]*[-*+]\s|^[\s]*\d+[.)]\s"), 8)
-            + add(t.rlike("`{1,3}[^`]+`{1,3}"), 5)
-            + add(t.rlike(r"(?i)[/\\][\w.-]+\.[a-z]{2,6}(?![A-Za-z0-9_])"), 5)
-            + add(t.rlike(r"(?<![A-Za-z0-9_])https?://\S+"), 5)
+            + add(F.contains(t, F.lit("`")) & t.rlike("`{1,3}[^`]+`{1,3}"), 5)
+            + add((F.contains(t, F.lit("/")) | F.contains(t, F.lit("\\"))) & t.rlike(r"(?i)[/\\][\w.-]+\.[a-z]{2,6}(?![A-Za-z0-9_])"), 5)
+            + add(F.contains(t, F.lit("://")) & t.rlike(r"(?<![A-Za-z0-9_])https?://\S+"), 5)
             + add(length.between(40, 800), 5)
             - add(length > 2000, 10)
             - add((length < 20) & ~heading, 5)

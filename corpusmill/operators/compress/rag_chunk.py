@@ -139,9 +139,18 @@ STEPS = (
 )
 
 
+# The labels of a card.
+CARD_CHARS = 85
+
+
+def _shown(i: Column, limits: Column) -> Column:
+    """How many chunks a rendering may show."""
+    half = F.greatest(F.lit(3), F.ceil(F.size(i["chunks"]) / 2).cast("int"))
+    return F.when(limits["chunks"] == 0, half).otherwise(limits["chunks"])
+
+
 def render(i: Column, limits: Column) -> Column:
     excerpt = limits["excerpt"]
-    half = F.greatest(F.lit(3), F.ceil(F.size(i["chunks"]) / 2).cast("int"))
 
     def card(c: Column, n: Column) -> Column:
         whole = c["content"]
@@ -163,7 +172,7 @@ def render(i: Column, limits: Column) -> Column:
         parts.append(when_lines(limits["facts"] == 1, facts))
         return F.concat(*parts, texts(""))
 
-    chunks = head(i["chunks"], F.when(limits["chunks"] == 0, half).otherwise(limits["chunks"]))
+    chunks = head(i["chunks"], _shown(i, limits))
     return lines_of(
         texts("## RAG Chunks Summary", "", line("- **Total Chunks:** ", i["total"]),
               line("- **Kept:** ", F.size(chunks)),
@@ -193,7 +202,8 @@ def compress(content: Column, max_tokens: int, goal: Column) -> Column:
                 F.when(~full, F.lit("Trimmed RAG output to fit token budget")),
             )
 
-        return let(ladder(steps, lambda limits: render(i, limits), max_tokens), finish)
+        least = lambda limits: F.least(F.size(i["chunks"]), _shown(i, limits)) * CARD_CHARS
+        return let(ladder(steps, lambda limits: render(i, limits), max_tokens, least), finish)
 
     body = let(parse(content), lambda c: let(extract_info(c), run))
     return budgeted(content, max_tokens, "RAG chunks", body)
