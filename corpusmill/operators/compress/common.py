@@ -104,14 +104,14 @@ def ladder(
     """
     names = list(steps[0])
     limits = F.array(
-        *[F.struct(*[F.lit(step[n]).alias(n) for n in names], F.lit(k == len(steps) - 1).alias("last"))
+        *[F.struct(*[F.lit(step[n]).alias(n) for n in names], F.lit(k == len(steps) - 1).alias("_last"))
           for k, step in enumerate(steps)]
     )
 
     def tried(step: Column) -> Column:
         if least is None:
             return render(step)
-        return F.when(step["last"] | (least(step) <= 4 * max_tokens), render(step))
+        return F.when(step["_last"] | (least(step) <= 4 * max_tokens), render(step))
 
     chosen = F.aggregate(
         limits,
